@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import packing, secrets, sharding, warc
+from gridwx.llm import minhash, packing, secrets, sharding, substring, warc
 from gridwx.llm.common import stage, table
 
 
@@ -45,13 +45,22 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op4_warc_salvage, op10_differencing_shards)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op4_warc_salvage, op5_bottom_k, op7_substring_dedup, op10_differencing_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
