@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import minhash, packing, secrets, sharding, substring, warc
+from gridwx.llm import bpe, minhash, packing, secrets, sharding, substring, warc
 from gridwx.llm.common import stage, table
 
 
@@ -39,6 +39,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.with_digests(bpe.decode_documents(encoded, ranks))
+
+
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stage(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))), "warc")
     records = warc.read_archives(archives).where("item = 'record'")
@@ -60,7 +68,7 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op4_warc_salvage, op5_bottom_k, op7_substring_dedup, op10_differencing_shards)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op7_substring_dedup, op10_differencing_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
