@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import bpe, minhash, packing, secrets, sharding, substring, warc
+from gridwx.llm import bpe, fingerprint, minhash, packing, secrets, sharding, substring, warc
 from gridwx.llm.common import stage, table
 
 
@@ -57,6 +57,11 @@ def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -68,7 +73,7 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op7_substring_dedup, op10_differencing_shards)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op6_improbable_features, op7_substring_dedup, op10_differencing_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
