@@ -31,13 +31,18 @@ K1, B = 1.2, 0.75
 #: Terms found in a larger part of a shard's documents are not indexed; they tell neighbours apart no better than chance.
 COMMON = 0.1
 TERM_SPACE = 1 << 20
-MEMO_LIMIT = 400_000
+#: Chunks and words whose ids a worker remembers.
+MEMO_LIMIT = 500_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SPACE = re.compile(r"[ \t\n\r]+")
-_SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ‐-‧]+")
-#: A text is tokenized in slices of about this many characters, cut at white space.
+#: str.split() takes these for white space, the vocabulary does not.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Chunks (joined by line feeds) whose words the library borders and lower-cases as Python does.
+_SIMPLE = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*")
+#: A long text is tokenized in slices of about this many characters, cut at white space; short ones GROUP at most at a time.
 SLICE = 1 << 20
+GROUP = 512
 
 
 class WordTokenizer:
@@ -57,67 +62,92 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|\n|[^\s\p{L}\p{N}]+")
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.word_ids: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {"": b""}
-        self.chunk_terms: dict[str, int] = {"": 0}
+        self.chunk_ids: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunk_ids) + len(chunks) > MEMO_LIMIT:
-            self.chunk_ids = {"": b""}
-            self.chunk_terms = {"": 0}
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.chunk_ids) > MEMO_LIMIT:
+            self.chunk_ids = {}
         if len(self.word_ids) > MEMO_LIMIT:
             self.word_ids = {}
-        split, odd, unseen = {}, [], {}
+        joined = "\n".join(chunks)
+        odd: list[str] = []
+        if not (_SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined)):
+            plain = [c for c in chunks if _SIMPLE.fullmatch(c) and unicodedata.is_normalized("NFC", c)]
+            odd = list(set(chunks).difference(plain))
+            chunks, joined = plain, "\n".join(plain)
+        words = self.words.findall(joined.lower())
         known = self.word_ids
-        for chunk in chunks:
-            if _SIMPLE.fullmatch(chunk) and unicodedata.is_normalized("NFC", chunk):
-                split[chunk] = words = self.words.findall(chunk.lower())
-                for word in words:
-                    if word not in known:
-                        unseen[word] = None
-            else:
-                odd.append(chunk)
+        unseen = list(set(words).difference(known, "\n"))
         if unseen:
-            order = list(unseen)
-            ids = np.array(self.model.encode(" ".join(order), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.model.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(order):
+            if len(cuts) != len(unseen):
                 raise ValueError("the vocabulary does not end each word with one end-of-word token")
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for word, cut in zip(order, (cuts * 4).tolist()):
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(unseen, (cuts * 4).tolist()):
                 known[word] = raw[at:cut]
                 at = cut
-        for chunk, words in split.items():
-            self.chunk_ids[chunk] = b"".join([known[w] for w in words])
+        ids_of, nth, one = self.chunk_ids, 0, []
+        for word in words:
+            if word == "\n":
+                ids_of[chunks[nth]] = b"".join(one)
+                nth, one = nth + 1, []
+            else:
+                one.append(known[word])
+        if chunks:
+            ids_of[chunks[nth]] = b"".join(one)
         for chunk in odd:
-            self.chunk_ids[chunk] = np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        for chunk in chunks:
-            self.chunk_terms[chunk] = zlib.crc32(self.chunk_ids[chunk]) % TERM_SPACE
-
-    def encode(self, text: str, want_terms: bool = True) -> tuple[bytes, np.ndarray]:
-        """ids as little-endian unsigned 32-bit integers, and a term number for each chunk."""
-        ids, terms, at = [], [], 0
-        while at < len(text):
-            end = at + SLICE
-            if end < len(text):
-                gap = _SPACE.search(text, end)
-                end = gap.start() if gap else len(text)
-            chunks = _SPACE.split(text[at:end]) if at or end < len(text) else _SPACE.split(text)
-            unseen = set(chunks).difference(self.chunk_ids)
-            if unseen:
-                self._learn(unseen)
-                if not self.chunk_ids.keys() >= set(chunks):  # the table was dropped meanwhile
-                    self._learn(set(chunks).difference(self.chunk_ids))
-            ids.append(b"".join(map(self.chunk_ids.__getitem__, chunks)))
-            if want_terms:
-                terms.append(np.fromiter(map(self.chunk_terms.__getitem__, chunks), np.int64, len(chunks)))
-            at = end
-        return b"".join(ids), np.concatenate(terms) if terms else np.empty(0, np.int64)
+            ids_of[chunk] = np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
+        """Of each text the ids as little-endian unsigned 32-bit integers, and a term number for each chunk."""
+        chunks: list[str] = []
+        ends = []
+        for text in texts:
+            chunks += _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
+            ends.append(len(chunks))
+        ids = list(map(self.chunk_ids.get, chunks))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self._learn(list({chunks[i]: None for i in missing}))
+            found = self.chunk_ids
+            for i in missing:
+                ids[i] = found[chunks[i]]
+        terms = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids)) % TERM_SPACE
+        return [(b"".join(ids[s:e]), terms[s:e]) for s, e in zip([0, *ends], ends)]
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text in slices of about SLICE characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + SLICE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def encode_texts(words: WordTokenizer, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """encode() of each text, with not much more than SLICE characters at a time."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        if size + len(text) > SLICE and group:
+            yield from words.encode(group)
+            group, size = [], 0
+        if len(text) > SLICE:
+            parts = [words.encode([part])[0] for part in slices(text)]
+            yield b"".join([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        else:
+            group.append(text)
+            size += len(text)
+    yield from words.encode(group)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -227,16 +257,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         def shards() -> Iterator[tuple[list, list, list]]:
             ids, raw, terms, size = [], [], [], 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    text = text.as_py() or ""
-                    encoded, found = words.encode(text)
-                    ids.append(doc_id)
-                    raw.append(encoded + end)
-                    terms.append(found)
-                    size += len(text)
-                    if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
-                        yield ids, raw, terms
-                        ids, raw, terms, size = [], [], [], 0
+                for at in range(0, batch.num_rows, GROUP):
+                    group = batch.slice(at, GROUP)
+                    texts = [x or "" for x in group.column(1).to_pylist()]
+                    for doc_id, text, (encoded, found) in zip(group.column(0).to_pylist(), texts, encode_texts(words, texts)):
+                        ids.append(doc_id)
+                        raw.append(encoded + end)
+                        terms.append(found)
+                        size += len(text)
+                        if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
+                            yield ids, raw, terms
+                            ids, raw, terms, size = [], [], [], 0
             if ids:
                 yield ids, raw, terms
 
