@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import bpe, fingerprint, minhash, packing, secrets, sharding, substring, warc
+from gridwx.llm import bpe, fingerprint, hnsw, minhash, packing, quality, secrets, sharding, substring, warc
 from gridwx.llm.common import stage, table
 
 
@@ -67,13 +67,25 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hnsw.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, machine)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op6_improbable_features, op7_substring_dedup, op10_differencing_shards)}
+    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op6_improbable_features, op7_substring_dedup, op8_hnsw, op9_factorisation_machine, op10_differencing_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
