@@ -1,14 +1,39 @@
-"""The training-corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's docs."""
+"""The training-corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's docs.
+
+Quality first, as it needs no other document; then whole near copies, then passages, so that fewer texts are compared;
+credentials are masked in what stays, and that is packed. Every stage returns the columns of `documents` but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridwx.llm import packing, secrets
+from gridwx.llm import minhash, packing, quality, secrets, substring
 from gridwx.llm.common import stage, table
 from gridwx.llm.queries import public_path
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine predicts to be of quality 0 go."""
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, machine).where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more, the smallest doc_id."""
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay in the document with the smallest doc_id; documents left without words go."""
+    cut = substring.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    cut = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every credential span is masked in its text."""
     return secrets.redact(docs)
@@ -20,6 +45,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", remove_repeated_passages),
     ("secret scans", redact_secrets),
     ("packing", pack),
 ]
