@@ -2,11 +2,20 @@
 
 A document is the set of its word shingles, hashed once; its sketch is the k smallest hashes. Equal sets are one node.
 Inverted lists of retained values give candidates: a pair over the threshold shares so many retained values that it shares
-one of each side's rarest, so only those are listed, and common lines and passages stay out. Each list compares its members
-with its best connected one first. The union sketch estimates the similarity, and the full sets confirm it. Lists whose
-members are then still in several components have all pairs across components estimated, in blocks of bounded size; pairs
-within a component need no proof. Every link between different sets is thus found or implied by found ones, up to the
-chance that a sketch of a pair at the threshold is off by six standard deviations.
+one of each side's rarest, so only those are listed, and common lines and passages stay out. Each list's members are
+compared with its best connected one, the leader: the union sketch rules out those far from it, the full sets measure the
+others. Members over the threshold are linked. A list of m near copies so costs m comparisons, and what they imply is
+settled without forming pairs:
+
+* Members near the leader but not linked to it: let D be a set's difference from the leader's. A link of such a member
+  needs differences in common (if they had none, the triangle inequality would have linked it to the leader), and the
+  sizes of D and of what two D share give the similarity exactly. Differences are compared in blocks inside tasks, which
+  return links between components only.
+* Members far from the leader, and those near enough to these: their sketches are compared in blocks, and pairs of
+  different components whose sketches overlap enough are measured.
+
+Every link between different sets is thus found or implied by found ones, up to the chance that a sketch of a pair at the
+threshold is off by six standard deviations.
 """
 
 from __future__ import annotations
@@ -24,7 +33,9 @@ from gridwx.llm.components import connected_components
 
 SKETCH = 40
 #: Members of a list that are compared with as many others in one task.
-BLOCK = 256
+BLOCK = 512
+#: How far below the threshold a similarity to the leader is still measured.
+LOOSE = 0.25
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -38,9 +49,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 def least_overlap(size: int, percent: int, k: int) -> int:
     """Retained values that a pair over the threshold shares, six standard deviations below the mean."""
-    t = percent / 100
-    share = max(0.1, t - 6 * math.sqrt(t * (1 - t) / k))
-    return max(1, int(share * min(size, k)))
+    return max(1, int(_share(percent / 100, k) * min(size, k)))
 
 
 def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
@@ -66,71 +75,153 @@ def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text").mapInArrow(build, "doc_id long, n long, a long, b long, sketch array<long>")
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs x, y that the union sketch does not rule out."""
-    t = percent / 100
-    share = max(0.1, t - 6 * math.sqrt(t * (1 - t) / k))
+def _share(t: float, k: int) -> float:
+    """Part of the union's k smallest hashes that sets of similarity t have in common, less six standard deviations."""
+    return max(0.1, t - 6 * math.sqrt(t * (1 - t) / k))
+
+
+def _estimated(pairs: DataFrame, nodes: DataFrame, t: float, k: int) -> DataFrame:
+    """The pairs x, y that the union sketch does not put below similarity t."""
     left = nodes.select(F.col("node").alias("x"), F.col("sketch").alias("sx"))
     right = nodes.select(F.col("node").alias("y"), F.col("sketch").alias("sy"))
     union = F.slice(F.array_sort(F.array_union("sx", "sy")), 1, k)
     both = F.array_intersect(union, F.array_intersect("sx", "sy"))
-    return pairs.join(left, "x").join(right, "y").where(F.size(both) >= F.floor(F.lit(share) * F.size(union))).select("x", "y")
+    return pairs.join(left, "x").join(right, "y").where(F.size(both) >= F.floor(F.lit(_share(t, k)) * F.size(union))).select(*pairs.columns)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs x, y with 100 * intersection >= percent * union, from the whole texts."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    joined = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
+    return joined.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
+
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """x, y, shared, total: sizes of the intersection and of the union of the full sets."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            keep = []
-            for x, y, tx, ty in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            shared, total = [], []
+            for x, tx, ty in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if x != last:
                     last, held = x, shingle_set(tx.as_py(), words)
                 other = shingle_set(ty.as_py(), words)
-                shared = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(held) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(len(np.intersect1d(held, other, assume_unique=True)))
+                total.append(len(held) + len(other) - shared[-1])
+            columns = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "shared", "total"])
+
+    return _with_texts(pairs, texts).select("x", "y", "tx", "ty").mapInArrow(measure, "x long, y long, shared long, total long")
 
-    joined = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
-    joined = joined.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
-    return joined.select("x", "y", "tx", "ty").mapInArrow(confirm, "x long, y long")
+
+def _dealt(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
+    """rows with p, q: every pair of blocks of its group that a row belongs to, so that each pair of blocks is one task."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = rows.join(sizes, group).withColumn("i", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
+    kept = [c for c in rows.columns if c not in ("blocks", "i")]
+    return rows.withColumn("o", F.explode(others)).select(*kept, "o.p", "o.q")
+
+
+def overlaps(lists: pa.Array) -> np.ndarray:
+    """Matrix of how many values each two lists have in common."""
+    n = len(lists)
+    owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    distinct, inverse, counts = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    keep = counts[inverse] > 1
+    place = np.cumsum(counts > 1) - 1
+    owner, columns = owner[keep], place[inverse[keep]]
+    out = np.zeros((n, n), np.float32)
+    width = int((counts > 1).sum())
+    for s in range(0, width, 4096):
+        part = (columns >= s) & (columns < s + 4096)
+        has = np.zeros((n, min(4096, width - s)), np.float32)
+        has[owner[part], columns[part] - s] = 1
+        out += has @ has.T
+    return out
+
+
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
 
 
 def _across(members: DataFrame, percent: int, k: int, block: int = BLOCK) -> DataFrame:
     """Pairs x, y of members of one list and of different components whose sketches overlap enough.
 
-    members: v, node, n, label, sketch. A list is dealt into blocks; each task compares two blocks, so its memory is
-    bounded and a long list is shared by many tasks.
+    members: v, node, n, label, sketch.
     """
-    sizes = members.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "v").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
-    rows = rows.select("v", "node", "n", "label", "sketch", F.explode(others).alias("o")).select("v", "node", "n", "label", "sketch", "o.p", "o.q")
 
     def compare(table: pa.Table) -> pa.Table:
         node, n, label = (table.column(c).to_numpy() for c in ("node", "n", "label"))
-        values = table.column("sketch").combine_chunks()
-        if isinstance(values, pa.ChunkedArray):
-            values = values.chunk(0)
-        size = np.diff(values.offsets.to_numpy())
-        distinct, inverse = np.unique(values.flatten().to_numpy(), return_inverse=True)
-        owner = np.repeat(np.arange(len(node)), size)
-        order = np.argsort(inverse, kind="stable")
-        owner, inverse = owner[order], inverse[order]
-        starts = np.searchsorted(inverse, np.arange(len(distinct) + 1))
-        overlap = np.zeros((len(node), len(node)), np.int16)
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if e - s > 1:
-                group = owner[s:e]
-                overlap[np.ix_(group, group)] += 1
+        common = overlaps(_one_array(table.column("sketch")))
         need = np.array([least_overlap(int(s), percent, k) for s in n])
         small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-        good = (overlap >= np.minimum.outer(need, need)) & np.not_equal.outer(label, label) & (100 * small >= percent * large)
+        good = (common >= np.minimum.outer(need, need)) & np.not_equal.outer(label, label) & (100 * small >= percent * large)
         x, y = np.nonzero(np.triu(good, 1))
         return pa.table({"x": np.minimum(node[x], node[y]), "y": np.maximum(node[x], node[y])})
 
-    return rows.groupBy("v", "p", "q").applyInArrow(compare, "x long, y long").distinct()
+    return _dealt(members, "v", "node", block).groupBy("v", "p", "q").applyInArrow(compare, "x long, y long").distinct()
+
+
+def _by_difference(members: DataFrame, texts: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links u, v between components among members that were measured against one leader.
+
+    members: x (leader), y, label. The similarity of two members follows from the sizes of their differences from the
+    leader and of what these share. A task returns links enough to join the components that it finds linked.
+    """
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            sizes, found = [], []
+            for x, tx, ty in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4)):
+                if x != last:
+                    last, held = x, shingle_set(tx.as_py(), words)
+                other = shingle_set(ty.as_py(), words)
+                sizes.append(len(other))
+                found.append(np.setxor1d(held, other, assume_unique=True).view(np.int64))
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)) if found else pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), lists], names=["x", "y", "label", "n", "d"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, n, label = (table.column(c).to_numpy() for c in ("y", "n", "label"))
+        lists = _one_array(table.column("d"))
+        size = np.diff(lists.offsets.to_numpy())
+        apart = np.add.outer(size, size) - 2 * overlaps(lists).astype(np.int64)
+        total = (np.add.outer(n, n) + apart) // 2
+        good = (100 * (total - apart) >= percent * total) & np.not_equal.outer(label, label)
+        a, b = np.nonzero(np.triu(good, 1))
+        _, comp = np.unique(label, return_inverse=True)
+        root = np.arange(len(comp))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        u, v = [], []
+        for i, j in zip(a.tolist(), b.tolist()):
+            p, q = find(comp[i]), find(comp[j])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                u.append(int(node[i]))
+                v.append(int(node[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    rows = _with_texts(members, texts).select("x", "y", "label", "tx", "ty").mapInArrow(differ, "x long, y long, label long, n long, d array<long>")
+    return _dealt(stage(rows, "differences"), "x", "y", block).groupBy("x", "p", "q").applyInArrow(compare, "u long, v long")
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after the links u, v between nodes; nodes without a label are their own."""
+    ends = links.join(labels.selectExpr("node u", "label lu"), "u", "left").join(labels.selectExpr("node v", "label lv"), "v", "left")
+    ends = ends.selectExpr("u", "v", "coalesce(lu, u) lu", "coalesce(lv, v) lv")
+    joined = connected_components(ends.selectExpr("lu u", "lv v"))
+    new = ends.selectExpr("u node", "lu label").unionByName(ends.selectExpr("v node", "lv label")).join(labels, "node", "left_anti").distinct()
+    both = labels.unionByName(new).join(joined.selectExpr("node label", "label l"), "label", "left")
+    return stage(both.selectExpr("node", "coalesce(l, label) label"), "labels")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -152,18 +243,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ranked = values.groupBy("node", "n", "kept").agg(
         F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("vs"), F.sum(F.log2("freq")).alias("weight")
     )
-    t = percent / 100
-    share = max(0.1, t - 6 * math.sqrt(t * (1 - t) / k))
-    need = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("kept"))).cast("int")
+    need = F.greatest(F.lit(1), F.floor(F.lit(_share(percent / 100, k)) * F.col("kept"))).cast("int")
     alone = F.col("kept") - F.size("vs")
     prefix = F.slice("vs", F.lit(1), F.greatest(F.lit(0), F.col("kept") - need + 1 - alone))
     lists = stage(ranked.select("node", "n", "weight", F.explode(F.transform(prefix, lambda x: x["v"])).alias("v")), "lists")
 
-    leaders = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"), "n")).alias("m"), F.count(F.lit(1)).alias("size"))
-    leaders = leaders.where("size > 1").select("v", (-F.col("m.x")).alias("leader"), F.col("m.n").alias("ln"))
-    near = lists.join(leaders, "v").where(f"node <> leader AND 100 * least(n, ln) >= {percent} * greatest(n, ln)")
-    pairs = stage(_estimated(near.selectExpr("leader x", "node y").distinct(), held, percent, k), "pairs")
-
+    leaders = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"))).alias("m"), F.count(F.lit(1)).alias("size"))
+    leaders = leaders.where("size > 1").select("v", (-F.col("m.x")).alias("x"))
+    led = stage(lists.join(leaders, "v").where("node <> x").select("v", "x", F.col("node").alias("y"), "n"), "led")
+    near = (percent / 100) - LOOSE
+    pairs = stage(_estimated(led.select("x", "y").distinct(), held, near, k), "pairs")
     repeats = live.count() > live.select("doc_id").distinct().count()
 
     def texts_of(involved: DataFrame) -> DataFrame:
@@ -174,19 +263,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         return stage(found.select("node", "text"), "texts")
 
     texts = texts_of(pairs.selectExpr("x node").unionByName(pairs.selectExpr("y node")).distinct())
-    links = stage(_confirmed(pairs, texts, words, percent), "links")
-    labels = stage(connected_components(links.selectExpr("x u", "y v")), "labels")
-
-    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("v").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("v")
-    marked = stage(marked.join(mixed, "v", "left_semi").join(held.select("node", "sketch"), "node").select("v", "node", "n", "label", "sketch"), "mixed")
-    more = _across(marked, percent, k)
-    tried = pairs.selectExpr("least(x, y) x", "greatest(x, y) y")
-    more = stage(_estimated(more.join(tried, ["x", "y"], "left_anti"), held, percent, k), "more-pairs")
-    if not more.isEmpty():
-        texts = texts_of(more.selectExpr("x node").unionByName(more.selectExpr("y node")).distinct())
-        links = links.unionByName(_confirmed(more, texts, words, percent))
-        labels = stage(connected_components(links.selectExpr("x u", "y v")), "labels")
+    measured = stage(_measured(pairs, texts, words), "measured")
+    labels = stage(connected_components(measured.where(f"100 * shared >= {percent} * total").selectExpr("x u", "y v")), "labels")
+
+    # members near their leader whose components still differ
+    members = measured.select("x", "y").join(labels.selectExpr("node y", "label"), "y", "left").withColumn("label", F.coalesce("label", "y"))
+    mixed = members.groupBy("x").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("x")
+    links = stage(_by_difference(stage(members.join(mixed, "x", "left_semi"), "members"), texts, words, percent), "links")
+    labels = _relabel(labels, links)
+
+    # members far from their leader, and those that can be linked to such
+    far = led.join(measured, ["x", "y"], "left").where(f"total IS NULL OR shared < {near + (1 - percent / 100)} * total")
+    far = far.join(far.where("total IS NULL").select("v").distinct(), "v", "left_semi").select("v", F.col("y").alias("node"), "n")
+    far = far.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = far.groupBy("v").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("v")
+    far = stage(far.join(mixed, "v", "left_semi").join(held.select("node", "sketch"), "node").select("v", "node", "n", "label", "sketch"), "far")
+    pairs = stage(_estimated(_across(far, percent, k), held, percent / 100, k), "far-pairs")
+    if not pairs.isEmpty():
+        texts = texts_of(pairs.selectExpr("x node").unionByName(pairs.selectExpr("y node")).distinct())
+        labels = _relabel(labels, _measured(pairs, texts, words).where(f"100 * shared >= {percent} * total").selectExpr("x u", "y v"))
 
     of_node = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_node.groupBy("label").agg(F.min("doc").alias("component_id"))
