@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import bpe, fingerprint, hnsw, minhash, packing, quality, secrets, sharding, substring, warc
+from gridwx.llm import bpe, fingerprint, hnsw, minhash, oracles, packing, quality, secrets, sharding, substring, warc
 from gridwx.llm.common import stage, table
 
 
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": oracles.SECRETS, "op4_warc_salvage": oracles.WARC, "op5_bottom_k": oracles.NEAR, "op7_substring_dedup": oracles.PASSAGES}

@@ -25,7 +25,7 @@ KINDS = [
     ("access", "AKIA[A-Z0-9]{12,}", "identifier", True),
     ("hex", "[0-9a-f]{32,}", "secret", True),
     ("weak_login", r"(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][eE][sS][sS]_?[kK][eE][yY](?:_?[iI][dD])?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", "identifier", False),
-    ("weak_secret", r"\b[A-Za-z0-9]+[+/=][A-Za-z0-9+/=]{23,}", "secret", False),
+    ("weak_secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]++[+/=][A-Za-z0-9+/=]{23,}", "secret", False),
     ("weak_assign", ASSIGN, "secret", False),
     ("weak_endpoint", r"(?:https?|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:@/-]+", "endpoint", False),
 ]
