@@ -1,9 +1,9 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Tasks cut their texts into pre-tokens and number the distinct ones of each block of documents; a document is then a list of
-word numbers, its pre-tokens by position. The blocks' distinct words are dealt out by word, so that each word is encoded
-once, by whichever task holds it; the ids go back to the blocks, where they are put in the places of their words. Decoding
-looks the ids up in the table of token bytes. A frequent word travels once per block, not once per occurrence.
+word numbers, its pre-tokens by position. The blocks' distinct words are dealt out by a hash of the word, so that each word
+is encoded once, by whichever task holds it; the ids go back to the blocks, where they are put in the places of their words.
+Decoding looks the ids up in the table of token bytes. A frequent word travels once per block, not once per occurrence.
 
 The texts are read twice, once for the words and once for the positions, as that moves less than keeping either. Both
 reads see the same blocks, since a block depends only on its place in the scan of unchanged files.
@@ -12,21 +12,26 @@ reads see the same blocks, since a block depends only on its place in the scan o
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: UTF-8 bytes of the texts of one block, after which the next one begins.
-BLOCK_BYTES = 12 << 20
-#: Rows of ids that are sent back together.
-RETURN_ROWS = 100_000
-#: Chunks of text whose pre-tokens a worker remembers.
-MEMO_LIMIT = 500_000
+from gridwx.llm.common import partitions
+
+#: Characters of the texts of one block, after which the next one begins.
+BLOCK_CHARS = 8 << 20
+#: Texts that are cut into pre-tokens together.
+GROUP = 256
+#: Hash classes of words for each shuffle partition.
+CLASSES = 4
+#: Divides chunks that are cut together; texts that hold it are cut alone.
+_BORDER = "\x00"
 
 # White_Space of Unicode, which the pattern's \s means.
 _WHITE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -36,7 +41,8 @@ def pre_tokens(pattern: str):
     """Compiled pattern with \\s and \\S spelled out, since libraries disagree on the separators U+001C to U+001F."""
     import regex
 
-    return regex.compile(pattern.replace(r"[^\s", "[^" + _WHITE).replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]"))
+    spelled = pattern.replace(r"[^\s", "[^" + _WHITE).replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
+    return regex.compile(spelled)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,10 +57,19 @@ class WordEncoder:
         import tiktoken
 
         ranks = read_ranks(path)
-        self.token_bytes = {i: token for token, i in ranks.items()}
+        self.ranks = ranks
         self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes one after another, and each id's place and length."""
+        by_id = [b""] * (max(self.ranks.values()) + 1)
+        for token, i in self.ranks.items():
+            by_id[i] = token
+        sizes = np.array([len(t) for t in by_id], np.int64)
+        return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -64,196 +79,200 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-class Blocks:
-    """Numbers the pre-tokens of block after block of documents."""
+class Block:
+    """Numbers the distinct pre-tokens of one block of documents."""
 
-    def __init__(self, pattern: str) -> None:
-        self.find = pre_tokens(pattern).findall
-        self.chunk_words: dict[str, tuple[str, ...]] = {}
-        self.reset()
+    def __init__(self, find, find_bordered) -> None:
+        self.find, self.find_bordered = find, find_bordered
+        self.words: dict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.after_space: dict[str, bytes] = {}
 
-    def reset(self) -> None:
-        self.words: dict[str, int] = {}
-        self.chunk_codes: dict[str, bytes] = {}
-        self.size = 0
+    def _codes(self, found: list[str]) -> bytes:
+        return np.fromiter(map(self.words.__getitem__, found), "<u4", len(found)).tobytes()
 
-    def _codes(self, found: list[str] | tuple[str, ...]) -> bytes:
-        words = self.words
-        return np.array([words.setdefault(w, len(words)) for w in found], "<u4").tobytes()
+    def _learn(self, chunks: list[str]) -> None:
+        """Word numbers of chunks that follow a space, all cut in one pass."""
+        found = self.find_bordered(_BORDER.join([" " + c for c in chunks]))
+        border = self.words[_BORDER]
+        codes = np.fromiter(map(self.words.__getitem__, found), "<u4", len(found))
+        cuts = (np.flatnonzero(codes == border) * 4).tolist()
+        raw = codes.tobytes()
+        for chunk, s, e in zip(chunks, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)]):
+            self.after_space[chunk] = raw[s:e]
 
-    def _learn(self, chunks: set[str]) -> None:
-        known = self.chunk_words
-        if len(known) > MEMO_LIMIT:
-            known.clear()
-        for chunk in chunks:
-            found = known.get(chunk)
-            if found is None:
-                found = known[chunk] = tuple(self.find(chunk))
-            self.chunk_codes[chunk] = self._codes(found)
-
-    def add(self, text: str) -> bytes:
-        """The text's word numbers.
+    def add(self, texts: list[str]) -> list[bytes]:
+        """The texts' word numbers.
 
         A space begins a pre-token unless more white space follows, so a text may be cut before each of its single spaces
         that stand between other characters. Other texts, and first chunks, are matched as they are.
         """
-        self.size += len(text)
-        if "  " in text or text[:1].isspace() or text[-1:].isspace() or self._odd(text):
-            return self._codes(self.find(text))
-        chunks = text.split(" ")
-        head, rest = chunks[0], [" " + c for c in chunks[1:]]
-        unseen = set(rest).difference(self.chunk_codes)
+        split = [None if _uncut(t) else t.split(" ") for t in texts]
+        unseen = set().union(*[c[1:] for c in split if c]).difference(self.after_space)
         if unseen:
-            self._learn(unseen)
-        return self._codes(self.find(head)) + b"".join(map(self.chunk_codes.__getitem__, rest))
+            self._learn(sorted(unseen))
+        look = self.after_space.__getitem__
+        return [self._codes(self.find(t)) if c is None else self._codes(self.find(c[0])) + b"".join(map(look, c[1:])) for t, c in zip(texts, split)]
+
+    def in_classes(self, classes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words in order of their hash class, where each class begins, and the new number of each old one."""
+        raw = [w.encode() for w in self.words]
+        of = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % classes
+        order = np.argsort(of, kind="stable")
+        rank = np.empty(len(raw), "<u4")
+        rank[order] = np.arange(len(raw))
+        return [raw[i] for i in order.tolist()], np.searchsorted(of[order], np.arange(classes + 1)), rank
+
 
-    @staticmethod
-    def _odd(text: str) -> bool:
-        """White space next to a space."""
-        if text.isascii():
-            return any(c + " " in text or " " + c in text for c in "\n\t\r\x0b\x0c")
-        import re
+_BESIDE_SPACE = ["  ", *[x for c in "\t\n\x0b\x0c\r" for x in (f" {c}", f"{c} ")], _BORDER]
+_WIDE_SPACE = re.compile("[" + _WHITE.replace(r"\t-\r\x20", "") + "]")
 
-        return re.search(r" [\s\x85\xa0]|[\s\x85\xa0] ", text) is not None
 
+def _uncut(text: str) -> bool:
+    """Empty, white space at an end or beside a space, or white space beyond ASCII."""
+    return not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _BESIDE_SPACE) or (not text.isascii() and _WIDE_SPACE.search(text) is not None)
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -> Iterator[tuple[int, Blocks, list, list]]:
-    """Block number, its words, doc_ids and codes."""
-    blocks, number = Blocks(pattern), TaskContext.get().partitionId() << 30
-    ids, codes = [], []
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, Block, list, list]]:
+    """Number, words, doc_ids and codes of each block."""
+    plain = pre_tokens(pattern)
+    import regex
+
+    bordered = regex.compile("\x00|" + plain.pattern.replace("[^" + _WHITE + r"\p{L}\p{N}]", "[^" + _WHITE + r"\x00\p{L}\p{N}]"))
+    number = TaskContext.get().partitionId() << 30
+    block, ids, codes, size = Block(plain.findall, bordered.findall), [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(doc_id)
-            codes.append(blocks.add(text.as_py() or ""))
-            if blocks.size >= block_bytes:
-                yield number, blocks, ids, codes
-                blocks.reset()
-                number, ids, codes = number + 1, [], []
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, GROUP)
+            texts, n = [], 0
+            for text in part.column(1):
+                texts.append(text.as_py() or "")
+                n += len(texts[-1])
+                if size + n >= block_chars:
+                    break
+            ids += part.column(0).slice(0, len(texts)).to_pylist()
+            codes += block.add(texts)
+            at, size = at + len(texts), size + n
+            if size >= block_chars:
+                yield number, block, ids, codes
+                number += 1
+                block, ids, codes, size = Block(plain.findall, bordered.findall), [], [], 0
     if ids:
-        yield number, blocks, ids, codes
+        yield number, block, ids, codes
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) and n_tokens, a row per row of docs.
+def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of flat that `which` names, one after another."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
-    A null or empty text has no ids; null and repeated ids are kept as they are; an empty table gives no rows; other
-    columns are not read.
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, ids array<int> and decoded (binary, the ids' token bytes), a row per row of docs.
+
+    A null or empty text has no ids; null and repeated doc_ids are kept as they are; an empty table gives no rows; other
+    columns are not read. Whole texts are held in memory one block at a time.
     """
     texts = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text")
+    tasks = partitions(docs.sparkSession)
+    classes = CLASSES * tasks
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, blocks, _, _ in _blocks(batches, pattern, block_bytes):
-            order = list(blocks.words)
-            for at in range(0, len(order), RETURN_ROWS):
-                part = order[at : at + RETURN_ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), number)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], names=["block", "code", "word"]
-                )
+        for number, block, _, _ in _blocks(batches, pattern, block_chars):
+            words, begin, _ = block.in_classes(classes)
+            sizes = np.array([len(w) for w in words], "<u4")
+            found = [k for k in range(classes) if begin[k] < begin[k + 1]]
+            parts = [slice(begin[k], begin[k + 1]) for k in found]
+            columns = [pa.array(np.full(len(found), number)), pa.array(found, pa.int32()), pa.array([_squeeze(sizes[p].tobytes()) for p in parts], pa.binary()), pa.array([_packed(b"".join(words[p])) for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "class", "sizes", "words"])
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, ids, codes in _blocks(batches, pattern, block_bytes):
-            lengths = np.array([len(c) // 4 for c in codes], "<i4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tobytes()], pa.binary()), pa.array([_squeeze(b"".join(codes))], pa.binary())],
-                names=["block", "doc_ids", "lengths", "codes"],
-            )
+        for number, block, ids, codes in _blocks(batches, pattern, block_chars):
+            _, _, rank = block.in_classes(classes)
+            lengths = np.array([len(c) // 4 for c in codes], "<u4")
+            flat = rank[np.frombuffer(b"".join(codes), "<u4")] if len(rank) else np.empty(0, "<u4")
+            columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tobytes()], pa.binary()), pa.array([_squeeze(flat.tobytes())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "codes"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct word once; what goes to one block is gathered."""
+        """Each distinct word of a class once; rows come class by class."""
         one = encoder(ranks_path).encode
-        last, ids = None, b""
-        back: dict[int, tuple[list, list]] = {}
-        held = 0
-
-        def send() -> pa.RecordBatch:
-            blocks = list(back)
-            codes = [np.array(back[b][0], "<u4").tobytes() for b in blocks]
-            sizes = [np.array([len(x) // 4 for x in back[b][1]], "<u4").tobytes() for b in blocks]
-            ids = [b"".join(back[b][1]) for b in blocks]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary()), pa.array([_squeeze(x) for x in ids], pa.binary())], names=["block", "code", "size", "ids"]
-            )
-
+        known: dict[bytes, bytes] = {}
+        last = None
         for batch in batches:
-            for number, code, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if word != last:  # rows come sorted by word
-                    last, ids = word, np.array(one(word), "<u4").tobytes()
-                codes, found = back.setdefault(number, ([], []))
-                codes.append(code)
-                found.append(ids)
-                held += 1
-            if held >= 2 * RETURN_ROWS:
-                yield send()
-                back.clear()
-                held = 0
-        if back:
-            yield send()
-
-    words = texts.mapInArrow(words_of, "block long, code int, word string")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, code binary, size binary, ids binary")
+            sizes, ids = [], []
+            for class_, size, raw in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if class_ != last:
+                    known, last = {}, class_
+                raw, at, found = _unpacked(raw.as_py()), 0, []
+                for n in np.frombuffer(_spread(size.as_py()), "<u4").tolist():
+                    word = raw[at : at + n]
+                    at += n
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = np.array(one(word.decode()), "<u4").tobytes()
+                    found.append(got)
+                sizes.append(_squeeze(np.array([len(f) // 4 for f in found], "<u4").tobytes()))
+                ids.append(_squeeze(b"".join(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "class", "sizes", "ids"])
+
+    words = texts.mapInArrow(words_of, "block long, class int, sizes binary, words binary")
+    ids = words.repartition(tasks, "class").sortWithinPartitions("class").mapInArrow(encode, "block long, class int, sizes binary, ids binary")
     codes = texts.mapInArrow(codes_of, "block long, doc_ids array<long>, lengths binary, codes binary")
 
     def reassemble(places: pa.Table, found: pa.Table) -> pa.Table:
-        table: dict[int, bytes] = {}
-        for code, size, flat in zip(*[found.column(c) for c in ("code", "size", "ids")]):
-            flat, at = _spread(flat.as_py()), 0
-            ends = (np.cumsum(np.frombuffer(size.as_py(), "<u4")) * 4).tolist()
-            for c, end in zip(np.frombuffer(code.as_py(), "<u4").tolist(), ends):
-                table[c] = flat[at:end]
-                at = end
-        by_code = [table[c] for c in range(len(table))]
-        out_ids, out = [], []
-        for doc_ids, lengths, flat in zip(*[places.column(c) for c in ("doc_ids", "lengths", "codes")]):
-            order, at = np.frombuffer(_spread(flat.as_py()), "<u4"), 0
-            for doc_id, n in zip(doc_ids.as_py(), np.frombuffer(lengths.as_py(), "<i4").tolist()):
-                out_ids.append(doc_id)
-                out.append(b"".join(map(by_code.__getitem__, order[at : at + n].tolist())))
+        found = found.sort_by("class")
+        sizes = np.concatenate([np.frombuffer(_spread(x.as_py()), "<u4") for x in found.column("sizes")] or [np.empty(0, "<u4")]).astype(np.int64)
+        flat = np.concatenate([np.frombuffer(_spread(x.as_py()), "<u4") for x in found.column("ids")] or [np.empty(0, "<u4")])
+        starts = np.cumsum(sizes) - sizes
+        token, token_starts, token_sizes = encoder(ranks_path).table()
+        doc_ids, per_doc, parts, decoded = [], [], [], []
+        for row_ids, lengths, packed in zip(*[places.column(c) for c in ("doc_ids", "lengths", "codes")]):
+            order, at = np.frombuffer(_spread(packed.as_py()), "<u4"), 0
+            for n in np.frombuffer(lengths.as_py(), "<u4").tolist():
+                ids = _ragged(flat, starts, sizes, order[at : at + n])
                 at += n
-        return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "ids": pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
+                parts.append(ids)
+                per_doc.append(len(ids))
+                decoded.append(_ragged(token, token_starts, token_sizes, ids).tobytes())
+            doc_ids += row_ids.as_py()
+        offsets = pa.array(np.concatenate(([0], np.cumsum(per_doc))).astype(np.int32))
+        values = pa.array(np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, values), "decoded": pa.array(decoded, pa.binary())})
 
-    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids binary, n_tokens long")
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>, decoded binary")
 
 
-def _squeeze(raw: bytes) -> bytes:
-    """Little-endian 32-bit integers by planes of bytes, compressed."""
+def _packed(raw: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def _spread(packed: bytes) -> bytes:
+def _unpacked(packed: bytes) -> bytes:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T.tobytes()
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded with a column `decoded` (binary): the bytes of its ids' tokens, from the token-byte table."""
+def _squeeze(raw: bytes) -> bytes:
+    """Little-endian 32-bit integers by planes of bytes, compressed."""
+    return _packed(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes())
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(ranks_path).token_bytes
-        table = [token.get(i, b"") for i in range(max(token) + 1)]
-        for batch in batches:
-            decoded = [b"".join(map(table.__getitem__, np.frombuffer(x.as_py(), "<u4").tolist())) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
-    return encoded.mapInArrow(decode, schema)
+def _spread(packed: bytes) -> bytes:
+    return np.frombuffer(_unpacked(packed), np.uint8).reshape(4, -1).T.tobytes()
 
 
-def with_digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256."""
+def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id and decoded (binary) of rows doc_id, ids array<int>: the bytes of the ids' tokens; null ids give null."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, str] = {}
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, starts, sizes = encoder(ranks_path).table()
         for batch in batches:
-            out = []
-            for x in batch.column(2):
-                ids = np.frombuffer(x.as_py(), "<u4").tolist()
-                for i in set(ids).difference(names):
-                    names[i] = str(i)
-                out.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(3)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            found = [_ragged(token, starts, sizes, np.array(x.as_py(), np.int64)).tobytes() if x.is_valid else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "decoded"])
+
+    return encoded.selectExpr("CAST(doc_id AS LONG) doc_id", "ids").mapInArrow(decode, "doc_id long, decoded binary")
