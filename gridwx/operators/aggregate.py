@@ -193,7 +193,7 @@ def series_equal(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Dat
     both = a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b"), F.lit(1).alias("in_b")), keys, "full")
     gap = F.abs(F.col("a") - F.col("b"))
     close = F.coalesce(gap <= 1e-8 + 1e-5 * F.abs("b"), F.col("a").isNull() & F.col("b").isNull())
-    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_difference"), F.bool_and(close).alias("all_close"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_difference"), F.coalesce(F.bool_and(close), F.lit(True)).alias("all_close"))
 
 
 def points_bounds(points: DataFrame) -> DataFrame:

@@ -98,10 +98,6 @@ def time_index(rows: DataFrame) -> DataFrame:
     return days.withColumn("time_index", F.dense_rank().over(Window.orderBy("obs_date")).cast("long") - 1)
 
 
-def latest_dates(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    return wanted.join(manifest, "obs_date", "left_semi")
-
-
 def files_for_dates(manifest: DataFrame, first: str | date, last: str | date) -> DataFrame:
     """Each day of the range with its usable file (status 200 and not empty), or without."""
     files = manifest.where("status = 200 AND size_bytes > 0").select("obs_date", "path")

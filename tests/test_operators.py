@@ -105,7 +105,22 @@ def test_append_twice_is_append_once(spark, tmp_path):
     assert tables.append(spark, more, path) == 3
     assert tables.append(spark, more, path) == 3
     assert spark.read.parquet(path).count() == 7
-    tables.compact(spark, path, str(tmp_path / "c")) if "lat_idx" in rows.columns else None
+
+
+def test_compaction_keeps_every_row(spark, tmp_path):
+    rows = spark.range(600).selectExpr("CAST(id AS INT) lat_idx", "CAST(id % 300 AS INT) lon_idx", "DATE'2024-01-01' obs_date", "CAST(id AS FLOAT) precipitation")
+    tables.create_table(rows, str(tmp_path / "days"))
+    tables.compact(spark, str(tmp_path / "days"), str(tmp_path / "tiles"))
+    found = spark.read.parquet(str(tmp_path / "tiles"))
+    assert found.count() == 600 and {r[0] for r in found.select("tile_lat").distinct().collect()} == {0, 1, 2}
+
+
+def test_series_equal_finds_differences(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.5), (3, None)], "k int, v double")
+    assert tuple(aggregate.series_equal(a, b, ["k"], "v").first()) == (3, 0.5, False)
+    assert aggregate.series_equal(a, a, ["k"], "v").first()["all_close"]
+    assert aggregate.series_equal(a.limit(0), a.limit(0), ["k"], "v").first()["all_close"]
 
 
 def test_raster_validation(spark):
