@@ -101,8 +101,10 @@ def variable_stats(long: DataFrame, rain_codes: list[str]) -> DataFrame:
     return found.withColumn("total", total).withColumn("rain_pct", F.when(rain, percentage(F.col("wet_days"), F.col("wet_days") + F.col("dry_days"))))
 
 
-def quantiles(value: Column, levels: list[float]) -> Column:
-    return F.percentile(value, F.array(*[F.lit(x) for x in levels]))
+def quantiles(value: Column, levels: list[float], accuracy: int | None = None) -> Column:
+    """Exact with linear interpolation; with an accuracy, an approximation whose memory does not grow with the values."""
+    wanted = F.array(*[F.lit(x) for x in levels])
+    return F.percentile(value, wanted) if accuracy is None else F.percentile_approx(value, wanted, accuracy)
 
 
 def daily_grid_summary(grid: DataFrame, value: str = "precipitation") -> DataFrame:
@@ -114,8 +116,9 @@ def daily_grid_summary(grid: DataFrame, value: str = "precipitation") -> DataFra
     return q.select("obs_date", "mean", "min", "max", "std", "valid", "cells", percentage(F.col("valid"), F.col("cells")).alias("valid_pct"), *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def percentile_profile(grid: DataFrame, value: str = "precipitation", levels: tuple[int, ...] = (0, 10, 25, 50, 75, 90, 95, 99, 100)) -> DataFrame:
-    q = grid.agg(quantiles(F.col(value), [x / 100 for x in levels]).alias("q"))
+def percentile_profile(grid: DataFrame, value: str = "precipitation", levels: tuple[int, ...] = (0, 10, 25, 50, 75, 90, 95, 99, 100), accuracy: int | None = None) -> DataFrame:
+    """Quantiles of all values at once; give an accuracy where they are too many to count exactly."""
+    q = grid.agg(quantiles(F.col(value), [x / 100 for x in levels], accuracy).alias("q"))
     return q.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*[F.lit(x) for x in levels]), F.col("i")).alias("level"), "value")
 
 

@@ -115,6 +115,13 @@ def test_compaction_keeps_every_row(spark, tmp_path):
     assert found.count() == 600 and {r[0] for r in found.select("tile_lat").distinct().collect()} == {0, 1, 2}
 
 
+def test_approximate_profile(spark):
+    rows = spark.range(1001).selectExpr("CAST(id AS DOUBLE) precipitation")
+    exact = [r["value"] for r in aggregate.percentile_profile(rows).orderBy("level").collect()]
+    near = [r["value"] for r in aggregate.percentile_profile(rows, accuracy=1000).orderBy("level").collect()]
+    assert exact == [0, 100, 250, 500, 750, 900, 950, 990, 1000] and all(abs(a - b) <= 2 for a, b in zip(exact, near))
+
+
 def test_series_equal_finds_differences(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, 2.5), (3, None)], "k int, v double")
