@@ -18,7 +18,7 @@ from gridwx.llm.common import stage
 SCOPE = 200
 
 # The kinds in the order in which spans at one place are listed. Per kind: pattern, class of the part,
-# whether it stands alone, least length of group 2.
+# whether it stands alone.
 ASSIGN = r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = [
     ("assign", ASSIGN, "secret", True),
@@ -33,8 +33,11 @@ KINDS = [
 FULL_VALUE, WEAK_VALUE = 8, 4
 
 
-def _parts(text: Column, rank: int, pattern: str, value: tuple[int, int] | None) -> Column:
-    """One entry per match: its text's length after the gap before it. Splitting and extracting see the same matches."""
+def _parts(text: Column, rank: int, pattern: str, value: bool) -> Column:
+    """One entry per match: the lengths of the gap before it, of its text, and of group 2 where value asks for it.
+
+    Splitting and extracting see the same matches.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda g: F.length(g))
     sizes = F.transform(matches, lambda m: F.length(m))
@@ -59,7 +62,7 @@ def find_spans(docs: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFram
     Starts and ends count code points of the whole text, end exclusive. A null text has no spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lists = [_parts(text, r, pattern, (0, 0) if kind == "assign" else None) for r, (kind, pattern, _, _) in enumerate(KINDS) if kind != "weak_assign"]
+    lists = [_parts(text, r, pattern, kind == "assign") for r, (kind, pattern, _, _) in enumerate(KINDS) if kind != "weak_assign"]
     rows = docs.select(*keys, F.concat(*lists).alias("parts")).repartition(*keys)
     rows = rows.select(*keys, F.explode_outer("parts").alias("p")).select(*keys, "p.*")
 
@@ -115,19 +118,19 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
     parts = F.coalesce(parts, F.lit(False))
     clean = docs.where(~parts)
     held = stage(docs.where(parts).withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
-    spans = find_spans(held.select("_row", "text"), ["_row"], scope)
+    spans = find_spans(held.select("_row", "text"), ["_row"], scope).withColumnRenamed("spans", "_found")
     # merged, non-overlapping spans by a running end
     cut = F.aggregate(
-        "spans",
+        "_found",
         F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("keep")),
         lambda acc, s: F.struct(
             F.greatest(acc["to"], s["end"]).alias("to"),
             F.when(s["start"] >= acc["to"], F.concat(acc["keep"], F.array(F.struct(acc["to"].alias("a"), s["start"].alias("b"))))).otherwise(acc["keep"]).alias("keep"),
         ),
     )
-    keep = F.concat(F.col("cut.keep"), F.array(F.struct(F.col("cut.to").alias("a"), F.length("text").cast("long").alias("b"))))
+    keep = F.concat(F.col("_cut.keep"), F.array(F.struct(F.col("_cut.to").alias("a"), F.length("text").cast("long").alias("b"))))
     text = F.array_join(F.transform(keep, lambda k: F.substring(F.col("text"), (k["a"] + 1).cast("int"), (k["b"] - k["a"]).cast("int"))), mask)
-    masked = held.join(spans, "_row").withColumn("cut", cut).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    masked = held.join(spans, "_row").withColumn("_cut", cut).withColumn("text", F.when(F.size("_found") > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(masked.select(*docs.columns))

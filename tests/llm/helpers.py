@@ -2,7 +2,7 @@
 
 import random
 
-DOCS = "doc_id long, text string, node string, label string, v string, start string, n string, x string, row string, words string, size string"
+DOCS = "doc_id long, text string, node string, label string, v string, start string, n string, x string, row string, words string, size string, spans string, cut string, ids string, codes string"
 
 
 def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
@@ -18,7 +18,7 @@ def edited(rng: random.Random, text: str, times: int) -> str:
 
 def table(spark, rows):
     """rows: (doc_id, text)."""
-    return spark.createDataFrame([(i, t, *["?"] * 9) for i, t in rows], DOCS).repartition(3)
+    return spark.createDataFrame([(i, t, *["?"] * 13) for i, t in rows], DOCS).repartition(3)
 
 
 def hard_rows(seed: int = 1) -> list:
