@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,6 +71,20 @@ class HashMemo(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+    def of_text(self, raw: bytes, step: int = 1 << 20) -> np.ndarray:
+        """Hashes of the words between ASCII white space, a long text's words step by step."""
+        if len(raw) <= step:
+            return self.hashes(raw.split())
+        parts, at = [], 0
+        while at < len(raw):
+            gap = _GAP.search(raw, at + step)
+            end = gap.start() if gap else len(raw)
+            parts.append(self.hashes(raw[at:end].split()))
+            at = end
+        return np.concatenate(parts)
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 WORD_HASHES = HashMemo()
 
 

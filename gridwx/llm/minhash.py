@@ -40,10 +40,10 @@ LOOSE = 0.25
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the shingles; a shorter text is one shingle, a text without words none."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
+    found = WORD_HASHES.of_text(text.encode("utf-8", "surrogatepass").lower()) if text else ()
+    if not len(found):
         return np.empty(0, np.uint64)
-    hashes = rolling(WORD_HASHES.hashes(found), min(words, len(found)))
+    hashes = rolling(found, min(words, len(found)))
     return np.unique(hashes >> np.uint64(1))
 
 

@@ -29,6 +29,10 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return WORD_HASHES.of_text(text.encode("utf-8", "surrogatepass") if text else b"")
+
+
 def window_anchors(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of `length` words the place and hash of its smallest k-gram, the last one of equals."""
     grams = rolling(hashes, gram)
@@ -75,7 +79,7 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             parts, counts = [], []
             for text in batch.column(1):
-                found = runs(WORD_HASHES.hashes(split_words(text.as_py())), length, gram)
+                found = runs(word_hashes(text.as_py()), length, gram)
                 parts.append(found)
                 counts.append(len(found[0]))
             if sum(counts):
@@ -93,7 +97,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, found in zip(batch.column(0), batch.column(1), batch.column(2)):
-                windows = rolling(WORD_HASHES.hashes(split_words(text.as_py())), length, _CONTENT)
+                windows = rolling(word_hashes(text.as_py()), length, _CONTENT)
                 fields = found.values
                 v, s, e = (fields.field(i).to_numpy() for i in range(3))
                 fits = e < len(windows)  # of repeated rows with one id, another text may be shorter

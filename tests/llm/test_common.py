@@ -1,6 +1,6 @@
 import numpy as np
 
-from gridwx.llm.common import mix64, rolling
+from gridwx.llm.common import WORD_HASHES, mix64, rolling
 
 
 def test_rolling_windows_depend_on_their_words_alone():
@@ -12,3 +12,12 @@ def test_rolling_windows_depend_on_their_words_alone():
     assert len(rolling(h, 101)) == 0
     assert rolling(h[:2], 2)[0] != rolling(h[1::-1], 2)[0]
     assert len(set(mix64(np.arange(1000, dtype=np.uint64)).tolist())) == 1000
+
+
+def test_long_texts_step_by_step():
+    raw = b" a bb\tccc \n\n dddd\x0beeeee\x1cf  " * 50
+    whole = WORD_HASHES.of_text(raw)
+    assert len(whole) == 250
+    for step in (1, 7, 100):
+        assert (WORD_HASHES.of_text(raw, step) == whole).all()
+    assert len(WORD_HASHES.of_text(b"")) == 0
