@@ -101,9 +101,9 @@ def variable_summary(long: DataFrame, variables: DataFrame) -> DataFrame:
     return found.withColumn("converted", converted).withColumn("band", band)
 
 
-def source_matrix(variables: DataFrame, choices: list[tuple[str, str]], by_variable: dict[str, list[str]], external: dict[str, str]) -> DataFrame:
-    """variable, source, label, available, external name, and the source that stands in for an equal choice."""
-    spark = variables.sparkSession
+def source_matrix(rows: DataFrame, choices: list[tuple[str, str]], by_variable: dict[str, list[str]], external: dict[str, str]) -> DataFrame:
+    """rows (column code, and others) by source: label, available, external name, and what stands in for an equal choice."""
+    spark = rows.sparkSession
     pairs = [(v, s, label, s in have, external.get(v), next((x for x in have if x != s), have[0])) for v, have in by_variable.items() for s, label in choices]
     table = spark.createDataFrame(pairs, "code string, source string, label string, available boolean, external_name string, fallback string")
-    return variables.select("code").join(F.broadcast(table), "code")
+    return rows.join(F.broadcast(table), "code")

@@ -97,8 +97,6 @@ def tav_amp(series: DataFrame, keys: list[str], missing: float = -99.0) -> DataF
     return found.select(*keys, F.when(good, F.bround("tav", 1)).otherwise(missing).alias("tav"), F.when(good, F.bround("amp", 1)).otherwise(missing).alias("amp"))
 
 
-def variable_catalog(result: DataFrame, variables: DataFrame, default: float = -99.0) -> DataFrame:
-    """Catalogue row of each variable column of a result; unknown ones get the default. variables: the fixed table."""
-    spark = result.sparkSession
-    codes = spark.createDataFrame([(c,) for c in result.columns if c not in ("point_id", "lat_idx", "lon_idx", "obs_date")], "code string")
-    return codes.join(F.broadcast(variables), "code", "left").withColumn("default_value", F.coalesce("default_value", F.lit(default)))
+def variable_catalog(rows: DataFrame, variables: DataFrame, default: float = -99.0) -> DataFrame:
+    """rows (column code, and others) with the catalogue's entries; unknown codes get the default. variables: the fixed table."""
+    return rows.join(F.broadcast(variables), "code", "left").withColumn("default_value", F.coalesce("default_value", F.lit(default)))

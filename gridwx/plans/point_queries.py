@@ -183,10 +183,16 @@ def tav_amp(spark, sf_dir, met):
     return M.tav_amp(M.canonical(met), CELL)
 
 
-@query("", "SELECT * FROM (VALUES ('RAIN', 'Precipitation (mm/day)', 'mm/day', CAST(1 AS INTEGER), CAST(0 AS DOUBLE), 'HYBRID'), ('T2M', 'Temperature at 2 Meters (°C)', '°C', 1, -99, 'NASA_POWER'), ('SNOW', NULL, NULL, NULL, -99, NULL)) t(code, description, units, decimals, default_value, source)")
-def variable_catalog(spark, sf_dir):
-    result = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS RAIN", "n_nationkey AS T2M", "n_nationkey AS SNOW")
-    return M.variable_catalog(result, catalog.variables(spark))
+@query(
+    "met_daily",
+    f""", l AS ({LONG_SQL}), n AS (SELECT code, count(value) AS n_values FROM l GROUP BY code),
+    c AS (SELECT * FROM (VALUES ('RAIN1', 'Precipitation from NASA POWER (mm/day)', 'mm/day', 0e0), ('T2M', 'Temperature at 2 Meters (°C)', '°C', -99e0), ('RH2M', 'Relative Humidity at 2 Meters (%)', '%', -99e0), ('WIND', 'Wind Speed at 2 Meters (m/s)', 'm/s', -99e0)) t(code, description, units, default_value))
+    SELECT code, description, units, CAST(1 AS INTEGER) AS decimals, default_value, 'NASA_POWER' AS source, n_values FROM n JOIN c USING (code)""",
+)
+def variable_catalog(spark, sf_dir, met):
+    """Catalogue rows of the variables of a table in long form, with the number of their values."""
+    counts = met.selectExpr(LONG).groupBy("code").agg(F.count("value").alias("n_values"))
+    return M.variable_catalog(counts, catalog.variables(spark))
 
 
 @query("other_source", "SELECT cell_id, obs_date, CAST(floor(source1 * 10 + 0.5e0) AS DOUBLE) / 10 AS source1, CAST(floor(source2 * 10 + 0.5e0) AS DOUBLE) / 10 AS source2 FROM fx_other_source WHERE source1 IS NOT NULL AND source2 IS NOT NULL")
@@ -263,14 +269,18 @@ def unit_convert(spark, sf_dir, met):
 
 
 @query(
-    "",
-    """, v AS (SELECT * FROM (VALUES ('RAIN', 'PRECTOTCORR'), ('T2M', 'T2M'), ('TMIN', 'T2M_MIN'), ('TMAX', 'T2M_MAX'), ('TDEW', 'T2MDEW'), ('RH2M', 'RH2M'), ('WIND', 'WS2M'), ('SRAD', 'ALLSKY_SFC_SW_DWN')) t(code, external_name)),
-    s AS (SELECT * FROM (VALUES ('chirps', 'CHIRPS (Zarr)'), ('nasa_s3', 'NASA POWER S3'), ('nasa_api', 'NASA POWER API'), ('open_meteo', 'Open-Meteo')) t(source, label))
-    SELECT code, source, label, code = 'RAIN' OR source IN ('nasa_s3', 'nasa_api') AS available, external_name, CASE WHEN code = 'RAIN' THEN CASE WHEN source = 'chirps' THEN 'nasa_s3' ELSE 'chirps' END ELSE CASE WHEN source = 'nasa_s3' THEN 'nasa_api' ELSE 'nasa_s3' END END AS fallback FROM v, s""",
+    "met_daily",
+    f""", v AS (SELECT * FROM (VALUES ('RAIN', 'PRECTOTCORR'), ('T2M', 'T2M'), ('TMIN', 'T2M_MIN'), ('TMAX', 'T2M_MAX'), ('TDEW', 'T2MDEW'), ('RH2M', 'RH2M'), ('WIND', 'WS2M'), ('SRAD', 'ALLSKY_SFC_SW_DWN')) t(code, external_name)),
+    s AS (SELECT * FROM (VALUES ('chirps', 'CHIRPS (Zarr)'), ('nasa_s3', 'NASA POWER S3'), ('nasa_api', 'NASA POWER API'), ('open_meteo', 'Open-Meteo')) t(source, label)),
+    l AS ({LONG_SQL}), n AS (SELECT replace(code, 'RAIN1', 'RAIN') AS code, count(value) AS n_values FROM l GROUP BY 1)
+    SELECT code, n_values, source, label, code = 'RAIN' OR source IN ('nasa_s3', 'nasa_api') AS available, external_name, CASE WHEN code = 'RAIN' THEN CASE WHEN source = 'chirps' THEN 'nasa_s3' ELSE 'chirps' END ELSE CASE WHEN source = 'nasa_s3' THEN 'nasa_api' ELSE 'nasa_s3' END END AS fallback
+    FROM n JOIN v USING (code), s""",
 )
-def source_matrix(spark, sf_dir):
+def source_matrix(spark, sf_dir, met):
+    """Which sources have the variables of a table in long form."""
     have = {v: catalog.RAIN_SOURCES if v == "RAIN" else catalog.OTHER_SOURCES for v in catalog.EXTERNAL_NAMES}
-    return K.source_matrix(catalog.variables(spark), catalog.SOURCES, have, catalog.EXTERNAL_NAMES)
+    counts = met.selectExpr(LONG).groupBy(F.regexp_replace("code", "^RAIN1$", "RAIN").alias("code")).agg(F.count("value").alias("n_values"))
+    return K.source_matrix(counts, catalog.SOURCES, have, catalog.EXTERNAL_NAMES)
 
 
 @query("", "SELECT event_id, CAST(strptime('20240103', '%Y%m%d') AS DATE) AS obs_date, CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events")
