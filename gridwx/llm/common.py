@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word hashes kept per Python worker before the table is dropped and refilled.
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

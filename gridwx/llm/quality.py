@@ -29,7 +29,7 @@ EPOCHS = 6
 BATCH = 64
 RATE = 0.05
 DECAY = 1e-5
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 200_000
 
 
 class Buckets(dict):
