@@ -116,7 +116,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     found = stage(find_runs(docs, length, gram), "runs")
     # an anchor of one document alone matches nothing
     seeds = found.groupBy("v").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-    seeds = seeds.where("p < q").select("v", (F.col("c1") < F.col("c2")).alias("varied"))
+    # written first, so that neither side of the join is bound to its keys and a frequent anchor's rows can be split
+    seeds = stage(seeds.where("p < q").select("v", (F.col("c1") < F.col("c2")).alias("varied")), "seeds")
     seeded = stage(found.join(seeds, "v"), "seeded")
     # equal runs: all but the smallest document's match as a whole
     owners = stage(seeded.groupBy("v", "c", "varied").agg(F.min("doc_id").alias("owner")), "owners")
@@ -126,6 +127,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     wanted = varied.groupBy("doc_id").agg(F.collect_list(F.struct("v", "s", "e")).alias("runs"))
     windows = stage(_windows(docs, wanted, length), "windows")
     first = windows.groupBy("v", "w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").select("v", "w", "owner")
+    first = stage(first, "shared-windows")
     single = windows.join(first, ["v", "w"]).where("doc_id > owner").select("doc_id", F.col("at").alias("s"), F.col("at").alias("e"))
     return whole.unionByName(single)
 
