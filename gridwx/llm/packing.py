@@ -1,27 +1,29 @@
 """Lexical retrieval packing: windows of token ids filled with documents that share rare words.
 
-Each task cuts its partition into index shards of bounded size and keeps a BM25 inverted index per shard. The longest
-unused document seeds a window; the index returns its unused neighbours, which fill the window greedily, best first. The
-last neighbour is cut where the window is full, and its rest stays in the index. Documents longer than a window give
-whole windows first. Only the last window of a shard can be short. Nothing is shuffled, and a retry of a task repeats its
-result, since a shard depends on its partition's rows alone.
+All documents are tokenized once. Document frequencies and the mean length are counted over all of them, and each document
+is routed by its strongest shared terms: documents of one route meet in one index shard wherever they stood in the input. A
+shard has a bounded size and a BM25 inverted index. The longest unused document seeds a window; the index returns its unused
+neighbours, which fill the window greedily, best first. The last neighbour is cut where the window is full, and its rest
+stays in the index. Documents longer than a window give whole windows first. Only the last window of a shard can be short.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from gridwx.llm.common import mix64, stage
+
 WINDOW = 2048
 END_ID = 1
-#: Bytes of UTF-8 text, and documents, of one index shard.
+#: Bytes of ids, and documents, of one index shard.
 SHARD_BYTES = 8 << 20
 SHARD_DOCS = 4096
 #: Query terms per seed, neighbours asked for at a time, and the BM25 parameters.
@@ -30,7 +32,20 @@ NEIGHBOURS = 32
 K1, B = 1.2, 0.75
 #: Terms found in a larger part of a shard's documents are not indexed; they tell neighbours apart no better than chance.
 COMMON = 0.1
-TERM_SPACE = 1 << 20
+TERM_BITS = 20
+TERM_SPACE = 1 << TERM_BITS
+#: A document's route is the hash of its 1, 2, 4 or 8 strongest shared terms: the first that ROUTE_DOCS documents at most
+#: have. Where even the last has more (copies, no shared term), they are dealt over several routes.
+LEVELS = (1, 2, 4, 8)
+ROUTE_BITS = 18
+ROUTE_DOCS = 1024
+#: Terms of fewer documents count like terms of so many in a route, so that a word shared by chance does not decide it.
+RARE = 16
+#: Counts are added up by slices of so many places; the slice TOTALS holds the numbers of documents and of their terms.
+SLICE_PLACES = 4096
+TOTALS = -1
+#: Marks the last id of a chunk until the ids are packed; no vocabulary has so many ids.
+CHUNK_END = 1 << 31
 #: Chunks and words whose ids a worker remembers.
 MEMO_LIMIT = 500_000
 
@@ -45,6 +60,10 @@ SLICE = 1 << 20
 GROUP = 512
 
 
+def marked(ids: bytes) -> bytes:
+    return ids and ids[:-1] + bytes([ids[-1] | CHUNK_END >> 24])
+
+
 class WordTokenizer:
     """Token ids of white-space separated chunks by the tokenizers library, each distinct word encoded once per worker.
 
@@ -96,17 +115,17 @@ class WordTokenizer:
         ids_of, nth, one = self.chunk_ids, 0, []
         for word in words:
             if word == "\n":
-                ids_of[chunks[nth]] = b"".join(one)
+                ids_of[chunks[nth]] = marked(b"".join(one))
                 nth, one = nth + 1, []
             else:
                 one.append(known[word])
         if chunks:
-            ids_of[chunks[nth]] = b"".join(one)
+            ids_of[chunks[nth]] = marked(b"".join(one))
         for chunk in odd:
-            ids_of[chunk] = np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids_of[chunk] = marked(np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        """Of each text the ids as little-endian unsigned 32-bit integers, and a term number for each chunk."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers, the last one of each chunk with CHUNK_END set."""
         chunks: list[str] = []
         ends = []
         for text in texts:
@@ -119,8 +138,7 @@ class WordTokenizer:
             found = self.chunk_ids
             for i in missing:
                 ids[i] = found[chunks[i]]
-        terms = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids)) % TERM_SPACE
-        return [(b"".join(ids[s:e]), terms[s:e]) for s, e in zip([0, *ends], ends)]
+        return [b"".join(ids[s:e]) for s, e in zip([0, *ends], ends)]
 
 
 def slices(text: str) -> Iterator[str]:
@@ -133,7 +151,7 @@ def slices(text: str) -> Iterator[str]:
         at = end
 
 
-def encode_texts(words: WordTokenizer, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+def encode_texts(words: WordTokenizer, texts: list[str]) -> Iterator[bytes]:
     """encode() of each text, with not much more than SLICE characters at a time."""
     group: list[str] = []
     size = 0
@@ -142,8 +160,7 @@ def encode_texts(words: WordTokenizer, texts: list[str]) -> Iterator[tuple[bytes
             yield from words.encode(group)
             group, size = [], 0
         if len(text) > SLICE:
-            parts = [words.encode([part])[0] for part in slices(text)]
-            yield b"".join([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            yield b"".join([words.encode([part])[0] for part in slices(text)])
         else:
             group.append(text)
             size += len(text)
@@ -159,21 +176,125 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+_PLACES = mix64(np.arange(1, 257)) | np.uint64(1)
+
+
+def chunk_terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Document and term number of each chunk of documents with marked chunks and an end id."""
+    if not raw:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    ids = np.frombuffer(b"".join(raw), "<u4")
+    sizes = np.array([len(r) // 4 for r in raw], np.int64)
+    last = np.cumsum(sizes) - 1
+    stop = ids >= CHUNK_END
+    stop[last] = True
+    stop[last[sizes > 1] - 1] = True
+    first = np.flatnonzero(np.concatenate(([True], stop[:-1])))
+    place = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
+    value = np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * _PLACES[place & 255], first)
+    doc = np.repeat(np.arange(len(raw)), sizes)[first]
+    keep = first != last[doc]
+    return doc[keep], (mix64(value[keep]) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+
+
+@dataclass
+class Statistics:
+    """Of all documents: their number, their mean number of terms, and of each term the documents that have it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def weight(self, df: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        idf = np.log1p(np.maximum(0, self.n - df + 0.5) / (df + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
+
+
+def route_levels(raw: list[bytes], statistics: Statistics) -> np.ndarray:
+    """Of each document the hash of its strongest 1, 2, 4 and 8 terms that other documents have too."""
+    n = len(raw)
+    doc, term = chunk_terms(raw)
+    sizes = np.bincount(doc, minlength=n)
+    pairs, tf = np.unique(doc << TERM_BITS | term, return_counts=True)
+    doc, term = pairs >> TERM_BITS, pairs & (TERM_SPACE - 1)
+    shared = statistics.df[term] > 1
+    doc, term, tf = doc[shared], term[shared], tf[shared]
+    weight = statistics.weight(np.maximum(statistics.df[term], RARE), tf, sizes[doc])
+    # one sort: by document, descending weight and a number that spreads the terms, so that equal weights have one order
+    falling = ((1 << 23) - np.minimum((1 << 23) - 1, weight * (1 << 16)).astype(np.int64)) << TERM_BITS
+    spread = term * 0x9E375 & (TERM_SPACE - 1)
+    ranked = np.sort(doc << (TERM_BITS + 24) | falling | spread)
+    first = np.searchsorted(ranked, np.arange(n + 1) << (TERM_BITS + 24))
+    found, h = [], np.zeros(n, np.uint64)
+    for i in range(LEVELS[-1]):
+        at = first[:-1] + i
+        have = at < first[1:]
+        one = np.zeros(n, np.int64)
+        one[have] = (ranked[at[have]] & (TERM_SPACE - 1)) + 1
+        h = mix64(h * np.uint64(31) + one.astype(np.uint64))
+        if i + 1 in LEVELS:
+            found.append((h >> np.uint64(64 - ROUTE_BITS)).astype(np.int64))
+    return np.stack(found)
+
+
+def routes(levels: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each document its route, by how many documents have each value of each level."""
+    route = np.full(levels.shape[1], -1, np.int64)
+    for i, level in enumerate(levels):
+        some = (route < 0) & (counts[i][level] <= ROUTE_DOCS)
+        route[some] = i << ROUTE_BITS | level[some]
+    rest = route < 0
+    parts = -(-counts[-1][levels[-1][rest]].astype(np.int64) // ROUTE_DOCS)
+    part = (mix64(rows[rest]) % parts.astype(np.uint64)).astype(np.int64)
+    route[rest] = part << (ROUTE_BITS + 3) | len(LEVELS) << ROUTE_BITS | levels[-1][rest]
+    return route
+
+
+def count_slices(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for i, part in enumerate(counts.reshape(-1, SLICE_PLACES)):
+        if part.any():
+            yield i, part.astype("<i8").tobytes()
+
+
+def add_slices(rows: DataFrame, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts, and of TOTALS, over rows of (slice int, ids binary); as large for any number of rows."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(counts.as_buffer(), "<i8")
+                found[i] = found[i] + part if i in found else part.copy()
+        small = [(v if i == TOTALS else np.minimum(v, 2**31 - 1).astype("<i4")).tobytes() for i, v in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(small, pa.binary())], names=["slice", "ids"])
+
+    counts, totals = np.zeros(places, np.int32), np.zeros(2, np.int64)
+    for i, raw in rows.repartition("slice").mapInArrow(add, "slice int, ids binary").collect():
+        if i == TOTALS:
+            totals = np.frombuffer(bytes(raw), "<i8")
+        else:
+            counts[i * SLICE_PLACES : (i + 1) * SLICE_PLACES] = np.frombuffer(bytes(raw), "<i4")
+    return counts, totals
+
+
 class Index:
-    """BM25 postings over the documents of one shard; used documents are never returned."""
+    """BM25 postings over the documents of one shard; used documents are never returned.
+
+    Frequencies and mean length are those of `statistics`, or without them the shard's own.
+    """
 
-    def __init__(self, terms: list[np.ndarray]) -> None:
+    def __init__(self, terms: list[np.ndarray], statistics: Statistics | None = None) -> None:
         n = self.n = len(terms)
         sizes = np.array([len(t) for t in terms], np.int64)
         pairs = np.concatenate([np.repeat(np.arange(n), sizes) * TERM_SPACE + np.concatenate(terms)]) if n else np.empty(0, np.int64)
         pairs, tf = np.unique(pairs, return_counts=True)
         doc, term = pairs // TERM_SPACE, pairs % TERM_SPACE
-        df = np.bincount(term, minlength=1)
+        df = np.bincount(term, minlength=TERM_SPACE)
         keep = (df[term] > 1) & (df[term] <= max(2, COMMON * n))
         doc, term, tf = doc[keep], term[keep], tf[keep]
-        length = sizes / max(1.0, sizes.mean() if n else 1.0)
-        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
-        weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc]))).astype(np.float32)
+        if statistics is None:
+            statistics = Statistics(n, sizes.mean() if n else 1.0, df)
+        weight = statistics.weight(statistics.df[term], tf, sizes[doc]).astype(np.float32)
         # each document's strongest terms, in descending order of weight
         best = np.lexsort((term, -weight, doc))
         self.query_terms = term[best]
@@ -195,10 +316,10 @@ class Index:
         return found[np.lexsort((found, -score[found]))][:limit]
 
 
-def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int, statistics: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length)."""
     n = len(tokens)
-    index = Index(terms)
+    index = Index(terms, statistics)
     start = np.zeros(n, np.int64)
     rest = np.array(tokens, np.int64)
     for d in np.flatnonzero(rest >= window):
@@ -240,6 +361,14 @@ def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int) -> Itera
         yield pieces
 
 
+ENCODED = "doc_id long, row long, slice int, ids binary"
+
+
+def encoded_rows(doc_id: pa.Array, row: np.ndarray, slice_: list, ids: list[bytes]) -> pa.RecordBatch:
+    columns = [doc_id, pa.array(row, pa.int64()), pa.array(slice_, pa.int32()), pa.array(ids, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "slice", "ids"])
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pack all documents into windows of at most `window` ids, neighbours together.
 
@@ -249,31 +378,78 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     columns are not read.
     """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = docs.sparkSession.sparkContext
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
+        row = TaskContext.get().partitionId() << 36
+        df, totals = np.zeros(TERM_SPACE, np.int64), np.zeros(2, "<i8")
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                group = batch.slice(at, GROUP)
+                raw = [x + end for x in encode_texts(words, [x or "" for x in group.column(1).to_pylist()])]
+                doc, term = chunk_terms(raw)
+                np.add.at(df, np.unique(doc << TERM_BITS | term) & (TERM_SPACE - 1), 1)
+                totals += len(raw), len(term)
+                n = len(raw)
+                yield encoded_rows(group.column(0), np.arange(row, row + n), [None] * n, raw)
+                row += n
+        if totals[0]:
+            rows = [*count_slices(df), (TOTALS, totals.tobytes())]
+            n = len(rows)
+            yield encoded_rows(pa.nulls(n, pa.int64()), np.zeros(n, np.int64), *map(list, zip(*rows)))
+
+    encoded = stage(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(encode, ENCODED), "encoded")
+    df, totals = add_slices(encoded.where("slice IS NOT NULL").select("slice", "ids"), TERM_SPACE)
+    whole = context.broadcast(Statistics(int(totals[0]), float(totals[1] / max(1, totals[0])), df))
+    encoded = encoded.where("slice IS NULL").select("doc_id", "row", "ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(LEVELS), 1 << ROUTE_BITS), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                for own, level in zip(counts, route_levels(batch.column(0).slice(at, GROUP).to_pylist(), whole.value)):
+                    np.add.at(own, level, 1)
+        rows = list(count_slices(counts))
+        if rows:
+            numbers, parts = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "ids"])
+
+    sizes, _ = add_slices(encoded.select("ids").mapInArrow(count, "slice int, ids binary"), len(LEVELS) << ROUTE_BITS)
+    sizes = context.broadcast(sizes.reshape(len(LEVELS), -1))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                group = batch.slice(at, GROUP)
+                levels = route_levels(group.column(2).to_pylist(), whole.value)
+                found = routes(levels, group.column(1).to_numpy(), sizes.value)
+                yield pa.RecordBatch.from_arrays([*group.columns, pa.array(found, pa.int64())], names=["doc_id", "row", "ids", "route"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
 
-        def shards() -> Iterator[tuple[list, list, list]]:
-            ids, raw, terms, size = [], [], [], 0
+        def shards() -> Iterator[tuple[list, list]]:
+            ids, raw, size = [], [], 0
             for batch in batches:
-                for at in range(0, batch.num_rows, GROUP):
-                    group = batch.slice(at, GROUP)
-                    texts = [x or "" for x in group.column(1).to_pylist()]
-                    for doc_id, text, (encoded, found) in zip(group.column(0).to_pylist(), texts, encode_texts(words, texts)):
-                        ids.append(doc_id)
-                        raw.append(encoded + end)
-                        terms.append(found)
-                        size += len(text)
-                        if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
-                            yield ids, raw, terms
-                            ids, raw, terms, size = [], [], [], 0
+                for doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids.append(doc_id)
+                    raw.append(one.as_py())
+                    size += len(raw[-1])
+                    if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
+                        yield ids, raw
+                        ids, raw, size = [], [], 0
             if ids:
-                yield ids, raw, terms
+                yield ids, raw
 
-        for ids, raw, terms in shards():
+        for ids, raw in shards():
+            doc, term = chunk_terms(raw)
+            raw = [(np.frombuffer(r, "<u4") & (CHUNK_END - 1)).tobytes() for r in raw]
+            cuts = np.searchsorted(doc, np.arange(len(raw) + 1)).tolist()
+            terms = [term[s:e] for s, e in zip(cuts, cuts[1:])]
             rows: list[tuple] = []
-            for pieces in pack_shard([len(r) // 4 for r in raw], terms, window):
+            for pieces in pack_shard([len(r) // 4 for r in raw], terms, window, whole.value):
                 offset = 0
                 for d, start, length in pieces:
                     rows.append((ids[d], start, length, raw[d][4 * start : 4 * (start + length)], len(raw[d]) // 4, sequence, offset))
@@ -283,4 +459,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(pack, PIECES)
+    routed = encoded.mapInArrow(route, "doc_id long, row long, ids binary, route long")
+    return routed.repartition("route").sortWithinPartitions("route", "row").select("doc_id", "ids").mapInArrow(pack, PIECES)

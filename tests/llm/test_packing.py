@@ -66,3 +66,32 @@ def test_neighbours_share_rare_terms():
 
 def test_empty_table(spark):
     assert packing.pack_documents(table(spark, [(1, "a")]).limit(0), PATH).count() == 0
+
+
+def test_copies_meet_wherever_they_stand(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 60)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, texts[i % 600]) for i in range(1200)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    windows = {}
+    for p in packing.pack_documents(docs, PATH, 512).collect():
+        windows.setdefault(p["doc_id"], set()).add(p["sequence_id"])
+    assert np.mean([bool(windows[i] & windows[i + 600]) for i in range(600)]) > 0.9
+
+
+def test_statistics_are_those_of_all_documents():
+    terms = [np.array([1, 2]), np.array([1, 9]), np.array([2, 8])]
+    df = np.zeros(packing.TERM_SPACE, np.int64)
+    df[[1, 2]] = 2, 900
+    open_ = np.array([False, True, True])
+    assert packing.Index(terms, packing.Statistics(1000, 2.0, df)).neighbours(0, open_, 5).tolist() == [1, 2]
+    df[[1, 2]] = 900, 2
+    assert packing.Index(terms, packing.Statistics(1000, 2.0, df)).neighbours(0, open_, 5).tolist() == [2, 1]
+
+
+def test_a_group_of_copies_is_dealt_over_several_routes():
+    levels = np.zeros((len(packing.LEVELS), 50_000), np.int64)
+    counts = np.zeros((len(packing.LEVELS), 1 << packing.ROUTE_BITS), np.int32)
+    counts[:, 0] = 50_000
+    _, found = np.unique(packing.routes(levels, np.arange(50_000), counts), return_counts=True)
+    assert len(found) == 49 and found.max() < 2 * packing.ROUTE_DOCS
