@@ -26,11 +26,10 @@ END_ID = 1
 #: Bytes of ids, and documents, of one index shard.
 SHARD_BYTES = 8 << 20
 SHARD_DOCS = 4096
-#: Query terms per seed, neighbours asked for at a time, and the BM25 parameters.
-QUERY_TERMS = 16
+#: Neighbours asked for at a time, and the BM25 parameters.
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
-#: Terms found in a larger part of a shard's documents are not indexed; they tell neighbours apart no better than chance.
+#: Terms found in a larger part of a shard's documents are kept as rows over all of them instead of postings.
 COMMON = 0.1
 TERM_BITS = 20
 TERM_SPACE = 1 << TERM_BITS
@@ -290,29 +289,40 @@ class Index:
         pairs, tf = np.unique(pairs, return_counts=True)
         doc, term = pairs // TERM_SPACE, pairs % TERM_SPACE
         df = np.bincount(term, minlength=TERM_SPACE)
-        keep = (df[term] > 1) & (df[term] <= max(2, COMMON * n))
-        doc, term, tf = doc[keep], term[keep], tf[keep]
         if statistics is None:
             statistics = Statistics(n, sizes.mean() if n else 1.0, df)
         weight = statistics.weight(statistics.df[term], tf, sizes[doc]).astype(np.float32)
-        # each document's strongest terms, in descending order of weight
-        best = np.lexsort((term, -weight, doc))
-        self.query_terms = term[best]
-        self.query_from = np.searchsorted(doc[best], np.arange(n + 1))
+        keep = df[term] > 1  # a term of one document finds no other
+        doc, term, weight = doc[keep], term[keep], weight[keep]
+        common = df > max(2, COMMON * n)
+        place = np.cumsum(common) - 1
+        of = common[term]
+        self.rows = np.zeros((np.count_nonzero(common), n), np.float32)
+        self.rows[place[term[of]], doc[of]] = weight[of]
+        # each document's terms: places among the rows, and numbers of lists of postings
+        self.row_terms, self.row_from = place[term[of]], np.searchsorted(doc[of], np.arange(n + 1))
+        doc, term, weight = doc[~of], term[~of], weight[~of]
+        numbers, term, lengths = np.unique(term, return_inverse=True, return_counts=True)
+        self.query_terms, self.query_from = term, np.searchsorted(doc, np.arange(n + 1))
         by_term = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by_term], weight[by_term]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=TERM_SPACE if n else 1))))
-
-    def neighbours(self, seed: int, open_: np.ndarray, limit: int) -> np.ndarray:
-        """The open documents with the highest scores for the seed's strongest terms; ties go to the earlier document."""
-        terms = self.query_terms[self.query_from[seed] : min(self.query_from[seed + 1], self.query_from[seed] + QUERY_TERMS)]
-        if not len(terms):
-            return terms
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        score = np.bincount(docs, weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
-        score *= open_
-        found = np.flatnonzero(score)
+        self.first = np.concatenate(([0], np.cumsum(lengths)))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Every document's score for all terms of the seed."""
+        score = self.rows[self.row_terms[self.row_from[seed] : self.row_from[seed + 1]]].sum(0, dtype=np.float64)
+        terms = self.query_terms[self.query_from[seed] : self.query_from[seed + 1]]
+        lengths = self.first[terms + 1] - self.first[terms]
+        at = np.arange(lengths.sum()) + np.repeat(self.first[terms] - np.cumsum(lengths) + lengths, lengths)
+        return score + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+
+    def neighbours(self, seed: int, open_: np.ndarray, limit: int, scores: np.ndarray | None = None) -> np.ndarray:
+        """The open documents with the highest scores for the seed; ties go to the earlier document."""
+        score = self.scores(seed) if scores is None else scores
+        found = np.flatnonzero((score > 0) & open_)
+        if len(found) > limit:
+            least = np.partition(score[found], len(found) - limit)[len(found) - limit]
+            found = found[score[found] >= least]
         return found[np.lexsort((found, -score[found]))][:limit]
 
 
@@ -339,8 +349,9 @@ def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int, statisti
         pieces, room = [(seed, int(start[seed]), int(rest[seed]))], window - int(rest[seed])
         open_[seed] = False
         ahead = at
+        scores = index.scores(seed) if room else None
         while room:
-            near = index.neighbours(seed, open_, NEIGHBOURS).tolist()
+            near = index.neighbours(seed, open_, NEIGHBOURS, scores).tolist()
             if not near:  # no scored neighbour is left: the next open documents
                 while ahead < n and len(near) < NEIGHBOURS:
                     if open_[order[ahead]]:

@@ -95,3 +95,30 @@ def test_a_group_of_copies_is_dealt_over_several_routes():
     counts[:, 0] = 50_000
     _, found = np.unique(packing.routes(levels, np.arange(50_000), counts), return_counts=True)
     assert len(found) == 49 and found.max() < 2 * packing.ROUTE_DOCS
+
+
+def test_members_of_a_large_group_find_each_other():
+    terms = [np.array([1, 1000 + i]) if i % 3 == 0 else np.array([2000 + i]) for i in range(300)]
+    open_ = np.ones(300, bool)
+    open_[0] = False
+    assert packing.Index(terms).neighbours(0, open_, 300).tolist() == list(range(3, 300, 3))
+
+
+def test_every_term_of_a_seed_counts():
+    rng = np.random.default_rng(2)
+    terms = [np.unique(rng.integers(0, 120, rng.integers(1, 90))) for _ in range(80)]
+    sets, mean = [set(t.tolist()) for t in terms], np.mean([len(t) for t in terms])
+    df = {t: sum(t in s for s in sets) for t in range(120)}
+
+    def score(seed, d):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(sets[d]) / mean)
+        return sum(np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * (packing.K1 + 1) / (1 + norm) for t in sets[seed] & sets[d])
+
+    index = packing.Index(terms)
+    for seed in range(80):
+        expected = np.array([score(seed, d) for d in range(80)])
+        expected[seed] = 0
+        open_ = np.arange(80) != seed
+        found = index.neighbours(seed, open_, 80)
+        assert set(found.tolist()) == set(np.flatnonzero(expected).tolist())
+        assert np.allclose(expected[found], np.sort(expected[found])[::-1], atol=1e-4)
