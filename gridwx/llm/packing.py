@@ -68,7 +68,8 @@ class WordTokenizer:
 
     The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Chunks of
     plain Latin text are split at the vocabulary's own word borders, and their unseen words are encoded together: every
-    word ends in one end-of-word token, which cuts the ids apart. Any other chunk is encoded alone.
+    word ends in one end-of-word token, which cuts the ids apart. Any other chunk, and one with the text of an added token,
+    is encoded alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,7 +80,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|\n|[^\s\p{L}\p{N}]+")
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -95,8 +97,9 @@ class WordTokenizer:
             self.word_ids = {}
         joined = "\n".join(chunks)
         odd: list[str] = []
-        if not (_SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined)):
-            plain = [c for c in chunks if _SIMPLE.fullmatch(c) and unicodedata.is_normalized("NFC", c)]
+        added = self.added.search if self.added else lambda _: None
+        if not (_SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined) and not added(joined)):
+            plain = [c for c in chunks if _SIMPLE.fullmatch(c) and unicodedata.is_normalized("NFC", c) and not added(c)]
             odd = list(set(chunks).difference(plain))
             chunks, joined = plain, "\n".join(plain)
         words = self.words.findall(joined.lower())

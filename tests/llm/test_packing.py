@@ -122,3 +122,13 @@ def test_every_term_of_a_seed_counts():
         found = index.neighbours(seed, open_, 80)
         assert set(found.tolist()) == set(np.flatnonzero(expected).tolist())
         assert np.allclose(expected[found], np.sort(expected[found])[::-1], atol=1e-4)
+
+
+def test_texts_of_added_tokens_are_the_librarys_ids():
+    texts = ["hello <|endoftext|> x<|startoftext|>y", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |> é<|endoftext|>", "日本<|startoftext|>日本 <|<|endoftext|>|>", "plain text"]
+    library = Tokenizer.from_file(PATH)
+    words = packing.WordTokenizer(PATH)
+    for text, raw in zip(texts, words.encode(texts)):
+        ids = np.frombuffer(raw, "<u4") & (packing.CHUNK_END - 1)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(library.encode(texts[0], add_special_tokens=False).ids) == 5
