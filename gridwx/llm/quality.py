@@ -111,12 +111,12 @@ class Machine:
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Machine:
-    """Adaptive gradient steps on the log loss, both classes weighted alike up to a factor of four."""
+    """Adaptive gradient steps on the log loss, both classes weighted alike up to a factor of four; zeros without texts."""
     rng = np.random.default_rng(seed)
     m = WORD_SPACE + STATISTICS
-    machine = Machine(0.0, np.zeros(m, np.float32), rng.normal(0, 0.02, (m, FACTORS)).astype(np.float32))
     if not texts:
-        return machine
+        return Machine(0.0, np.zeros(m, np.float32), np.zeros((m, FACTORS), np.float32))
+    machine = Machine(0.0, np.zeros(m, np.float32), rng.normal(0, 0.02, (m, FACTORS)).astype(np.float32))
     rows = [features(t) for t in texts]
     y = np.array(labels, np.float32)
     good = y.mean()
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """A machine fitted on at most sample_rows labelled rows that are not held out; only its weights reach the driver.
 
     Rows whose id or label is null take no part; of rows that share an id the smallest text and the larger label do.
-    Without any labelled row the machine scores everything 0.5 or near it.
+    Without any such row the machine scores everything 0.5, so predicted is 1.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+import corpus_pipeline
 from gridwx.llm import quality
 from tests.llm.helpers import hard_rows, prose, table
 
@@ -39,3 +40,14 @@ def test_no_labels_and_empty_table(spark):
     machine = quality.train(docs, none)
     assert quality.score_documents(docs, machine).count() == 2
     assert quality.score_documents(docs.limit(0), machine).count() == 0
+
+
+def test_nothing_to_fit_keeps_every_document(spark, tmp_path):
+    docs = table(spark, hard_rows())
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
+    unusable = [(i, 0) for i in held] + [(None, 0), (2, None)]
+    for n, rows in enumerate([[], unusable]):
+        spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        machine = quality.train(docs, spark.read.parquet(f"{tmp_path}/{n}/labels.parquet"))
+        assert {(r["score"], r["predicted"]) for r in quality.score_documents(docs, machine).collect()} == {(0.5, 1)}
+        assert corpus_pipeline.reject_low_quality(spark, docs, f"{tmp_path}/{n}").count() == docs.count()
