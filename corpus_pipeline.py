@@ -21,9 +21,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more, the smallest doc_id."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays: five-word shingles, similarity 0.8 or more, the smallest doc_id.
+
+    Rows that share a doc_id are told apart: each is in the group of its own text, and of equal rows one stays.
+    """
+    keyed = stage(docs.withColumn("near_copy_row", F.monotonically_increasing_id()), "keyed")
+    found = minhash.near_duplicates(keyed, words=5, percent=80, key="near_copy_row")
+    return keyed.join(found.where("NOT kept").select("near_copy_row"), "near_copy_row", "left_anti").select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,8 +52,11 @@ def least_overlap(size: int, percent: int, k: int) -> int:
     return max(1, int(_share(percent / 100, k) * min(size, k)))
 
 
-def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
-    """doc_id, n (set size), a, b (128-bit hash of the set), sketch array<long> (ascending), a row per row of docs."""
+def sketches(docs: DataFrame, words: int, k: int = SKETCH, key: str | None = None) -> DataFrame:
+    """doc_id, n (set size), a, b (128-bit hash of the set), sketch array<long> (ascending), row, a row per row of docs.
+
+    row is the column `key`, or null without one.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -69,10 +72,11 @@ def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
             flat = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "a", "b", "sketch"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), lists, batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "a", "b", "sketch", "row"])
 
-    return docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text").mapInArrow(build, "doc_id long, n long, a long, b long, sketch array<long>")
+    columns = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text", f"CAST({f'`{key}`' if key else 'NULL'} AS LONG) row")
+    return columns.mapInArrow(build, "doc_id long, n long, a long, b long, sketch array<long>, row long")
 
 
 def _share(t: float, k: int) -> float:
@@ -224,14 +228,18 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(both.selectExpr("node", "coalesce(l, label) label"), "labels")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), a row per row.
 
     Links join documents with 100 * intersection >= percent * union of their sets. A null or empty text, or one of white
     space alone, has an empty set and no links; a row with a null doc_id takes no part and is its own, with a null
     component_id and kept true. Repeated rows are copies of each other. An empty table gives no rows.
+
+    With `key`, a column of docs with a number of its own for each row, the result has it too, and kept is true of exactly one
+    row of each component: of those with the smallest doc_id the one with the smallest key.
     """
-    sets = stage(sketches(docs, words, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sets = sketches(docs, words, k, key)
+    sets = stage(sets if key else sets.withColumn("row", F.monotonically_increasing_id()), "sketches")
     live = sets.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stage(live.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("a", "b", F.col("m.doc_id").alias("doc"), F.col("m.row").alias("node")), "nodes")
     held = stage(live.join(nodes.select("node"), live["row"] == nodes["node"]).select("node", "n", "doc_id", "a", "b", "sketch"), "node-sketches")
@@ -284,13 +292,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         labels = _relabel(labels, _measured(pairs, texts, words).where(f"100 * shared >= {percent} * total").selectExpr("x u", "y v"))
 
     of_node = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = of_node.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_node = of_node.join(smallest, "label").select("a", "b", "component_id")
-    placed = live.select("doc_id", "n", "a", "b").join(of_node, ["a", "b"]).select("doc_id", "n", "component_id")
-    rest = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(rest).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id IS NULL OR doc_id = component_id").alias("kept")
-    )
+    smallest = of_node.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("m"))
+    of_node = of_node.join(smallest, "label").select("a", "b", F.col("m.doc").alias("component_id"), F.col("m.node").alias("keeper"))
+    placed = live.select("doc_id", "n", "a", "b", "row").join(of_node, ["a", "b"]).select("doc_id", "n", "component_id", "row", "keeper")
+    rest = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("keeper"))
+    kept = F.expr("row = keeper" if key else "doc_id IS NULL OR doc_id = component_id").alias("kept")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", kept]
+    return placed.unionByName(rest).select(*columns, *([F.col("row").alias(key)] if key else []))
 
 
 def _of_own_set(rows: DataFrame, words: int) -> DataFrame:

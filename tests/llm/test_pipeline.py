@@ -46,3 +46,11 @@ def test_stages(spark):
     spans = secrets.scan_secrets(masked[1]).where(F.exists("spans", lambda s: s["rank"] < 3))
     assert spans.count() == 0
     assert {r[0] for r in packed[1].select("doc_id").distinct().collect()} == {i for i, _ in texts(packed[0])}
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    copied, unique, twice = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, copied), (5, unique), (3, copied + " end"), (7, twice), (7, twice), (8, twice), (9, ""), (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(3, copied + " end"), (5, unique), (7, twice), (9, ""), (None, copied)], key=str)
