@@ -1,10 +1,10 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and the text's metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text.
 
 score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), the pairs in linear time by the identity
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 The model is fitted on a bounded sample of labelled rows, in one task; every document is scored in parallel. Neither label
-nor language, source or id is a feature.
+nor language, source or id is a feature; of the metadata that leaves n_chars alone, which is no input: the text's size is.
 """
 
 from __future__ import annotations
