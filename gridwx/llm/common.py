@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors, computes Python once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -115,3 +120,64 @@ def rolling(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray
 
 def long_column(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64, copy=False).view(np.int64), pa.int64())
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches with these starts and sizes, one stretch after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these starts and sizes, one after another."""
+    return flat[stretches(starts, sizes)]
+
+
+class Lists:
+    """Numbered lists of integers, one after another in an array that grows."""
+
+    def __init__(self, kind: str) -> None:
+        self.flat, self.used = np.empty(1 << 16, kind), 0
+        self.starts, self.sizes, self.n = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """Lists of these sizes, which stand in flat one after another or at `starts`."""
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + len(flat), self.flat.dtype)))
+        if self.n + len(sizes) > len(self.sizes):
+            more = np.empty(self.n + len(sizes), np.int64)
+            self.starts, self.sizes = np.concatenate((self.starts[: self.n], more)), np.concatenate((self.sizes[: self.n], more))
+        new = slice(self.n, self.n + len(sizes))
+        self.sizes[new] = sizes
+        self.starts[new] = self.used + (np.cumsum(sizes) - sizes if starts is None else starts)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.n += len(sizes)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists with these numbers, one after another, and their sizes."""
+        sizes = self.sizes[numbers]
+        return ragged(self.flat, self.starts[numbers], sizes), sizes
+
+
+def newest(numbers: dict[str, int], before: int) -> list[str]:
+    """The keys that a numbering dictionary got after it had `before`."""
+    found = list(islice(reversed(numbers), len(numbers) - before))
+    found.reverse()
+    return found
+
+
+def binary_array(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value per list of integers; the lists stand in flat one after another."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))) * flat.dtype.itemsize
+    if offsets[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+    raise ValueError("2 GB of integers or more in one batch")
+
+
+def flat_values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """binary_array()'s integers, and how many each value has; a null counts as empty."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.empty(0, np.uint8)
+    return raw.view(kind), np.diff(at) // np.dtype(kind).itemsize

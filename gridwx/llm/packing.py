@@ -11,26 +11,30 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridwx.llm.common import mix64, stage
+from gridwx.llm.common import Lists, binary_array, flat_values, mix64, newest, ragged, stage, stretches
 
 WINDOW = 2048
 END_ID = 1
-#: Bytes of ids, and documents, of one index shard.
-SHARD_BYTES = 8 << 20
+#: Ids, and documents, of one index shard.
+SHARD_TOKENS = 2 << 20
 SHARD_DOCS = 4096
 #: Neighbours asked for at a time, and the BM25 parameters.
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
 #: Terms found in a larger part of a shard's documents are kept as rows over all of them instead of postings.
 COMMON = 0.1
+#: An index drops its used documents' postings when less than this part of its documents is open.
+KEEP = 0.75
 TERM_BITS = 20
 TERM_SPACE = 1 << TERM_BITS
 #: A document's route is the hash of its 1, 2, 4 or 8 strongest shared terms: the first that ROUTE_DOCS documents at most
@@ -43,104 +47,157 @@ RARE = 16
 #: Counts are added up by slices of so many places; the slice TOTALS holds the numbers of documents and of their terms.
 SLICE_PLACES = 4096
 TOTALS = -1
-#: Marks the last id of a chunk until the ids are packed; no vocabulary has so many ids.
-CHUNK_END = 1 << 31
 #: Chunks and words whose ids a worker remembers.
-MEMO_LIMIT = 500_000
+MEMO_CHUNKS = 500_000
+MEMO_WORDS = 690_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SPACE = re.compile(r"[ \t\n\r]+")
 #: str.split() takes these for white space, the vocabulary does not.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Chunks (joined by line feeds) whose words the library borders and lower-cases as Python does.
 _SIMPLE = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*")
-#: A long text is tokenized in slices of about this many characters, cut at white space; short ones GROUP at most at a time.
+#: The vocabulary's word borders in lower-case plain text, and line feeds. The numbers of Latin that are no decimal digits
+#: stand by name, as Python counts them as letters.
+_BORDERS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|\n|(?:[^\w\s]|_)+")
+#: A text is tokenized in slices of about this many characters, cut at white space; texts are tokenized GROUP at a time.
 SLICE = 1 << 20
 GROUP = 512
-
-
-def marked(ids: bytes) -> bytes:
-    return ids and ids[:-1] + bytes([ids[-1] | CHUNK_END >> 24])
+#: Stands for the end of a document among its chunks, which hold no line feed.
+_END = "\n"
 
 
 class WordTokenizer:
     """Token ids of white-space separated chunks by the tokenizers library, each distinct word encoded once per worker.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Chunks of
-    plain Latin text are split at the vocabulary's own word borders, and their unseen words are encoded together: every
-    word ends in one end-of-word token, which cuts the ids apart. Any other chunk, and one with the text of an added token,
-    is encoded alone.
+    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Chunks are
+    numbered as they come; a chunk's ids are looked up by its number. New chunks of plain Latin text are split at the
+    vocabulary's own word borders, and their new words are encoded together: every word ends in one end-of-word token,
+    which cuts the ids apart. Any other chunk, and one with the text of an added token, is encoded alone.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|\n|[^\s\p{L}\p{N}]+")
+        #: The same vocabulary for words that are lower-case and cut apart already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        added = self.model.get_added_tokens_decoder()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
         vocabulary = self.model.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.ones(max([end_id, *vocabulary.values(), *added]) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.word_ids: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunk_ids) > MEMO_LIMIT:
-            self.chunk_ids = {}
-        if len(self.word_ids) > MEMO_LIMIT:
-            self.word_ids = {}
-        joined = "\n".join(chunks)
-        odd: list[str] = []
-        added = self.added.search if self.added else lambda _: None
-        if not (_SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined) and not added(joined)):
-            plain = [c for c in chunks if _SIMPLE.fullmatch(c) and unicodedata.is_normalized("NFC", c) and not added(c)]
-            odd = list(set(chunks).difference(plain))
-            chunks, joined = plain, "\n".join(plain)
-        words = self.words.findall(joined.lower())
-        known = self.word_ids
-        unseen = list(set(words).difference(known, "\n"))
-        if unseen:
-            ids = np.array(self.model.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
+        self.kind = id_type(self.ends)
+        self.end_id = end_id
+        self._forget_words()
+        self._forget_chunks()
+
+    def _forget_words(self) -> None:
+        self.words: dict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.word_ids = Lists(self.kind)
+        self.words["\n"]
+        self.word_ids.add(np.empty(0, self.kind), np.zeros(1, np.int64))
+
+    def _forget_chunks(self) -> None:
+        self.chunks: dict[str, int] = defaultdict()
+        self.chunks.default_factory = self.chunks.__len__
+        self.chunk_ids = Lists(self.kind)
+        self.chunks[_END]
+        self.chunk_ids.add(np.array([self.end_id], self.kind), np.ones(1, np.int64))
+
+    def _plain_ids(self, chunks: list[str], joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after another, and how many each has."""
+        before = len(self.words)
+        found = _BORDERS.findall(joined.lower())
+        numbers = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        if unseen := newest(self.words, before):
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(unseen):
                 raise ValueError("the vocabulary does not end each word with one end-of-word token")
-            raw, at = ids.tobytes(), 0
-            for word, cut in zip(unseen, (cuts * 4).tolist()):
-                known[word] = raw[at:cut]
-                at = cut
-        ids_of, nth, one = self.chunk_ids, 0, []
-        for word in words:
-            if word == "\n":
-                ids_of[chunks[nth]] = marked(b"".join(one))
-                nth, one = nth + 1, []
-            else:
-                one.append(known[word])
-        if chunks:
-            ids_of[chunks[nth]] = marked(b"".join(one))
-        for chunk in odd:
-            ids_of[chunk] = marked(np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+            self.word_ids.add(ids, np.diff(cuts, prepend=0))
+        ids, sizes = self.word_ids.take(numbers)
+        until = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(until[np.concatenate((np.flatnonzero(numbers == 0), [len(numbers)]))], prepend=0)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text the ids as little-endian unsigned 32-bit integers, the last one of each chunk with CHUNK_END set."""
+    def _learn(self, chunks: list[str]) -> None:
+        joined = "\n".join(chunks)
+        added = self.added.search if self.added else lambda _: None
+        if _SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined) and not added(joined):
+            self.chunk_ids.add(*self._plain_ids(chunks, joined))
+            return
+        plain = np.array([_SIMPLE.fullmatch(c) is not None and unicodedata.is_normalized("NFC", c) and not added(c) for c in chunks])
+        parts, sizes = [], np.empty(len(chunks), np.int64)
+        if plain.any():
+            own = [c for c, p in zip(chunks, plain.tolist()) if p]
+            ids, sizes[plain] = self._plain_ids(own, "\n".join(own))
+            parts.append(ids)
+        odd = [self.model.encode(c, add_special_tokens=False).ids for c, p in zip(chunks, plain.tolist()) if not p]
+        sizes[~plain] = [len(x) for x in odd]
+        parts += [np.array(x, self.kind) for x in odd]
+        # the plain chunks' ids, then the others'; their places in the order of the numbers
+        by_part = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        place = np.empty(len(chunks), np.int64)
+        place[by_part] = np.cumsum(sizes[by_part]) - sizes[by_part]
+        self.chunk_ids.add(np.concatenate(parts), sizes, place)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' ids one after another, each text's followed by the end id; 1 where an id ends a chunk, else 0; and
+        how many ids each text has."""
+        flat: list[np.ndarray] = []
+        stops: list[np.ndarray] = []
+        sizes = np.zeros(len(texts), np.int64)
         chunks: list[str] = []
-        ends = []
-        for text in texts:
-            chunks += _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
+        owner: list[int] = []
+        ends: list[int] = []
+        pending = 0
+
+        def flush() -> None:
+            before = len(self.chunks)
+            numbers = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+            if unseen := newest(self.chunks, before):
+                self._learn(unseen)
+            ids, n = self.chunk_ids.take(numbers)
+            flat.append(ids)
+            until = np.concatenate(([0], np.cumsum(n)))
+            stops.append(np.zeros(len(ids), np.uint8))
+            stops[-1][until[1:][n > 0] - 1] = 1
+            until = until[ends]
+            np.add.at(sizes, owner, np.diff(until, prepend=0))
+            if len(self.chunks) > MEMO_CHUNKS:
+                self._forget_chunks()
+            if len(self.words) > MEMO_WORDS:
+                self._forget_words()
+
+        for i, text in enumerate(texts):
+            for part in slices(text):
+                chunks += _SPACE.split(part) if any(c in part for c in _SEPARATORS) else part.split()
+                owner.append(i)
+                ends.append(len(chunks))
+                pending += len(part)
+                if pending >= SLICE:
+                    flush()
+                    chunks, owner, ends, pending = [], [], [], 0
+            chunks.append(_END)
+            owner.append(i)
             ends.append(len(chunks))
-        ids = list(map(self.chunk_ids.get, chunks))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            self._learn(list({chunks[i]: None for i in missing}))
-            found = self.chunk_ids
-            for i in missing:
-                ids[i] = found[chunks[i]]
-        return [b"".join(ids[s:e]) for s, e in zip([0, *ends], ends)]
+        if chunks:
+            flush()
+        if not flat:
+            return np.empty(0, self.kind), np.empty(0, np.uint8), sizes
+        return np.concatenate(flat), np.concatenate(stops), sizes
+
+
+def id_type(ends: np.ndarray) -> str:
+    """Little-endian unsigned integers that hold every id of the vocabulary."""
+    return "<u2" if len(ends) <= 1 << 16 else "<u4"
 
 
 def slices(text: str) -> Iterator[str]:
@@ -153,52 +210,32 @@ def slices(text: str) -> Iterator[str]:
         at = end
 
 
-def encode_texts(words: WordTokenizer, texts: list[str]) -> Iterator[bytes]:
-    """encode() of each text, with not much more than SLICE characters at a time."""
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        if size + len(text) > SLICE and group:
-            yield from words.encode(group)
-            group, size = [], 0
-        if len(text) > SLICE:
-            yield b"".join([words.encode([part])[0] for part in slices(text)])
-        else:
-            group.append(text)
-            size += len(text)
-    yield from words.encode(group)
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, end_id: int = END_ID) -> WordTokenizer:
+    if (path, end_id) not in _TOKENIZERS:
+        _TOKENIZERS[path, end_id] = WordTokenizer(path, end_id)
+    return _TOKENIZERS[path, end_id]
 
 
-_PLACES = mix64(np.arange(1, 257)) | np.uint64(1)
-
-
-def chunk_terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Document and term number of each chunk of documents with marked chunks and an end id."""
-    if not raw:
+def chunk_terms(ids: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and term number of each chunk of documents as encode() gives them. A term is a hash of the chunk's ids."""
+    if not len(ids):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    ids = np.frombuffer(b"".join(raw), "<u4")
-    sizes = np.array([len(r) // 4 for r in raw], np.int64)
-    last = np.cumsum(sizes) - 1
-    stop = ids >= CHUNK_END
-    stop[last] = True
-    stop[last[sizes > 1] - 1] = True
-    first = np.flatnonzero(np.concatenate(([True], stop[:-1])))
-    place = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
-    value = np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * _PLACES[place & 255], first)
-    doc = np.repeat(np.arange(len(raw)), sizes)[first]
-    keep = first != last[doc]
+    first = np.concatenate(([0], np.flatnonzero(stops[:-1]) + 1))
+    doc = np.repeat(np.arange(len(sizes)), sizes)[first]
+    mixed = _mixed()
+    value = np.add.reduceat(mixed[ids & 0xFFFF], first) + (mixed[ids[first] & 0xFFFF] << np.uint64(1))
+    keep = first != (np.cumsum(sizes) - 1)[doc]
     return doc[keep], (mix64(value[keep]) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _mixed() -> np.ndarray:
+    return mix64(np.arange(1, (1 << 16) + 1))
+
+
 @dataclass
 class Statistics:
     """Of all documents: their number, their mean number of terms, and of each term the documents that have it."""
@@ -212,12 +249,19 @@ class Statistics:
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
 
 
-def route_levels(raw: list[bytes], statistics: Statistics) -> np.ndarray:
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    return values[first], np.diff(first, append=len(values))
+
+
+def route_levels(ids: np.ndarray, stops: np.ndarray, lengths: np.ndarray, statistics: Statistics) -> np.ndarray:
     """Of each document the hash of its strongest 1, 2, 4 and 8 terms that other documents have too."""
-    n = len(raw)
-    doc, term = chunk_terms(raw)
+    n = len(lengths)
+    doc, term = chunk_terms(ids, stops, lengths)
     sizes = np.bincount(doc, minlength=n)
-    pairs, tf = np.unique(doc << TERM_BITS | term, return_counts=True)
+    pairs, tf = distinct(doc << TERM_BITS | term)
     doc, term = pairs >> TERM_BITS, pairs & (TERM_SPACE - 1)
     shared = statistics.df[term] > 1
     doc, term, tf = doc[shared], term[shared], tf[shared]
@@ -289,7 +333,7 @@ class Index:
         n = self.n = len(terms)
         sizes = np.array([len(t) for t in terms], np.int64)
         pairs = np.concatenate([np.repeat(np.arange(n), sizes) * TERM_SPACE + np.concatenate(terms)]) if n else np.empty(0, np.int64)
-        pairs, tf = np.unique(pairs, return_counts=True)
+        pairs, tf = distinct(pairs)
         doc, term = pairs // TERM_SPACE, pairs % TERM_SPACE
         df = np.bincount(term, minlength=TERM_SPACE)
         if statistics is None:
@@ -310,23 +354,34 @@ class Index:
         by_term = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.first = np.concatenate(([0], np.cumsum(lengths)))
+        self.docs = np.arange(n)
+
+    def keep(self, open_: np.ndarray) -> None:
+        """Leave out the postings of documents that are not open; from now on only open ones are scored."""
+        left = open_[self.docs]
+        place = np.cumsum(left) - 1
+        of = left[self.doc]
+        self.first = np.concatenate(([0], np.cumsum(of)))[self.first]
+        self.doc, self.weight = place[self.doc[of]], self.weight[of]
+        self.rows = np.ascontiguousarray(self.rows[:, left])
+        self.docs = self.docs[left]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Every document's score for all terms of the seed."""
+        """The score of each of `docs` for all terms of the seed."""
         score = self.rows[self.row_terms[self.row_from[seed] : self.row_from[seed + 1]]].sum(0, dtype=np.float64)
         terms = self.query_terms[self.query_from[seed] : self.query_from[seed + 1]]
-        lengths = self.first[terms + 1] - self.first[terms]
-        at = np.arange(lengths.sum()) + np.repeat(self.first[terms] - np.cumsum(lengths) + lengths, lengths)
-        return score + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        begin = self.first[terms]
+        at = stretches(begin, self.first[terms + 1] - begin)
+        return score + np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.docs))
 
     def neighbours(self, seed: int, open_: np.ndarray, limit: int, scores: np.ndarray | None = None) -> np.ndarray:
         """The open documents with the highest scores for the seed; ties go to the earlier document."""
         score = self.scores(seed) if scores is None else scores
-        found = np.flatnonzero((score > 0) & open_)
+        found = np.flatnonzero((score > 0) & open_[self.docs])
         if len(found) > limit:
             least = np.partition(score[found], len(found) - limit)[len(found) - limit]
             found = found[score[found] >= least]
-        return found[np.lexsort((found, -score[found]))][:limit]
+        return self.docs[found[np.lexsort((found, -score[found]))][:limit]]
 
 
 def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int, statistics: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
@@ -344,6 +399,8 @@ def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int, statisti
     order = np.lexsort((np.arange(n), -rest)).tolist()
     at = 0
     while True:
+        if np.count_nonzero(open_) < KEEP * len(index.docs):
+            index.keep(open_)
         while at < n and not open_[order[at]]:
             at += 1
         if at == n:
@@ -375,12 +432,16 @@ def pack_shard(tokens: list[int], terms: list[np.ndarray], window: int, statisti
         yield pieces
 
 
-ENCODED = "doc_id long, row long, slice int, ids binary"
+ENCODED = "doc_id long, row long, slice int, ids binary, stops binary"
 
 
-def encoded_rows(doc_id: pa.Array, row: np.ndarray, slice_: list, ids: list[bytes]) -> pa.RecordBatch:
-    columns = [doc_id, pa.array(row, pa.int64()), pa.array(slice_, pa.int32()), pa.array(ids, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "slice", "ids"])
+def encoded_rows(doc_id: pa.Array, row: np.ndarray, slice_: pa.Array, ids: pa.Array, stops: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(row, pa.int64()), slice_, ids, stops], names=["doc_id", "row", "slice", "ids", "stops"])
+
+
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, GROUP):
+        yield batch.slice(at, GROUP)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -389,89 +450,103 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     Returns a row per piece: doc_id, start (ids of its document before it), length, ids (binary, little-endian unsigned
     32-bit), doc_tokens (with the end id), sequence_id, offset (place in the window, gapless from 0). A null or empty
     text is the end id alone; a null or repeated doc_id is packed like any row; an empty table gives no rows; other
-    columns are not read.
+    columns are not read. Which documents share an index shard depends on the words of all of them and on the number of
+    shuffle partitions, so windows may differ between runs with other settings; pieces cover each document all the same.
     """
 
     context = docs.sparkSession.sparkContext
+    kind = tokenizer(tokenizer_path, end_id).kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        words = tokenizer(tokenizer_path, end_id)
         row = TaskContext.get().partitionId() << 36
         df, totals = np.zeros(TERM_SPACE, np.int64), np.zeros(2, "<i8")
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                group = batch.slice(at, GROUP)
-                raw = [x + end for x in encode_texts(words, [x or "" for x in group.column(1).to_pylist()])]
-                doc, term = chunk_terms(raw)
-                np.add.at(df, np.unique(doc << TERM_BITS | term) & (TERM_SPACE - 1), 1)
-                totals += len(raw), len(term)
-                n = len(raw)
-                yield encoded_rows(group.column(0), np.arange(row, row + n), [None] * n, raw)
+            for group in groups(batch):
+                n = group.num_rows
+                ids, stops, sizes = words.encode([x or "" for x in group.column(1).to_pylist()])
+                doc, term = chunk_terms(ids, stops, sizes)
+                np.add.at(df, distinct(doc << TERM_BITS | term)[0] & (TERM_SPACE - 1), 1)
+                totals += n, len(term)
+                yield encoded_rows(group.column(0), np.arange(row, row + n), pa.nulls(n, pa.int32()), binary_array(ids, sizes), binary_array(stops, sizes))
                 row += n
         if totals[0]:
-            rows = [*count_slices(df), (TOTALS, totals.tobytes())]
-            n = len(rows)
-            yield encoded_rows(pa.nulls(n, pa.int64()), np.zeros(n, np.int64), *map(list, zip(*rows)))
+            numbers, parts = zip(*count_slices(df), (TOTALS, totals.tobytes()))
+            n = len(numbers)
+            yield encoded_rows(pa.nulls(n, pa.int64()), np.zeros(n, np.int64), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, pa.binary()))
 
     encoded = stage(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(encode, ENCODED), "encoded")
     df, totals = add_slices(encoded.where("slice IS NOT NULL").select("slice", "ids"), TERM_SPACE)
     whole = context.broadcast(Statistics(int(totals[0]), float(totals[1] / max(1, totals[0])), df))
-    encoded = encoded.where("slice IS NULL").select("doc_id", "row", "ids")
+    encoded = encoded.where("slice IS NULL").select("doc_id", "row", "ids", "stops")
+
+    def levels_of(ids: pa.Array, stops: pa.Array) -> np.ndarray:
+        flat, lengths = flat_values(ids, kind)
+        return route_levels(flat, flat_values(stops, "u1")[0], lengths, whole.value)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(LEVELS), 1 << ROUTE_BITS), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                for own, level in zip(counts, route_levels(batch.column(0).slice(at, GROUP).to_pylist(), whole.value)):
+            for group in groups(batch):
+                for own, level in zip(counts, levels_of(*group.columns)):
                     np.add.at(own, level, 1)
         rows = list(count_slices(counts))
         if rows:
             numbers, parts = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "ids"])
 
-    sizes, _ = add_slices(encoded.select("ids").mapInArrow(count, "slice int, ids binary"), len(LEVELS) << ROUTE_BITS)
+    sizes, _ = add_slices(encoded.select("ids", "stops").mapInArrow(count, "slice int, ids binary"), len(LEVELS) << ROUTE_BITS)
     sizes = context.broadcast(sizes.reshape(len(LEVELS), -1))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                group = batch.slice(at, GROUP)
-                levels = route_levels(group.column(2).to_pylist(), whole.value)
-                found = routes(levels, group.column(1).to_numpy(), sizes.value)
-                yield pa.RecordBatch.from_arrays([*group.columns, pa.array(found, pa.int64())], names=["doc_id", "row", "ids", "route"])
+            for group in groups(batch):
+                found = routes(levels_of(*group.columns[2:]), group.column(1).to_numpy(), sizes.value)
+                yield pa.RecordBatch.from_arrays([*group.columns, pa.array(found, pa.int64())], names=["doc_id", "row", "ids", "stops", "route"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
 
-        def shards() -> Iterator[tuple[list, list]]:
-            ids, raw, size = [], [], 0
+        def shards() -> Iterator[pa.Table]:
+            held, size = [], 0
             for batch in batches:
-                for doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids.append(doc_id)
-                    raw.append(one.as_py())
-                    size += len(raw[-1])
-                    if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
-                        yield ids, raw
-                        ids, raw, size = [], [], 0
-            if ids:
-                yield ids, raw
-
-        for ids, raw in shards():
-            doc, term = chunk_terms(raw)
-            raw = [(np.frombuffer(r, "<u4") & (CHUNK_END - 1)).tobytes() for r in raw]
-            cuts = np.searchsorted(doc, np.arange(len(raw) + 1)).tolist()
+                tokens = np.cumsum(flat_values(batch.column(1), kind)[1])
+                at = 0
+                while at < batch.num_rows:
+                    before = int(tokens[at - 1]) if at else 0
+                    # up to the row that fills the shard
+                    n = min(int(np.searchsorted(tokens, before + SHARD_TOKENS - size)) + 1, at + SHARD_DOCS - sum(map(len, held)), batch.num_rows)
+                    held.append(batch.slice(at, n - at))
+                    size += int(tokens[n - 1]) - before
+                    at = n
+                    if size >= SHARD_TOKENS or sum(map(len, held)) >= SHARD_DOCS:
+                        yield pa.Table.from_batches(held)
+                        held, size = [], 0
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for shard in shards():
+            chunks = [flat_values(c, kind) for c in shard.column(1).chunks]
+            flat, tokens = (np.concatenate(x) for x in zip(*chunks))
+            doc, term = chunk_terms(flat, np.concatenate([flat_values(c, "u1")[0] for c in shard.column(2).chunks]), tokens)
+            cuts = np.searchsorted(doc, np.arange(len(tokens) + 1)).tolist()
             terms = [term[s:e] for s, e in zip(cuts, cuts[1:])]
-            rows: list[tuple] = []
-            for pieces in pack_shard([len(r) // 4 for r in raw], terms, window, whole.value):
-                offset = 0
-                for d, start, length in pieces:
-                    rows.append((ids[d], start, length, raw[d][4 * start : 4 * (start + length)], len(raw[d]) // 4, sequence, offset))
-                    offset += length
-                sequence += 1
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    routed = encoded.mapInArrow(route, "doc_id long, row long, ids binary, route long")
-    return routed.repartition("route").sortWithinPartitions("route", "row").select("doc_id", "ids").mapInArrow(pack, PIECES)
+            begin = np.cumsum(tokens) - tokens
+            pieces, windows = [], []
+            for found in pack_shard(tokens.tolist(), terms, window, whole.value):
+                pieces += found
+                windows.append(len(found))
+            d, start, length = np.array(pieces, np.int64).T
+            of = np.repeat(np.arange(len(windows)), windows)
+            until = np.cumsum(length) - length
+            offset = until - until[np.cumsum(windows) - windows][of]
+            ids = ragged(flat, begin[d] + start, length).astype("<u4")
+            numbers = [start, length, tokens[d], sequence + of, offset]
+            start, length, doc_tokens, sequences, offset = (pa.array(x, pa.int64()) for x in numbers)
+            doc_ids = shard.column(0).combine_chunks().take(pa.array(d))
+            columns = [doc_ids, start, length, binary_array(ids, length.to_numpy()), doc_tokens, sequences, offset]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            sequence += len(windows)
+
+    routed = encoded.mapInArrow(route, "doc_id long, row long, ids binary, stops binary, route long")
+    return routed.repartition("route").sortWithinPartitions("route", "row").select("doc_id", "ids", "stops").mapInArrow(pack, PIECES)

@@ -11,7 +11,6 @@ PATH = P.path("word_bpe_49k.json")
 
 def reference(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -127,8 +126,35 @@ def test_every_term_of_a_seed_counts():
 def test_texts_of_added_tokens_are_the_librarys_ids():
     texts = ["hello <|endoftext|> x<|startoftext|>y", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |> é<|endoftext|>", "日本<|startoftext|>日本 <|<|endoftext|>|>", "plain text"]
     library = Tokenizer.from_file(PATH)
-    words = packing.WordTokenizer(PATH)
-    for text, raw in zip(texts, words.encode(texts)):
-        ids = np.frombuffer(raw, "<u4") & (packing.CHUNK_END - 1)
-        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, _, sizes = packing.WordTokenizer(PATH).encode(texts)
+    for text, one in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert one.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
     assert len(library.encode(texts[0], add_special_tokens=False).ids) == 5
+
+
+def test_ids_are_the_librarys(monkeypatch):
+    """Random texts, long ones in slices, and a worker that forgets its words now and then."""
+    monkeypatch.setattr(packing, "SLICE", 300)
+    monkeypatch.setattr(packing, "MEMO_CHUNKS", 400)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 150)
+    rng = np.random.default_rng(8)
+    letters = list("aAbBeEéÉßıİſK²³¹½_ªº÷'’.,;-–—…0123456789 \t\n\r\x0b\x1c\x1e\x85\xa0\u2028\u3000\u0301日本🙂<|>'s't're") + ["<|endoftext|>", " they're ", "'LL"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 120))) for _ in range(600)]
+    texts += [" ".join(f"word{x}" for x in rng.integers(0, 900, 2000)), "", " \n ", "x" * 5000]
+    library, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    for at in range(0, len(texts), 40):
+        ids, stops, sizes = words.encode(texts[at : at + 40])
+        for text, one in zip(texts[at : at + 40], np.split(ids, np.cumsum(sizes)[:-1])):
+            assert one.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_an_index_of_open_documents_scores_alike():
+    rng = np.random.default_rng(4)
+    terms = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(90)]
+    whole, part = packing.Index(terms), packing.Index(terms)
+    open_ = np.ones(90, bool)
+    for d in rng.permutation(90)[:70].tolist():
+        open_[d] = False
+        if d % 3 == 0:
+            part.keep(open_)
+        assert part.neighbours(d, open_, 12).tolist() == whole.neighbours(d, open_, 12).tolist()
