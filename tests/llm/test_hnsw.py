@@ -41,3 +41,53 @@ def test_fewer_candidates_than_asked(spark):
 
 def test_empty_table(spark):
     assert hnsw.nearest(frame(spark, [(0, [1.0])]).limit(0), "id % 20 = 0").count() == 0
+
+
+def recall(rows: np.ndarray, width: int = hnsw.SEARCH_WIDTH, k: int = 20, spread: int = 0) -> float:
+    """Recall of one graph per band of norms over every 20th row, ties counted as found."""
+    norms = np.linalg.norm(rows, axis=1)
+    bands = np.floor(np.log2(norms)).astype(int)
+    found: dict[int, list] = {}
+    asked = np.arange(0, len(rows), 20)
+    for band in np.unique(bands):
+        own = np.flatnonzero(bands == band)
+        nodes = hnsw.build_graph(rows[own]).search((rows[asked] / np.abs(rows[asked]).max(1, keepdims=True)).astype(np.float32), width)
+        for q, near in zip(asked.tolist(), nodes):
+            found.setdefault(q, []).extend(own[near[near >= 0]].tolist())
+    hits = 0
+    for q in asked.tolist():
+        scores = rows @ rows[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-k]
+        best = sorted((scores[v] for v in found[q] if v != q), reverse=True)[:k]
+        hits += sum(s >= least for s in best)
+    return hits / (k * len(asked))
+
+
+def test_recall_with_unequal_norms():
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(3000, 24))
+    assert recall(data) >= 0.95
+    for factor in (1e2, 1e4, 1e6):
+        one = data.copy()
+        one[7] *= factor
+        assert recall(one) >= 0.95
+    assert recall(data * 10 ** rng.uniform(-3, 3, (3000, 1))) >= 0.95
+    assert recall(data * 1e30) >= 0.95
+
+
+def test_recall_in_separate_clusters():
+    rng = np.random.default_rng(9)
+    for clusters, noise in ((8, 0.05), (60, 0.1), (700, 0.02)):
+        centres = rng.normal(size=(clusters, 32))
+        data = centres[rng.integers(0, clusters, 5000)] + noise * rng.normal(size=(5000, 32))
+        assert recall(data / np.linalg.norm(data, axis=1, keepdims=True)) >= 0.95
+
+
+def test_bands_and_huge_components(spark):
+    vectors = [[1.0, 0.0], [3.0, 4.0], [1e200, 1e200], [1e-200, 0.0], [0.75, 0.0]]
+    rows = hnsw.usable(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    bands = {r["id"]: r["b"] for r in rows.select("id", hnsw._band(rows["vector"]).alias("b")).collect()}
+    assert bands == {0: 0, 1: 2, 2: 664, 3: -665, 4: -1}
+    found = hnsw.search_index(hnsw.build_index(rows), rows.where("id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [2, 1, 4, 3]
