@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,17 +209,21 @@ def edits(docs: DataFrame) -> DataFrame:
     steps = [i / (RANGES * tasks) for i in range(1, RANGES * tasks)]
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     bounds = sorted(set(ids.withColumn("doc_id", F.col("doc_id").cast("double")).approxQuantile("doc_id", steps, 0.1 / len(steps))))
-    cuts = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>")
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    place = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    firsts = sorted(ids.select(place.alias("range"), key.alias("k")).groupBy("range").agg(F.min("k").alias("k")).collect())
+    # finds a value's range by halving; ids that one double stands for share a range
+    ranges = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol="value", outputCol="range")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        return ranges.transform(rows.withColumn("value", key.cast("double"))).drop("value").withColumn("range", F.col("range").cast("int"))
+
+    firsts = sorted(ranged(ids).groupBy("range").agg(F.min(key).alias("k")).collect())
     follows = [(k, firsts[i - 1]["range"]) for i, (_, k) in enumerate(firsts)]  # the first document also ends the range before
 
     rows = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "coalesce(text, '') text").withColumn("tie", F.xxhash64("text"))
     heads = rows.withColumn("k", key).join(F.broadcast(spark.createDataFrame(follows, "k long, range int")), "k")
     heads = heads.groupBy("range").agg(F.min(F.struct("tie", "doc_id", "text")).alias("h"))
     ghosts = heads.select("h.doc_id", "h.text", "h.tie", "range", F.lit(1).alias("ghost"))
-    dealt = rows.select("doc_id", "text", "tie", place.alias("range"), F.lit(0).alias("ghost")).unionByName(ghosts)
+    dealt = ranged(rows).select("doc_id", "text", "tie", "range", F.lit(0).alias("ghost")).unionByName(ghosts)
     dealt = dealt.repartition(tasks, "range").sortWithinPartitions("range", "ghost", "doc_id", "tie").select("doc_id", "text", "range")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

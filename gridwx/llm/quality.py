@@ -156,8 +156,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Machine:
 
 
 def held_out(column: str = "doc_id"):
-    """crc32 of the id as text leaves 1 on division by 3."""
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(3)) == 1
+    """crc32 of the id as text leaves 1 on division by 3; a null id is not held out, and no label is known for it."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
