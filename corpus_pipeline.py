@@ -15,7 +15,10 @@ from gridwx.llm.queries import public_path
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine predicts to be of quality 0 go."""
+    """Documents that the factorisation machine predicts to be of quality 0 go.
+
+    Null and empty texts are scored like any; without labels nothing goes; repeated rows are judged alike.
+    """
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, machine).where("predicted = 1").select(*docs.columns)
 
@@ -23,7 +26,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: five-word shingles, similarity 0.8 or more, the smallest doc_id.
 
-    Rows that share a doc_id are told apart: each is in the group of its own text, and of equal rows one stays.
+    Rows that share a doc_id are told apart: each is in the group of its own text, and of equal rows one stays. Rows
+    without words, or with a null doc_id, all stay.
     """
     keyed = stage(docs.withColumn("near_copy_row", F.monotonically_increasing_id()), "keyed")
     found = minhash.near_duplicates(keyed, words=5, percent=80, key="near_copy_row")
@@ -31,20 +35,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more stay in the document with the smallest doc_id; documents left without words go."""
+    """Passages of 50 words or more stay in the document with the smallest doc_id; documents left without words go.
+
+    Null, empty and short texts pass as they are, and so do rows with a null doc_id.
+    """
     cut = substring.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     cut = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every credential span is masked in its text."""
+    """Every credential span is masked in its text. All rows stay; null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 token ids, lexical neighbours together."""
+    """Windows of 2048 token ids, lexical neighbours together. A null or empty text is its end id alone."""
     return packing.pack_documents(docs, public_path("word_bpe_49k.json"))
 
 
