@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwx.functions.values import finite, percentage, round1
+from gridwx.functions.values import percentage, round1
 
 CELL = ["lat_idx", "lon_idx"]
 WET = 0.1
@@ -34,18 +34,21 @@ def region_stats(grid: DataFrame, regions: DataFrame, value: str = "precipitatio
     """All regions and all statistics in one pass; a cell may belong to several regions. regions: a handful of boxes."""
     inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col("longitude").between(F.col("lon_min"), F.col("lon_max"))
     # days of one cell are added up before the boxes are looked at
-    v = F.col(value)
+    v = F.col(value).cast("double")
     cells = grid.groupBy("latitude", "longitude").agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi")
+        F.count(v).alias("n"), F.sum(v).alias("s"), F.avg(v).alias("m"), F.var_pop(v).alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi")
     )
-    found = cells.join(F.broadcast(regions), inside).groupBy("region").agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("min"), F.max("hi").alias("max")
+    cells = cells.join(F.broadcast(regions), inside)
+    # the squares within cells and those of the cells' means from the region's, which do not cancel
+    means = cells.groupBy("region").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    spread = F.col("n") * (F.col("q") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))
+    found = cells.join(F.broadcast(means), "region").groupBy("region", "mean").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(spread).alias("q"), F.min("lo").alias("min"), F.max("hi").alias("max")
     )
-    mean = F.try_divide("s", "n")
     return found.select(
         "region",
-        mean.alias("mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.try_divide("q", "n") - mean * mean)).alias("std"),
+        "mean",
+        F.sqrt(F.try_divide("q", "n")).alias("std"),
         "min",
         "max",
         F.coalesce("s", F.lit(0.0)).alias("sum"),
@@ -139,10 +142,13 @@ def histogram(grid: DataFrame, value: str = "precipitation", bins: int = 50) ->
     return rows.join(F.broadcast(ends)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def latitude_bands(grid: DataFrame, nlat: int, bands: int = 10, value: str = "precipitation") -> DataFrame:
-    """Quartiles and whiskers (the extreme values within 1.5 quartile distances) per band; the last takes the remainder."""
+def latitude_bands(grid: DataFrame, nlat: int, bands: int = 10, value: str = "precipitation", accuracy: int | None = None) -> DataFrame:
+    """Quartiles and whiskers (the extreme values within 1.5 quartile distances) per band; the last takes the remainder.
+
+    Give an accuracy (ranks off by at most 1 / accuracy) where a band's values are too many to count exactly.
+    """
     rows = grid.withColumn("band", F.least((F.col("lat_idx") / F.lit(max(1, nlat // bands))).cast("int"), F.lit(bands - 1))).where(F.col(value).isNotNull())
-    q = rows.groupBy("band").agg(quantiles(F.col(value), [0.25, 0.5, 0.75]).alias("q"), F.count(F.lit(1)).alias("n"))
+    q = rows.groupBy("band").agg(quantiles(F.col(value), [0.25, 0.5, 0.75], accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
     q = q.select("band", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
@@ -213,7 +219,3 @@ def coarsen(grid: DataFrame, degrees: float, value: str = "precipitation") -> Da
 
 def log_scale(value: Column) -> Column:
     return F.log10(value + 0.01)
-
-
-def finite_only(rows: DataFrame, value: str) -> DataFrame:
-    return rows.where(finite(F.col(value)).isNotNull())

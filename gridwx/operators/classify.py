@@ -101,6 +101,83 @@ def variable_summary(long: DataFrame, variables: DataFrame) -> DataFrame:
     return found.withColumn("converted", converted).withColumn("band", band)
 
 
+# What a variable's text is about, its second sentence, and the sources it names.
+OPENING = "At %s aggregation for %s, the %s was %s %s (range %s to %s %s; %d intervals). "
+SUBJECTS = {"wind": "mean wind", "dew": "mean dew point"}
+CLOSINGS = {
+    "temperature": "On a Celsius reference scale, this corresponds to mean %s C (range %s to %s C), classified as %s for this aggregation.",
+    "wind": "Converted to mph, mean was %s mph and max was %s mph; %s based on NWS advisory/watch/warning thresholds.",
+    "dew": "Converted to Fahrenheit, mean dew point was %s F, indicating %s conditions for this aggregation.",
+    "humidity": "Relative humidity state for this aggregation is %s based on mean RH.",
+    "solar": "Converted to kWh/m2/day-equivalent, mean was %s (range %s to %s), which is classified as %s solar irradiation for this aggregation.",
+    "other": "No specialized meteorological threshold set is currently mapped for %s.",
+}
+NO_DATA = "No valid observations are available for this selection yet."
+KINDS = {"T2M": "temperature", "TMAX": "temperature", "TMIN": "temperature", "WIND": "wind", "WS2M": "wind", "TDEW": "dew", "RH2M": "humidity", "SRAD": "solar", "RAIN": "rain", "RAIN1": "rain"}
+PERIODS = ("daily", "weekly", "monthly", "yearly")
+SOURCES = {
+    "rain": [
+        ("Rain Intensity Definitions", "https://wgntv.com/weather/weather-blog/do-meteorologists-have-specific-definitions-for-drizzle-light-rain-steady-rain-heavy-rain-downpour/"),
+        ("NWS Heavy Glossary", "https://forecast.weather.gov/glossary.php?word=heavy"),
+    ],
+    "temperature": [("Temperature Category Bands", "https://thinkmetric.uk/basics/temperature/")],
+    "wind": [
+        (
+            "NWS Wind Advisory/Warning Thresholds",
+            "https://www.weather.gov/dmx/dsswind#:~:text=Wind%20Information%20Page&text=A%20Wind%20Advisory%20means%20that,power%20lines%20and%20small%20structures.&text=Click%20each%20image%20above%20to,from%206pm%20to%206am%20CST.",
+        )
+    ],
+    "dew": [("NWS Dew Point Comfort Guidance", "https://www.weather.gov/arx/why_dewpoint_vs_humidity#:~:text=less%20than%20or%20equal%20to,in%20the%20air%2C%20becoming%20oppressive")],
+    "humidity": [("NWS Humidity Definition", "https://forecast.weather.gov/glossary.php?word=humidity")],
+    "solar": [("Solar Irradiation Classes", "https://energypedia.info/wiki/SPIS_Toolbox_-_Solar_Irradiation")],
+}
+SOURCE_LIST = "array<struct<label:string,url:string>>"
+
+
+def unique_sources(sources: Column) -> Column:
+    """The sources (label, url) with another url than those before them."""
+    urls = F.transform(sources, lambda x: x["url"])
+    return F.filter(sources, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
+
+
+def source_list(kind: Column) -> Column:
+    lists = F.create_map(*[x for k, pairs in SOURCES.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("url")) for a, b in pairs]))])
+    return F.coalesce(F.element_at(lists, kind), F.array().cast(SOURCE_LIST))
+
+
+def variable_texts(long: DataFrame, variables: DataFrame, aggregation: str = "daily") -> DataFrame:
+    """code, value -> code, summary, sources: the text for each variable, by its kind, and where its classes come from.
+
+    A variable without finite values gets a text that says so, and no sources. variables: code, description, units.
+    """
+    known = F.broadcast(variables.select("code", "description", "units"))
+    v = V.finite(F.col("value"))
+    found = long.groupBy("code").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")).join(known, "code", "left")
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    found = found.withColumn("units", F.coalesce("units", F.lit(""))).withColumn("kind", F.coalesce(F.element_at(kinds, F.col("code")), F.lit("other")))
+    units, text = F.col("units"), V.number_text
+    period = F.lit(aggregation if aggregation in PERIODS else "selected")
+    subject = F.when(F.col("kind") == "wind", SUBJECTS["wind"]).when(F.col("kind") == "dew", SUBJECTS["dew"]).otherwise("mean")
+    opening = F.format_string(OPENING, period, F.coalesce("description", "code"), subject, text(F.col("mean")), units, text(F.col("min")), text(F.col("max")), units, F.col("n"))
+    celsius, mph, kwh = ([f(F.col(c), units) for c in ("mean", "min", "max")] for f in (V.to_celsius, V.to_mph, V.to_kwh))
+    fahrenheit = V.to_fahrenheit(F.col("mean"), units)
+    closings = {
+        "temperature": [*map(text, celsius), V.temperature_band(celsius[0])],
+        "wind": [text(mph[0]), text(mph[2]), V.wind_hazard(mph[2])],
+        "dew": [text(fahrenheit), V.dew_point_comfort(fahrenheit)],
+        "humidity": [V.humidity_state(F.col("mean"))],
+        "solar": [*map(text, kwh), V.solar_band(kwh[0])],
+        "other": [F.col("code")],
+    }
+    closing = F.coalesce(*[F.when(F.col("kind") == k, F.format_string(CLOSINGS[k], *parts)) for k, parts in closings.items()])
+    rain = long.join(known, "code", "left").where(F.element_at(kinds, F.col("code")) == "rain")
+    rain_units = {r["code"]: r["units"] for r in variables.where(F.col("code").isin("RAIN", "RAIN1")).select("code", "units").collect()}
+    rain = rain_summary(rain, ["code"], "value", aggregation, rain_units.get("RAIN", "mm")).select("code", F.col("summary").alias("rain_text"))
+    summary = F.when(F.col("n") == 0, NO_DATA).when(F.col("kind") == "rain", F.col("rain_text")).otherwise(F.concat(opening, closing))
+    sources = F.when(F.col("n") == 0, F.array().cast(SOURCE_LIST)).otherwise(unique_sources(source_list(F.col("kind"))))
+    return found.join(rain, "code", "left").select("code", summary.alias("summary"), sources.alias("sources"))
+
+
 def source_matrix(rows: DataFrame, choices: list[tuple[str, str]], by_variable: dict[str, list[str]], external: dict[str, str]) -> DataFrame:
     """rows (column code, and others) by source: label, available, external name, and what stands in for an equal choice."""
     spark = rows.sparkSession

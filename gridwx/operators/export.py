@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwx import catalog
 from gridwx.functions.values import day_of_year, one_decimal_text
+from gridwx.workspace import staged
 
 # Widths of the site table, reference heights, and what each rain source is described as.
 SITE_WIDTHS = [("INSI", 6), ("WTHLAT", 9), ("WTHLONG", 10), ("WELEV", 10), ("TAV", 7), ("AMP", 6), ("REFHT", 7), ("WNDHT", 7)]
@@ -90,18 +91,35 @@ def unique_names(names: DataFrame, most_rounds: int = 20) -> DataFrame:
     rows = rows.withColumn("_name", name)
     for _ in range(most_rounds):
         w = Window.partitionBy("_name").orderBy(F.col("_first") > 1, "point_seq")
-        marked = rows.withColumn("_bump", F.row_number().over(w) > 1)
+        marked = staged(rows.withColumn("_bump", F.row_number().over(w) > 1), "names")
         if marked.where("_bump").isEmpty():
-            break
+            return marked.select("point_seq", F.col("_name").alias("file_name"))
         rows = marked.withColumn("_k", F.when(F.col("_bump"), F.greatest(F.col("_k"), F.lit(1)) + 1).otherwise(F.col("_k"))).withColumn("_name", name).drop("_bump")
-    return rows.select("point_seq", F.col("_name").alias("file_name"))
+    raise RuntimeError(f"file names still meet after {most_rounds} rounds")
+
+
+def _number(value: Column, digits: int) -> Column:
+    """Plain digits without trailing zeros, as JSON numbers are read everywhere."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", value), r"\.?0+$", "")
 
 
 def features(points: DataFrame) -> DataFrame:
-    """point_seq, feature: a GeoJSON feature per point, coordinates with seven decimals."""
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 7), F.round("lat", 7)).alias("coordinates"))
-    properties = F.struct(F.col("point_id").alias("ID"), F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"))
-    return points.select("point_seq", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("feature"))
+    """point_seq, feature: a GeoJSON feature per point, coordinates with seven decimals, properties with eight."""
+    name = F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col("point_id").cast("string").alias("x"))), r"^\{\"x\":(.*)\}$", 1), F.lit(""))
+    name = F.when(name == "", F.lit("null")).otherwise(name)
+    parts = [
+        F.lit('{"type":"Feature","properties":{"ID":'), name, F.lit(',"Latitude":'), _number(F.col("lat"), 8), F.lit(',"Longitude":'), _number(F.col("lon"), 8),
+        F.lit('},"geometry":{"type":"Point","coordinates":['), _number(F.col("lon"), 7), F.lit(","), _number(F.col("lat"), 7), F.lit("]}}"),
+    ]
+    return points.select("point_seq", F.concat(*parts).alias("feature"))
+
+
+def feature_collections(points: DataFrame, most: int = 1000) -> DataFrame:
+    """file_no, collection: GeoJSON texts of the points, each of those whose point_seq falls into one stretch of `most` numbers."""
+    rows = features(points).withColumn("file_no", F.floor(F.col("point_seq") / most).cast("long"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("point_seq", "feature"))), lambda x: x["feature"])
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(each, ","), F.lit("]}"))
+    return rows.groupBy("file_no").agg(text.alias("collection"))
 
 
 def package_summary(names: DataFrame, series: DataFrame, variables: list[str], rain_source: str) -> DataFrame:
@@ -116,5 +134,11 @@ def package_summary(names: DataFrame, series: DataFrame, variables: list[str], r
 
 
 def write_package(files: DataFrame, path: str) -> None:
-    """file_name, content: one folder of text per file, written by the executors."""
+    """file_name, content: one folder of text per file, written by the executors through Spark's own committer."""
     files.select("file_name", "content").write.partitionBy("file_name").mode("overwrite").text(path)
+
+
+def read_package(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, content of a written package."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("file_name").cast("string").alias("file_name"), F.regexp_replace("value", "\n\\z", "").alias("content"))

@@ -34,10 +34,12 @@ def solar_segments(solar: DataFrame, buckets: DataFrame) -> DataFrame:
     return solar.join(ranges, own).select(*solar.columns)
 
 
-def solar_dedup(solar: DataFrame, keys: list[str], order: str = "bucket") -> DataFrame:
-    """The first row per key and day in order of the buckets."""
-    w = Window.partitionBy(*keys, "obs_date").orderBy(order)
-    return solar.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def solar_dedup(solar: DataFrame, keys: list[str], buckets: DataFrame) -> DataFrame:
+    """The row per key and day of the bucket that begins first. buckets: bucket, valid_from, a handful of rows."""
+    starts = F.broadcast(buckets.select(F.col("bucket").alias("_bucket"), F.col("valid_from").alias("_from")))
+    w = Window.partitionBy(*keys, "obs_date").orderBy(F.col("_from").asc_nulls_last(), "bucket")
+    rows = solar.join(starts, solar["bucket"] == F.col("_bucket"), "left").withColumn("_n", F.row_number().over(w))
+    return rows.where("_n = 1").select(*solar.columns)
 
 
 def with_solar(met: DataFrame, solar: DataFrame, keys: list[str], fill: float | None = None) -> DataFrame:
@@ -47,13 +49,6 @@ def with_solar(met: DataFrame, solar: DataFrame, keys: list[str], fill: float |
     return joined if fill is None else joined.withColumn("SRAD", F.coalesce("SRAD", F.lit(fill)))
 
 
-def on_spine(rows: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
-    """One row per key and day of the range."""
-    days = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("obs_date")
-    spine = rows.select(*keys).distinct().select(*keys, days)
-    return spine.join(rows, [*keys, "obs_date"], "left")
-
-
 def merge_sources(rain: DataFrame, weather: DataFrame, keys: list[str], rain_source: str) -> DataFrame:
     """rain: keys, obs_date, RAIN. weather: keys, obs_date, RAIN1 and others.
 
@@ -69,6 +64,21 @@ def merge_sources(rain: DataFrame, weather: DataFrame, keys: list[str], rain_sou
     raise ValueError(f"unknown rain source {rain_source!r}")
 
 
+def series_by_source(series: dict[str, DataFrame], source: str, code: str) -> DataFrame:
+    """The series of one variable as the named source has it, under its code; a source without it is an error.
+
+    series: by source, keys and obs_date with a column per variable.
+    """
+    if source not in series:
+        raise ValueError(f"unknown source {source!r}; there are {sorted(series)}")
+    names = [code, *(["RAIN1"] if code == "RAIN" and source != "chirps" else [])]
+    found = [c for c in names if c in series[source].columns]
+    if not found:
+        raise ValueError(f"{source} has no {code}")
+    others = [c for c in series[source].columns if c not in {v for v, *_ in catalog.VARIABLES}]
+    return series[source].select(*others, F.col(found[0]).alias(code))
+
+
 def cross_resolution(fine: DataFrame, coarse: DataFrame, coarse_spec, fine_values: list[str], coarse_values: list[str]) -> DataFrame:
     """Every fine cell with the values of the nearest coarse cell, joined by index and day."""
     rows = fine.withColumn("c_lat", coarse_spec.nearest_lat(F.col("latitude"))).withColumn("c_lon", coarse_spec.nearest_lon(F.col("longitude")))

@@ -26,7 +26,7 @@ def resample(rows: DataFrame, every: str, keys: list[str], values: list[str]) ->
 def resample_gapfilled(rows: DataFrame, every: str, keys: list[str], values: list[str]) -> DataFrame:
     """As resample, with a null row for each empty bin between a key's first and last."""
     found = resample(rows, every, keys, values)
-    step = {"weekly": "interval 7 days", "monthly": "interval 1 month", "yearly": "interval 1 year"}[every]
+    step = {"daily": "interval 1 day", "weekly": "interval 7 days", "monthly": "interval 1 month", "yearly": "interval 1 year"}[every]
     first, last = F.min("bin"), F.max("bin")
     if every == "monthly":  # from first days, so that every step lands in its month
         first, last = F.trunc(first, "month"), F.trunc(last, "month")

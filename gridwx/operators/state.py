@@ -116,9 +116,9 @@ def ingest_summary(outcomes: DataFrame, rows: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(state))
 
 
-def error_digest(errors: DataFrame, n: int = 10) -> DataFrame:
-    """seq, message: the first n messages and a line that counts the rest."""
-    first = errors.orderBy("seq").limit(n).select("seq", "message")
+def error_digest(errors: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
+    """seq (from 1), message: the first n messages by `order`, and a line that counts the rest."""
+    first = errors.orderBy(order).limit(n).withColumn("seq", F.row_number().over(Window.orderBy(order))).select("seq", "message")
     rest = errors.agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > n)
-    rest = rest.select(F.lit(2**31 - 1).cast(errors.schema["seq"].dataType).alias("seq"), F.concat(F.lit("... and "), (F.col("total") - n).cast("string"), F.lit(" more")).alias("message"))
+    rest = rest.select(F.lit(2**31 - 1).alias("seq"), F.concat(F.lit("... and "), (F.col("total") - n).cast("string"), F.lit(" more")).alias("message"))
     return first.unionByName(rest)

@@ -33,7 +33,7 @@ def grid_scan(spark, sf_dir, grid):
 
 @query("grid_daily", f"SELECT {CELLS} FROM fx_grid_daily WHERE obs_date = DATE '1998-03-05'")
 def single_date(spark, sf_dir, grid):
-    return grid.where("obs_date = DATE'1998-03-05'").select(*COLUMNS)
+    return S.single_date(grid, "1998-03-05").select(*COLUMNS)
 
 
 @query("grid_daily", f"SELECT {CELLS} FROM fx_grid_daily WHERE obs_date BETWEEN DATE '{FIRST}' AND DATE '{LAST}'")
@@ -410,6 +410,16 @@ def dataset_meta(spark, sf_dir, grid):
     return tables.dataset_meta(grid)
 
 
+@query("", "SELECT CAST(n_nationkey AS INTEGER) AS file_no, unnest(['title', 'institution', 'source', 'references', 'comment']) AS key, unnest([n_name, 'Unknown', CASE WHEN n_regionkey = 1 THEN 'Daily rasters' ELSE 'region ' || CAST(n_regionkey AS VARCHAR) END, '', '']) AS value FROM nation")
+def dataset_attributes(spark, sf_dir):
+    """The five attributes of metadata files: given ones, defaults for what a file lacks or has as null, others left out."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    source = F.when(F.col("n_regionkey") != 1, F.concat(F.lit("region "), F.col("n_regionkey").cast("string")))
+    text = F.to_json(F.struct(F.col("n_name").alias("title"), source.alias("source"), F.lit("x").alias("unknown_key")), {"ignoreNullFields": "false"})
+    found = tables.attributes(nations.select(F.col("n_nationkey").cast("int").alias("file_no"), text.alias("value")))
+    return found.select("file_no", F.explode("attrs").alias("key", "value"))
+
+
 @query("elevation", "SELECT lat_idx, lon_idx, CASE WHEN elev >= -430 AND elev <= 9000 THEN elev END AS elev FROM fx_elevation")
 def elevation_clean(spark, sf_dir, elevation):
     return tables.clean_elevation(elevation).select("lat_idx", "lon_idx", "elev")

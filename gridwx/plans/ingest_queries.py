@@ -24,19 +24,76 @@ def raster_explode(spark, sf_dir, tiles):
     return raster.explode_cells(tiles, TRANSFORM)
 
 
-@query("raster_tile", ", x AS (SELECT obs_date, pixel_values, unnest(generate_series(0, 63)) AS p FROM fx_raster_tile) SELECT obs_date, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(p AS INTEGER) AS pos, pixel_values[p + 1] AS value FROM x")
-def raster_decode(spark, sf_dir, tiles):
-    """Rasters as the content of raw float32 files, decoded by the executors."""
+def _files(tiles):
+    """Rasters as files: a head of reference system and number of bands, then raw float32 pixels."""
 
     def packed(batches):
         import numpy as np
 
         for batch in batches:
-            yield batch[["path"]].assign(content=[np.asarray(v, "<f4").tobytes() for v in batch["pixel_values"]])
+            heads = [np.array([int(c.removeprefix("EPSG:")), b], "<i4").tobytes() for c, b in zip(batch["crs"], batch["band_count"])]
+            yield batch[["path"]].assign(content=[h + np.asarray(v, "<f4").tobytes() for h, v in zip(heads, batch["pixel_values"])])
+
+    path = F.concat(F.lit("rasters/raster.v3."), F.date_format("obs_date", "yyyy.MM.dd"), F.lit(".tif"))
+    return tiles.select(path.alias("path"), "crs", "band_count", "pixel_values").mapInPandas(packed, "path string, content binary")
+
+
+def _decode(content):
+    import numpy as np
+
+    crs, bands = np.frombuffer(content, "<i4", 2).tolist()
+    pixels = np.frombuffer(content, "<f4", offset=8).reshape(8, 8)
+    return raster.Raster(pixels, f"EPSG:{crs}", tuple(TRANSFORM), None, bands)
 
-    named = tiles.select(F.concat(F.lit("raster.v3."), F.date_format("obs_date", "yyyy.MM.dd"), F.lit(".tif")).alias("path"), "pixel_values")
-    files = named.mapInPandas(packed, "path string, content binary")
-    return raster.decode_rasters(files, raster.float32_decoder(8, 8)).select("obs_date", "width", "height", F.posexplode("pixel_values").alias("pos", "value"))
+
+@query("raster_tile", """, x AS (SELECT obs_date, crs, band_count, pixel_values, unnest(generate_series(0, 63)) AS p FROM fx_raster_tile)
+    SELECT obs_date, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, crs, CAST(band_count AS INTEGER) AS band_count, CAST(p // 8 AS INTEGER) AS lat_idx, CAST(p % 8 AS INTEGER) AS lon_idx, pixel_values[p + 1] AS value FROM x""")
+def raster_decode(spark, sf_dir, tiles):
+    """The content of raster files, decoded by the executors into tiles of three pixels on a side."""
+    decoded = raster.decode_rasters(_files(tiles), _decode, 3)
+    cells = raster.explode_cells(decoded).select("obs_date", "lat_idx", "lon_idx", "value")
+    heads = decoded.where("row0 = 0 AND col0 = 0").select("obs_date", "width", "height", "crs", "band_count")
+    return heads.join(cells, "obs_date")
+
+
+GOOD = "band_count = 1 AND crs = 'EPSG:4326' AND list_min(pixel_values) >= 0"
+WRONG = """array_to_string(list_filter([CASE WHEN crs <> 'EPSG:4326' THEN 'CRS mismatch' END, CASE WHEN band_count <> 1 THEN 'Expected single band' END,
+    CASE WHEN list_min(pixel_values) < 0 THEN 'Found ' || CAST(len(list_filter(pixel_values, lambda x: x < 0)) AS VARCHAR) || ' negative precipitation values' END], lambda s: s IS NOT NULL), '; ')"""
+SIGNED_SQL = "SELECT obs_date, width, height, crs, band_count, CASE WHEN day(obs_date) = 13 THEN pixel_values ELSE list_transform(pixel_values, lambda x: abs(x)) END AS pixel_values FROM fx_raster_tile"
+
+
+def _signed(tiles):
+    """Rainfall without negative values, but for the 13th of each month."""
+    return tiles.withColumn("pixel_values", F.when(F.dayofmonth("obs_date") == 13, F.col("pixel_values")).otherwise(F.transform("pixel_values", F.abs)))
+
+
+@query("raster_tile", f", t AS ({SIGNED_SQL}) SELECT obs_date, CASE WHEN {GOOD} THEN 'ok' ELSE 'failed' END AS outcome, {WRONG} AS errors, CAST(CASE WHEN {GOOD} THEN 64 ELSE 0 END AS INTEGER) AS n_cells FROM t")
+def bootstrap_outcomes(spark, sf_dir, tiles):
+    """A table made of raster files: each day's outcome, and the cells that the table has of it."""
+    table = scratch(spark, "bootstrap")
+    found = ingest.bootstrap_run(spark, _files(_signed(tiles)), _decode, table)
+    cells = spark.read.parquet(table).groupBy("obs_date").agg(F.count("precipitation").alias("n"))
+    errors = F.array_join(F.array_sort("errors"), "; ")
+    return found.join(cells, "obs_date", "left").select("obs_date", "outcome", errors.alias("errors"), F.coalesce("n", F.lit(0)).cast("int").alias("n_cells"))
+
+
+@query(
+    "raster_tile",
+    f""", t AS ({SIGNED_SQL}), d AS (SELECT 1 AS run, CAST(unnest(generate_series(DATE '2024-04-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS DATE) AS obs_date
+    UNION ALL SELECT 2, unnest([DATE '2024-05-01', DATE '2024-05-02']) UNION ALL SELECT 3, CAST(unnest(generate_series(DATE '2024-03-25', DATE '2024-04-23', INTERVAL 1 DAY)) AS DATE))
+    SELECT CAST(run AS INTEGER) AS run, obs_date, CASE WHEN obs_date = DATE '2024-05-02' THEN 'missing' WHEN NOT ({GOOD}) THEN 'failed' WHEN run = 3 THEN 'skipped' ELSE 'ok' END AS outcome FROM d JOIN t USING (obs_date)""",
+)
+def incremental_outcomes(spark, sf_dir, tiles):
+    """After a bootstrap of three months: a run of thirty days, one that ends at a missing file, and a forced one over days
+    that the table has, but for the rejected ones."""
+    files = _files(_signed(tiles)).withColumn("day", raster.path_to_date(F.col("path"))).where("day <> DATE'2024-05-02'")
+    table = scratch(spark, "incremental")
+    ingest.bootstrap_run(spark, files.where("day < DATE'2024-04-01'"), _decode, table)
+    runs = []
+    for run, forced in ((1, None), (2, None), (3, "2024-03-25")):
+        done = ingest.incremental_run(spark, files, _decode, table, forced)
+        runs.append(done.select(F.lit(run).alias("run"), "obs_date", "outcome"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 CHECKED = """, x AS (SELECT obs_date, width, height, crs, band_count, unnest(pixel_values) AS v FROM fx_raster_tile), f AS (SELECT min_by(crs, obs_date) AS crs FROM fx_raster_tile),
@@ -62,6 +119,16 @@ def idempotent_append(spark, sf_dir, grid):
     return tables.append_new_days(existing, grid).select("cell_id", "obs_date", "precipitation")
 
 
+@query("manifest", "SELECT CASE WHEN status = 200 THEN 'downloaded' ELSE 'download_failed' END AS event, count(*) * 2 AS n, min(obs_date) AS first_day, max(obs_date) AS last_day FROM fx_manifest GROUP BY 1")
+def audit_append(spark, sf_dir, manifest):
+    """The events of two runs, appended to the audit table and summed up."""
+    path = scratch(spark, "audit")
+    events = manifest.select(F.when(F.col("status") == 200, "downloaded").otherwise("download_failed").alias("event"), "obs_date", "path")
+    for run in (1, 2):
+        tables.append_audit(events.withColumn("run", F.lit(run)), path)
+    return tables.audit_summary(spark.read.parquet(path))
+
+
 @query("grid_daily", "SELECT lat_idx, lon_idx, round(avg(precipitation), 4) AS mean FROM fx_grid_daily GROUP BY ALL")
 def csv_export(spark, sf_dir, grid):
     """Cell means written as one CSV file and read again."""
@@ -84,10 +151,8 @@ def ingest_summary(spark, sf_dir, manifest):
 @query("manifest", """, e AS (SELECT CAST(row_number() OVER (ORDER BY obs_date) AS INTEGER) AS seq, 'no file for ' || CAST(obs_date AS VARCHAR) AS message FROM fx_manifest WHERE status <> 200)
     SELECT seq, message FROM e WHERE seq <= 3 UNION ALL SELECT CAST(2147483647 AS INTEGER), '... and ' || CAST(count(*) - 3 AS VARCHAR) || ' more' FROM e HAVING count(*) > 3""")
 def error_digest(spark, sf_dir, manifest):
-    from pyspark.sql import Window
-
-    bad = manifest.where("status <> 200").select(F.row_number().over(Window.orderBy("obs_date")).alias("seq"), F.concat(F.lit("no file for "), F.col("obs_date").cast("string")).alias("message"))
-    return T.error_digest(bad, 3)
+    bad = manifest.where("status <> 200").select("obs_date", F.concat(F.lit("no file for "), F.col("obs_date").cast("string")).alias("message"))
+    return T.error_digest(bad, 3, "obs_date")
 
 
 @query("raster_tile", f""", t AS ({ABS_SQL}), g AS (SELECT * FROM t WHERE band_count = 1 AND crs = 'EPSG:4326'), x AS (SELECT obs_date, pixel_values, unnest(generate_series(0, 63)) AS p FROM g)
@@ -114,7 +179,7 @@ def incremental_ingest(spark, sf_dir, other):
     for drop in (rows.where("obs_date < DATE'2024-01-16'"), rows, None):
         if drop is not None:
             drop.write.mode("append").parquet(f"{base}/drops")
-        ingest.incremental(spark, f"{base}/drops", rows.schema, f"{base}/table", f"{base}/checkpoint")
+        ingest.incremental(spark, f"{base}/drops", rows.schema, f"{base}/table", f"{base}/checkpoint", ["cell_id"])
     return spark.read.parquet(f"{base}/table").select(*rows.columns)
 
 

@@ -16,6 +16,7 @@ from gridwx.plans.grid_queries import LONG, LONG_SQL, rounded
 from gridwx.plans.registry import COARSE, ELEVATION, FINE, query
 from gridwx.sources import series as J
 from gridwx.sources import vector
+from gridwx.workspace import scratch
 
 CELL = ["lat_idx", "lon_idx"]
 LAT_IDX = "CAST(greatest(0, least(9, ceil((0.225e0 - lat) / 0.05e0 - 0.5e0))) AS INTEGER)"
@@ -29,9 +30,10 @@ def points_nearest_join(spark, sf_dir, points, grid):
     return P.nearest_join(points, grid, FINE, ["precipitation"])
 
 
-@query("points grid_daily", "SELECT point_seq, obs_date, raw_value FROM fx_points p JOIN fx_grid_daily g ON g.lat_idx = CAST(floor((0.25e0 - lat) / 0.05e0) AS INTEGER) AND g.lon_idx = CAST(floor((lon - 30e0) / 0.05e0) AS INTEGER) WHERE obs_date = DATE '1998-03-05'")
+@query("points grid_daily", "SELECT point_seq, count(*) AS n_days, sum(raw_value) AS total FROM fx_points p JOIN fx_grid_daily g ON g.lat_idx = CAST(floor((0.25e0 - lat) / 0.05e0) AS INTEGER) AND g.lon_idx = CAST(floor((lon - 30e0) / 0.05e0) AS INTEGER) GROUP BY 1")
 def pixel_value(spark, sf_dir, points, grid):
-    return P.pixel_value(points, grid.where("obs_date = DATE'1998-03-05'"), FINE, "raw_value")
+    found = P.pixel_value(points, grid, FINE, "raw_value")
+    return found.groupBy("point_seq").agg(F.count(F.lit(1)).alias("n_days"), F.sum("raw_value").alias("total"))
 
 
 def corner_sql(lat0, lon0, d, n):
@@ -39,10 +41,10 @@ def corner_sql(lat0, lon0, d, n):
     c AS (SELECT point_seq, i AS lat_idx, j AS lon_idx, (1 - (u - i)) * (1 - (v - j)) AS w FROM i UNION ALL SELECT point_seq, i, j + 1, (1 - (u - i)) * (v - j) FROM i UNION ALL SELECT point_seq, i + 1, j, (u - i) * (1 - (v - j)) FROM i UNION ALL SELECT point_seq, i + 1, j + 1, (u - i) * (v - j) FROM i)"""
 
 
-@query("points grid_daily", corner_sql(0.225, 30.025, 0.05, 10) + " SELECT point_seq, obs_date, CASE WHEN count(precipitation) = 4 THEN round(sum(w * precipitation), 4) END AS precipitation FROM c JOIN fx_grid_daily g USING (lat_idx, lon_idx) WHERE obs_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-10' GROUP BY 1, 2")
+@query("points grid_daily", corner_sql(0.225, 30.025, 0.05, 10) + ", d AS (SELECT point_seq, obs_date, CASE WHEN count(precipitation) = 4 THEN sum(w * precipitation) END AS v FROM c JOIN fx_grid_daily g USING (lat_idx, lon_idx) GROUP BY 1, 2) SELECT point_seq, count(v) AS n_days, round(avg(v), 4) AS mean FROM d GROUP BY 1")
 def point_bilinear(spark, sf_dir, points, grid):
-    days = grid.where("obs_date BETWEEN DATE'1998-03-01' AND DATE'1998-03-10'")
-    return rounded(P.bilinear_join(points, days, FINE, "precipitation", ["obs_date"]), "precipitation")
+    days = P.bilinear_join(points, grid, FINE, "precipitation", ["obs_date"])
+    return days.groupBy("point_seq").agg(F.count("precipitation").alias("n_days"), F.round(F.avg("precipitation"), 4).alias("mean"))
 
 
 @query(
@@ -63,19 +65,20 @@ def points_bounds(spark, sf_dir, points):
     return bounds(P.only_valid(points))
 
 
-@query("points", "SELECT point_seq, point_id, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY round(lon, 2), round(lat, 2) ORDER BY point_seq) AS n FROM fx_points) WHERE n = 1")
+@query("points", "SELECT point_seq, point_id, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY round(lon, 4), round(lat, 4) ORDER BY point_seq) AS n FROM fx_points) WHERE n = 1")
 def dedup_points(spark, sf_dir, points):
-    return P.dedup_points(points, 2).select("point_seq", "point_id", "lat", "lon")
+    return P.dedup_points(points).select("point_seq", "point_id", "lat", "lon")
 
 
 @query(
     "points",
     """, m AS (SELECT point_seq, CASE WHEN NOT lat BETWEEN -90 AND 90 THEN 'Point ' || point_id || ': Latitude out of bounds' WHEN NOT lon BETWEEN -180 AND 180 THEN 'Point ' || point_id || ': Longitude out of bounds' END AS issue FROM fx_points)
-    SELECT count(*) BETWEEN 1 AND 1000000 AND count(*) > count(issue) AS valid, 'Found ' || CAST(count(*) - count(issue) AS VARCHAR) || ' valid coordinates' AS message, count(*) AS total_points, count(*) - count(issue) AS valid_points, count(issue) AS invalid_points,
-    (SELECT string_agg(issue, '; ' ORDER BY point_seq) FROM (SELECT * FROM m WHERE issue IS NOT NULL ORDER BY point_seq LIMIT 5)) AS issues FROM m""",
+    SELECT count(*) BETWEEN 1 AND 1000 AND count(*) > count(issue) AS valid, CASE WHEN count(*) > 1000 THEN 'Too many points: ' || CAST(count(*) AS VARCHAR) || ' (max: 1000)' ELSE 'Found ' || CAST(count(*) - count(issue) AS VARCHAR) || ' valid coordinates' END AS message,
+    count(*) AS total_points, count(*) - count(issue) AS valid_points, count(issue) AS invalid_points, CASE WHEN count(*) > 1000 THEN 'Exceeds maximum point limit of 1000'
+    ELSE (SELECT string_agg(issue, '; ' ORDER BY point_seq) FROM (SELECT * FROM m WHERE issue IS NOT NULL ORDER BY point_seq LIMIT 5)) END AS issues FROM m""",
 )
 def validate_points(spark, sf_dir, points):
-    found = P.validate_points(points, 1_000_000)
+    found = P.validate_points(points)
     return found.withColumn("issues", F.when(F.col("issues") != "", F.col("issues")))
 
 
@@ -124,12 +127,12 @@ FIRST_SOLAR = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx
 
 @query("solar_daily", f"SELECT bucket, lat_idx, lon_idx, obs_date, allsky_sfc_sw_dwn FROM {FIRST_SOLAR}")
 def solar_dedup(spark, sf_dir, solar):
-    return M.solar_dedup(solar, CELL)
+    return M.solar_dedup(solar, CELL, _buckets(spark))
 
 
 @query("met_daily solar_daily", f'SELECT m.lat_idx, m.lon_idx, m.obs_date, t2m, round(coalesce(allsky_sfc_sw_dwn * 0.0864e0, -99), 4) AS "SRAD" FROM fx_met_daily m LEFT JOIN {FIRST_SOLAR} s ON s.lat_idx = m.lat_idx AND s.lon_idx = m.lon_idx AND s.obs_date = m.obs_date')
 def met_with_solar(spark, sf_dir, met, solar):
-    return rounded(M.with_solar(met.select(*CELL, "obs_date", "t2m"), M.solar_dedup(solar, CELL), CELL, -99.0), "SRAD")
+    return rounded(M.with_solar(met.select(*CELL, "obs_date", "t2m"), M.solar_dedup(solar, CELL, _buckets(spark)), CELL, -99.0), "SRAD")
 
 
 def _rain_and_weather(points, grid, met):
@@ -228,19 +231,53 @@ def common_days(spark, sf_dir, grid, manifest):
     return C.common_days(grid, manifest)
 
 
+def number_sql(x):
+    """Whole numbers as they are, others with one decimal, half away from zero."""
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE printf('%.1f', sign({x}) * floor(abs({x}) * 10 + 0.5e0) / 10) END"
+
+
 RAIN_SQL = """, r AS (SELECT cell_id, precipitation AS v, precipitation / 24 AS x FROM fx_grid_daily WHERE precipitation IS NOT NULL),
     a AS (SELECT cell_id, count(*) AS n, sum(v) AS total, avg(v) AS mean, min(v) AS min, max(v) AS max, count(*) FILTER (v > 0) AS wet, count(*) FILTER (x <= 0) AS n_none, count(*) FILTER (x > 0 AND x <= 2.5) AS n_light,
     count(*) FILTER (x > 2.5 AND x <= 7.6e0) AS n_moderate, count(*) FILTER (x > 7.6e0 AND x <= 50) AS n_heavy, count(*) FILTER (x > 50) AS n_violent FROM r GROUP BY cell_id),
-    d AS (SELECT *, n - wet AS dry, 100e0 * wet / n AS wet_pct, CASE greatest(n_none, n_light, n_moderate, n_heavy, n_violent) WHEN n_none THEN 'no measurable rain' WHEN n_light THEN 'light rain' WHEN n_moderate THEN 'moderate rain' WHEN n_heavy THEN 'heavy rain' ELSE 'violent rain' END AS dominant FROM a)
-    SELECT cell_id, n, round(total, 4) AS total, round(mean, 4) AS mean, min, max, wet, n_none, n_light, n_moderate, n_heavy, n_violent, dry, round(wet_pct, 4) AS wet_pct, dominant,
-    CASE WHEN wet_pct < 20 THEN 'largely dry' WHEN wet_pct < 50 THEN 'intermittently wet' WHEN dominant IN ('heavy rain', 'violent rain') THEN 'persistently heavy rainfall' WHEN dominant = 'moderate rain' THEN 'moderate rainfall' WHEN dominant = 'light rain' THEN 'light rainfall' ELSE 'mixed rainfall' END AS category,
-    CASE WHEN 100e0 * n_moderate / n > 50 THEN 'Rainfall was predominantly moderate, with occasional heavy events.' WHEN 100e0 * dry / n > 50 THEN 'The period was largely dry, with limited rainfall activity.' WHEN 100e0 * wet / n > 50 THEN 'Frequent wet conditions indicate a consistently rainy period.'
-    WHEN 100e0 * (n_heavy + n_violent) / n > 50 THEN 'Rainfall intensity was frequently heavy, suggesting elevated runoff risk periods.' ELSE 'Rainfall distribution was mixed, with no single intensity class dominating the selected period.' END AS insight FROM d"""
+    d AS (SELECT *, n - wet AS dry, 100e0 * wet / n AS wet_pct, CASE greatest(n_none, n_light, n_moderate, n_heavy, n_violent) WHEN n_none THEN 'no measurable rain' WHEN n_light THEN 'light rain' WHEN n_moderate THEN 'moderate rain' WHEN n_heavy THEN 'heavy rain' ELSE 'violent rain' END AS dominant FROM a),
+    e AS (SELECT *, CASE WHEN wet_pct < 20 THEN 'largely dry' WHEN wet_pct < 50 THEN 'intermittently wet' WHEN dominant IN ('heavy rain', 'violent rain') THEN 'persistently heavy rainfall' WHEN dominant = 'moderate rain' THEN 'moderate rainfall' WHEN dominant = 'light rain' THEN 'light rainfall' ELSE 'mixed rainfall' END AS category, CASE WHEN 100e0 * n_moderate / n > 50 THEN 'Rainfall was predominantly moderate, with occasional heavy events.' WHEN 100e0 * dry / n > 50 THEN 'The period was largely dry, with limited rainfall activity.' WHEN 100e0 * wet / n > 50 THEN 'Frequent wet conditions indicate a consistently rainy period.'
+    WHEN 100e0 * (n_heavy + n_violent) / n > 50 THEN 'Rainfall intensity was frequently heavy, suggesting elevated runoff risk periods.' ELSE 'Rainfall distribution was mixed, with no single intensity class dominating the selected period.' END AS insight FROM d)"""
+RAIN_TEXT_SQL = f"""array_to_string(list_concat(list_concat(['Daily Summary', 'During the selected period, ' || category || ' conditions were observed, with an average rainfall of ' || {number_sql("mean")} || ' mm/day.', '', 'Out of ' || CAST(n AS VARCHAR) || ' days:',
+    CAST(wet AS VARCHAR) || ' days recorded rainfall', CAST(dry AS VARCHAR) || ' days remained dry', '', 'Rainfall intensity distribution:'],
+    CASE WHEN n_heavy + n_violent + n_moderate + n_light = 0 THEN ['No light, moderate, or heavy rainfall days were recorded.'] ELSE list_filter([CASE WHEN n_heavy + n_violent > 0 THEN CAST(n_heavy + n_violent AS VARCHAR) || ' heavy rainfall days' END,
+    CASE WHEN n_moderate > 0 THEN CAST(n_moderate AS VARCHAR) || ' moderate rainfall days' END, CASE WHEN n_light > 0 THEN CAST(n_light AS VARCHAR) || ' light rainfall days' END], lambda x: x IS NOT NULL) END),
+    ['', '1-line insight: ' || insight, '', 'Technical note: dominant interval class = ' || dominant || '; min = ' || {number_sql("min")} || ' mm/day, max = ' || {number_sql("max")} || ' mm/day, total = ' || {number_sql("total")} || ' mm/day, wet coverage = ' || {number_sql("wet_pct")} || '%.']), chr(10))"""
+RAIN_SUMMARY_SQL = RAIN_SQL + f""" SELECT cell_id, n, round(total, 4) AS total, round(mean, 4) AS mean, min, max, wet, n_none, n_light, n_moderate, n_heavy, n_violent, dry, round(wet_pct, 4) AS wet_pct, dominant, category, insight, {RAIN_TEXT_SQL} AS summary FROM e"""
+
 
 
-@query("grid_daily", RAIN_SQL)
+@query("grid_daily", RAIN_SUMMARY_SQL)
 def rain_summary(spark, sf_dir, grid):
-    return rounded(K.rain_summary(grid, ["cell_id"], "precipitation", "daily", "mm/day").drop("summary"), "total", "mean", "wet_pct")
+    return rounded(K.rain_summary(grid, ["cell_id"], "precipitation", "daily", "mm/day"), "total", "mean", "wet_pct")
+
+
+def _source_sql(kind):
+    return "'" + "; ".join(f"{label} {url}" for label, url in K.SOURCES[kind]) + "'"
+
+
+OPENING_SQL = f"'At daily aggregation for ' || description || ', the ' || subject || ' was ' || {number_sql('mean')} || ' ' || units || ' (range ' || {number_sql('min')} || ' to ' || {number_sql('max')} || ' ' || units || '; ' || CAST(n AS VARCHAR) || ' intervals). '"
+TEXT_SQL = f""", l AS ({LONG_SQL}), c AS (SELECT * FROM (VALUES ('T2M', 'Temperature at 2 Meters (°C)', '°C', 'mean'), ('RH2M', 'Relative Humidity at 2 Meters (%)', '%', 'mean'), ('WIND', 'Wind Speed at 2 Meters (m/s)', 'm/s', 'mean wind')) t(code, description, units, subject)),
+    a AS (SELECT code, count(value) AS n, avg(value) AS mean, min(value) AS min, max(value) AS max FROM l GROUP BY code),
+    w AS (SELECT a.*, description, units, subject, mean * 2.2369362921e0 AS mean_mph, max * 2.2369362921e0 AS mph FROM a JOIN c USING (code))
+    SELECT code, {OPENING_SQL} || CASE code
+    WHEN 'T2M' THEN 'On a Celsius reference scale, this corresponds to mean ' || {number_sql('mean')} || ' C (range ' || {number_sql('min')} || ' to ' || {number_sql('max')} || ' C), classified as ' ||
+      CASE WHEN mean <= 0 THEN 'freezing/icy' WHEN mean <= 10 THEN 'very cold' WHEN mean <= 15 THEN 'cold' WHEN mean <= 20 THEN 'cool' WHEN mean <= 25 THEN 'normal/warm' ELSE 'hot' END || ' for this aggregation.'
+    WHEN 'WIND' THEN 'Converted to mph, mean was ' || {number_sql('mean_mph')} || ' mph and max was ' || {number_sql('mph')} || ' mph; ' ||
+      CASE WHEN mph >= 58 THEN 'high wind warning-level threshold met' WHEN mph >= 40 THEN 'high wind watch/warning threshold met' WHEN mph >= 30 THEN 'wind advisory-level threshold met' WHEN mph >= 20 THEN 'windy conditions' ELSE 'below advisory thresholds' END || ' based on NWS advisory/watch/warning thresholds.'
+    ELSE 'Relative humidity state for this aggregation is ' || CASE WHEN mean < 30 THEN 'dry' WHEN mean < 60 THEN 'moderate' WHEN mean < 80 THEN 'humid' ELSE 'very humid' END || ' based on mean RH.' END AS summary,
+    CASE code WHEN 'T2M' THEN {_source_sql('temperature')} WHEN 'WIND' THEN {_source_sql('wind')} ELSE {_source_sql('humidity')} END AS sources FROM w"""
+
+
+@query("met_daily", TEXT_SQL)
+def variable_texts(spark, sf_dir, met):
+    """The text and the sources of each variable but rain, whose text rain_summary has."""
+    found = K.variable_texts(met.selectExpr(LONG), catalog.variables(spark)).where("code <> 'RAIN1'")
+    return found.select("code", "summary", F.array_join(F.transform("sources", lambda x: F.concat_ws(" ", x["label"], x["url"])), "; ").alias("sources"))
 
 
 @query(
@@ -383,9 +420,37 @@ def unique_filenames(spark, sf_dir, points):
     return X.unique_names(X.file_names(_named(points), "2000-01-01", "2000-12-31"))
 
 
-@query("points", """SELECT point_seq, '{"type":"Feature","properties":{"ID":"' || point_id || '","Latitude":' || CAST(lat AS VARCHAR) || ',"Longitude":' || CAST(lon AS VARCHAR) || '},"geometry":{"type":"Point","coordinates":[' || CAST(round(lon, 7) AS VARCHAR) || ',' || CAST(round(lat, 7) AS VARCHAR) || ']}}' AS feature FROM fx_points WHERE abs(lat) >= 0.001 OR lat = 0""")
+def plain_sql(x, digits):
+    return f"regexp_replace(printf('%.{digits}f', {x}), '\\.?0+$', '')"
+
+
+FEATURE_SQL = f"""'{{"type":"Feature","properties":{{"ID":"' || point_id || '","Latitude":' || {plain_sql("lat", 8)} || ',"Longitude":' || {plain_sql("lon", 8)} || '}},"geometry":{{"type":"Point","coordinates":[' || {plain_sql("lon", 7)} || ',' || {plain_sql("lat", 7)} || ']}}}}'"""
+
+
+@query("points", f"SELECT point_seq, {FEATURE_SQL} AS feature FROM fx_points")
 def points_geojson(spark, sf_dir, points):
-    return X.features(points.where("abs(lat) >= 0.001 OR lat = 0"))
+    return X.features(points)
+
+
+@query("points", f"""SELECT CAST(floor(point_seq / 1000) AS BIGINT) AS file_no, '{{"type":"FeatureCollection","features":[' || string_agg({FEATURE_SQL}, ',' ORDER BY point_seq) || ']}}' AS collection FROM fx_points GROUP BY 1""")
+def points_collection(spark, sf_dir, points):
+    return X.feature_collections(points)
+
+
+@query("points", "SELECT point_id, lon, lat FROM fx_points WHERE lat BETWEEN -90 AND 90")
+def geojson_round_trip(spark, sf_dir, points):
+    """FeatureCollection files of the valid points, written, read back and taken apart."""
+    path = scratch(spark, "geojson")
+    X.feature_collections(P.only_valid(points)).select("collection").write.option("maxRecordsPerFile", 1).text(path)
+    return vector.feature_points(vector.read_features(spark, path)).select("point_id", "lon", "lat")
+
+
+@query("sites", "SELECT point_id || '.WTH' AS file_name, 'site ' || point_id || chr(10) || 'line 2' AS content FROM fx_sites")
+def package_files(spark, sf_dir, points):
+    """Files of a package, written by the executors and read back."""
+    path = scratch(spark, "package")
+    X.write_package(points.select(F.concat("point_id", F.lit(".WTH")).alias("file_name"), F.concat(F.lit("site "), "point_id", F.lit("\nline 2")).alias("content")), path)
+    return X.read_package(spark, path)
 
 
 @query(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,62 +15,102 @@ from gridwx.functions.values import percentage
 RESOLUTION = 0.05
 CRS = "EPSG:4326"
 HIGHEST = 2000.0
+#: Pixels on a side of the tiles that rasters are cut into when they are read.
+TILE_SIDE = 250
 TILE = (
-    "obs_date date, path string, width int, height int, crs string, transform array<double>, nodata double, band_count int, pixel_values array<float>"
+    "path string, width int, height int, crs string, transform array<double>, nodata double, band_count int, "
+    "row0 int, col0 int, tile_width int, pixel_values array<float>"
 )
 
 
+@dataclass
+class Raster:
+    """What a decoder makes of a file; pixels is a matrix, first row first."""
+
+    pixels: np.ndarray
+    crs: str | None = CRS
+    transform: tuple[float, ...] = (RESOLUTION, 0.0, 0.0, 0.0, -RESOLUTION, 0.0)
+    nodata: float | None = None
+    band_count: int = 1
+
+
 def path_to_date(path: Column) -> Column:
     """The day in a file's name, ...YYYY.MM.DD.tif; null for other names."""
     found = F.regexp_extract(path, r"(\d{4}\.\d{2}\.\d{2})\.tif$", 1)
     return F.when(found != "", F.to_date(found, "yyyy.MM.dd"))
 
 
-def float32_decoder(width: int, height: int) -> Callable[[bytes], dict]:
+def float32_decoder(width: int, height: int) -> Callable[[bytes], Raster]:
     """Decoder of raw little-endian float32 pixels; other formats plug in here."""
 
-    def decode(content: bytes) -> dict:
+    def decode(content: bytes) -> Raster:
         pixels = np.frombuffer(content, "<f4")
         if len(pixels) != width * height:
             raise ValueError(f"{len(pixels)} pixels, expected {width * height}")
-        return {"width": width, "height": height, "crs": CRS, "transform": [RESOLUTION, 0.0, 0.0, 0.0, -RESOLUTION, 0.0], "nodata": None, "band_count": 1, "pixel_values": pixels.tolist()}
+        return Raster(pixels.reshape(height, width))
 
     return decode
 
 
-def read_rasters(spark: SparkSession, path: str, decode: Callable[[bytes], dict], glob: str = "*.tif") -> DataFrame:
-    """One row per file, decoded by the executors; a file that cannot be decoded has no pixels."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return decode_rasters(files, decode)
-
-
-def decode_rasters(files: DataFrame, decode: Callable[[bytes], dict]) -> DataFrame:
-    """files: path string, content binary."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def raster_files(spark: SparkSession, path: str, glob: str = "*.tif") -> DataFrame:
+    """path, content of the rasters in a folder and those below it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "content")
+
+
+def read_rasters(spark: SparkSession, path: str, decode: Callable[[bytes], Raster], glob: str = "*.tif", side: int = TILE_SIDE) -> DataFrame:
+    """The tiles of every raster in a folder, decoded by the executors."""
+    return decode_rasters(raster_files(spark, path, glob), decode, side)
+
+
+def decode_rasters(files: DataFrame, decode: Callable[[bytes], Raster], side: int = TILE_SIDE) -> DataFrame:
+    """files: path, content. A row per tile of at most side x side pixels, with the place of its first pixel.
+
+    One raster is in memory at a time, and its pixels travel as Arrow buffers. A file that cannot be decoded gives one
+    row without pixels.
+    """
+
+    def rows(path: str, raster: Raster | None) -> pa.RecordBatch:
+        schema = pa.schema(
+            [("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("crs", pa.string()), ("transform", pa.list_(pa.float64())), ("nodata", pa.float64())]
+            + [("band_count", pa.int32()), ("row0", pa.int32()), ("col0", pa.int32()), ("tile_width", pa.int32()), ("pixel_values", pa.list_(pa.float32()))]
+        )
+        if raster is None:
+            return pa.RecordBatch.from_pylist([{"path": path}], schema)
+        height, width = raster.pixels.shape
+        places = [(r, c) for r in range(0, height, side) for c in range(0, width, side)]
+        tiles = [raster.pixels[r : r + side, c : c + side] for r, c in places]
+        offsets = np.concatenate(([0], np.cumsum([t.size for t in tiles]))).astype(np.int32)
+        flat = np.concatenate([t.ravel() for t in tiles]) if tiles else np.empty(0)
+        n = len(places)
+        same = [path, width, height, raster.crs, list(raster.transform), raster.nodata, raster.band_count]
+        columns = [pa.array([x] * n, f.type) for x, f in zip(same, schema)]
+        columns += [pa.array([r for r, _ in places], pa.int32()), pa.array([c for _, c in places], pa.int32()), pa.array([t.shape[1] for t in tiles], pa.int32())]
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.float32, copy=False))))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    tile = decode(bytes(content))
+                    raster = decode(content.as_py())
                 except ValueError:
-                    tile = {"width": None, "height": None, "crs": None, "transform": None, "nodata": None, "band_count": None, "pixel_values": None}
-                rows.append({"path": path} | tile)
-            columns = ["path", "width", "height", "crs", "transform", "nodata", "band_count", "pixel_values"]
-            yield pd.DataFrame(rows, columns=columns).astype({"width": "Int32", "height": "Int32", "band_count": "Int32", "nodata": "Float64"})
+                    raster = None
+                yield rows(path.as_py(), raster)
 
-    schema = TILE.replace("obs_date date, ", "")
-    decoded = files.select("path", "content").mapInPandas(run, schema)
+    decoded = files.select("path", "content").mapInArrow(run, TILE)
     return decoded.withColumn("obs_date", path_to_date(F.col("path"))).select("obs_date", *decoded.columns)
 
 
 def explode_cells(tiles: DataFrame, transform: list[float] | None = None) -> DataFrame:
-    """Cells of each raster: pixel row and column, centre coordinates by the affine transform, value."""
+    """Cells of each raster or tile: pixel row and column, centre coordinates by the affine transform, value."""
     t = F.array(*[F.lit(float(x)) for x in transform]) if transform else F.col("transform")
-    cells = tiles.withColumn("_t", t).select("obs_date", "width", "_t", F.posexplode("pixel_values").alias("pos", "value"))
-    row, col = F.expr("CAST(pos DIV width AS INT)"), F.expr("CAST(pos % width AS INT)")
-    lat = F.get("_t", F.lit(5)) + (row + 0.5) * F.get("_t", F.lit(4))
-    lon = F.get("_t", F.lit(2)) + (col + 0.5) * F.get("_t", F.lit(0))
+    tiled = "row0" in tiles.columns
+    origin = [F.col("row0"), F.col("col0"), F.col("tile_width")] if tiled else [F.lit(0), F.lit(0), F.col("width")]
+    cells = tiles.select("obs_date", t.alias("t"), *[c.alias(n) for c, n in zip(origin, ("r0", "c0", "across"))], F.posexplode("pixel_values").alias("pos", "value"))
+    row, col = F.expr("r0 + CAST(pos DIV across AS INT)"), F.expr("c0 + CAST(pos % across AS INT)")
+    lat = F.get("t", F.lit(5)) + (row + 0.5) * F.get("t", F.lit(4))
+    lon = F.get("t", F.lit(2)) + (col + 0.5) * F.get("t", F.lit(0))
     return cells.select("obs_date", row.alias("lat_idx"), col.alias("lon_idx"), lat.alias("latitude"), lon.alias("longitude"), "value")
 
 
@@ -79,12 +120,15 @@ def valid_pixel(value: Column, nodata: Column) -> Column:
     return F.when(~bad, value)
 
 
-def validate_rasters(tiles: DataFrame, nodata: float | None = None) -> DataFrame:
-    """Per raster: counts, range, list of errors, is_valid. Size and reference system must be those of the first raster."""
-    first = tiles.agg(F.min_by(F.struct("width", "height", "crs"), "obs_date").alias("ref"))
+def validate_rasters(tiles: DataFrame, nodata: float | None = None, same_transform: bool = False) -> DataFrame:
+    """Per raster: counts, range, list of errors, is_valid. Size and reference system must be those of the first raster,
+    and with same_transform its place and resolution too. A file that could not be decoded has no valid pixels."""
+    like = F.col("transform") if same_transform else F.lit(None).cast("array<double>")
+    tiles = tiles.withColumn("like", like)
+    first = tiles.where("width IS NOT NULL").agg(F.min_by(F.struct("width", "height", "crs", "like"), "obs_date").alias("ref"))
     v = valid_pixel(F.col("v").cast("double"), F.lit(nodata).cast("double"))
-    cells = tiles.select("obs_date", "width", "height", "crs", "band_count", F.explode_outer("pixel_values").alias("v"))
-    found = cells.groupBy("obs_date", "width", "height", "crs", "band_count").agg(
+    cells = tiles.select("obs_date", "width", "height", "crs", "band_count", "like", F.explode_outer("pixel_values").alias("v"))
+    found = cells.groupBy("obs_date", "width", "height", "crs", "band_count", "like").agg(
         F.count(v).alias("valid_pixels"), F.count("v").alias("total_pixels"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.count_if(v < 0).alias("negatives")
     )
     found = found.join(F.broadcast(first))
@@ -93,11 +137,13 @@ def validate_rasters(tiles: DataFrame, nodata: float | None = None) -> DataFrame
         (F.col("width") != F.col("ref.width"), F.lit("Width mismatch")),
         (F.col("height") != F.col("ref.height"), F.lit("Height mismatch")),
         (~F.col("crs").eqNullSafe(F.col("ref.crs")), F.lit("CRS mismatch")),
+        (~F.col("like").eqNullSafe(F.col("ref.like")), F.lit("Transform mismatch")),
         (F.col("valid_pixels") == 0, F.lit("No valid data pixels found (all NoData or NaN)")),
         (F.col("negatives") > 0, F.concat(F.lit("Found "), F.col("negatives").cast("string"), F.lit(" negative precipitation values"))),
         (F.col("max_value") > HIGHEST, F.lit("Unrealistic max precipitation")),
     ]
     errors = F.array_compact(F.array(*[F.when(bad, text) for bad, text in checks]))
+    errors = F.when(F.col("width").isNull(), F.array(F.lit("File cannot be decoded"))).otherwise(errors)
     return found.select(
         "obs_date", "valid_pixels", "total_pixels", percentage(F.col("valid_pixels"), F.col("total_pixels")).alias("valid_pct"), "min_value", "max_value", errors.alias("errors"), (F.size(errors) == 0).alias("is_valid")
     )

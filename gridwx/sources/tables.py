@@ -86,6 +86,19 @@ def dataset_meta(grid: DataFrame, defaults: dict[str, str] | None = None) -> Dat
     return ends.select(F.explode(F.array(*pairs)).alias("p")).select("p.key", "p.value")
 
 
+def finalise(spark: SparkSession, path: str, meta_json: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """key, value rows of a table's metadata after a load: its days and extents anew, and the attributes of the last row of
+    meta_json (value: a JSON text; none: defaults) over the defaults."""
+    defaults = defaults or ATTRIBUTES
+    given = attributes(meta_json, defaults).select("attrs").tail(1)
+    return dataset_meta(scan_grid(spark, path), dict(given[0]["attrs"]) if given else defaults)
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Append rows (event, obs_date and what else there is) to the audit table, a partition per kind of event."""
+    events.write.partitionBy("event").mode("append").parquet(path)
+
+
 def table_size(spark: SparkSession, path: str) -> DataFrame:
     """Stored megabytes of a path, from the files' listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

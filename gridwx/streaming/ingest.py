@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwx.operators.state import available_prefix
 from gridwx.sources import raster, tables
+from gridwx.workspace import staged
 
 
 def outcomes(wanted: DataFrame, existing: DataFrame, checked: DataFrame) -> DataFrame:
-    """obs_date, outcome of each wanted day: skipped (exists), missing (no raster), failed (errors) or ok."""
+    """obs_date, outcome, errors of each wanted day: skipped (exists), missing (no raster), failed (errors) or ok."""
     have = existing.select("obs_date").distinct().withColumn("exists", F.lit(True))
-    rows = wanted.join(have, "obs_date", "left").join(checked.select("obs_date", "is_valid"), "obs_date", "left")
+    rows = wanted.join(have, "obs_date", "left").join(checked.select("obs_date", "is_valid", "errors"), "obs_date", "left")
     outcome = F.when(F.col("exists"), "skipped").when(F.col("is_valid").isNull(), "missing").when(~F.col("is_valid"), "failed").otherwise("ok")
-    return rows.select("obs_date", outcome.alias("outcome"))
+    return rows.select("obs_date", outcome.alias("outcome"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
 
 
 def bootstrap(tiles: DataFrame, transform: list[float] | None = None, nodata: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +30,50 @@ def bootstrap(tiles: DataFrame, transform: list[float] | None = None, nodata: fl
     return cells.withColumn("value", value), checked.where("NOT is_valid")
 
 
+def bootstrap_run(spark: SparkSession, files: DataFrame, decode: Callable[[bytes], raster.Raster], table: str, nodata: float | None = None) -> DataFrame:
+    """Make a table of all rasters (path, content) that pass validation, a partition per day, and return the outcomes:
+    obs_date, outcome (ok or failed), errors. An existing table is an error; a bad raster does not stop the others."""
+    tiles = staged(raster.decode_rasters(files, decode), "tiles")
+    checked = staged(raster.validate_rasters(tiles, nodata), "checked")
+    tables.create_table(_cells(tiles, checked, nodata), table)
+    return checked.select("obs_date", F.when(F.col("is_valid"), "ok").otherwise("failed").alias("outcome"), "errors")
+
+
+def incremental_run(
+    spark: SparkSession, files: DataFrame, decode: Callable[[bytes], raster.Raster], table: str, force_date: str | None = None, max_days: int = 30, dry_run: bool = False, nodata: float | None = None
+) -> DataFrame:
+    """Append the days after the table's latest (or from force_date on) as far as files follow each other, max_days at most.
+
+    Returns obs_date, outcome, errors for each such day: skipped (the table has it), ok, failed, and missing for the day at
+    which the files end before max_days. A dry run writes nothing and says planned in place of ok. A repeated run adds nothing.
+    """
+    existing = staged(spark.read.parquet(table).select("obs_date").distinct(), "days")
+    start = force_date or str(existing.agg(F.date_add(F.max("obs_date"), 1)).first()[0])
+    have = files.select(raster.path_to_date(F.col("path")).alias("obs_date")).where("obs_date IS NOT NULL").distinct().withColumn("status", F.lit(200))
+    wanted = staged(available_prefix(have, start, max_days), "wanted")
+    todo = wanted.join(existing, "obs_date", "left_anti")
+    if dry_run:
+        found = wanted.join(existing.withColumn("has", F.lit(True)), "obs_date", "left")
+        done = found.select("obs_date", F.when(F.col("has"), "skipped").otherwise("planned").alias("outcome"), F.array().cast("array<string>").alias("errors"))
+    else:
+        mine = files.withColumn("obs_date", raster.path_to_date(F.col("path"))).join(F.broadcast(todo), "obs_date", "left_semi")
+        tiles = staged(raster.decode_rasters(mine, decode), "tiles")
+        checked = staged(raster.validate_rasters(tiles, nodata), "checked")
+        tables.append(spark, _cells(tiles, checked, nodata), table)
+        done = outcomes(wanted, existing, checked)
+    n = wanted.count()
+    if n < max_days:
+        end = spark.range(1).select(F.date_add(F.lit(start).cast("date"), n).alias("obs_date"), F.lit("missing").alias("outcome"), F.array().cast("array<string>").alias("errors"))
+        done = done.unionByName(end)
+    return done
+
+
+def _cells(tiles: DataFrame, checked: DataFrame, nodata: float | None) -> DataFrame:
+    good = tiles.join(F.broadcast(checked.where("is_valid").select("obs_date")), "obs_date", "left_semi")
+    value = raster.valid_pixel(F.col("value"), F.lit(nodata).cast("double"))
+    return raster.explode_cells(good).withColumn("precipitation", value).drop("value")
+
+
 def gap_fill(tiles: DataFrame, existing: DataFrame, first: str, last: str, transform: list[float] | None = None) -> DataFrame:
     """Cells of rasters for days of the range that the table lacks, whatever the order in which they arrive."""
     from gridwx.operators.state import missing_dates
@@ -33,18 +82,25 @@ def gap_fill(tiles: DataFrame, existing: DataFrame, first: str, last: str, trans
     return bootstrap(tiles.join(missing, "obs_date", "left_semi"), transform)[0]
 
 
-def incremental(spark: SparkSession, source: str, schema, table: str, checkpoint: str) -> None:
-    """Every file that has arrived since the last run, once: days that the table lacks are appended, others skipped."""
+def incremental(spark: SparkSession, source: str, schema, table: str, checkpoint: str, keys: list[str]) -> None:
+    """Every file that has arrived since the last run, once: rows whose keys the table lacks on their day are appended.
+
+    A day that comes in several batches is completed, repeated rows are skipped, and a batch that is run again after a
+    failure adds nothing twice. Only the days of the batch are read from the table.
+    """
+    by = [*keys, "obs_date"]
 
     def add(batch: DataFrame, _: int) -> None:
+        new = staged(batch.dropDuplicates(by), "batch")
         try:
             existing = batch.sparkSession.read.parquet(table)
-        except Exception as error:  # the first run has no table yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        except AnalysisException as error:  # the first run has no table yet
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            existing = None
-        new = batch if existing is None else tables.append_new_days(existing, batch)
-        new.write.partitionBy("obs_date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
+        else:
+            days = F.broadcast(new.select("obs_date").distinct())
+            new = new.join(existing.join(days, "obs_date", "left_semi").select(*by), by, "left_anti")
+        new.write.partitionBy("obs_date").mode("append").parquet(table)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,8 +1,12 @@
 """Edge cases of the operators on small literal tables."""
 
+import base64
 import datetime as dt
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,16 +168,19 @@ def test_tav_amp_needs_a_year(spark):
     assert merge.tav_amp(empty, ["k"]).first()["tav"] == -99.0
 
 
-def test_point_ids():
-    assert points.point_id(1.0, 2.0) != points.point_id(2.0, 1.0)
-    assert points.point_id(1.0, 2.0) != points.point_id(1.0, 2.0, salt=1)
-    assert len(points.point_id(1.0, 2.0)) == 8
-    with pytest.raises(ValueError):
-        points.point_id(1.0, 2.0, length=3)
+def one_id(lat, lon, salt=0):
+    return points.coordinate_ids(pd.Series([lat]), pd.Series([lon]), pd.Series([salt]))[0]
+
+
+def test_coordinate_ids():
+    assert one_id(1.0, 2.0) != one_id(2.0, 1.0)
+    assert one_id(1.0, 2.0) != one_id(1.0, 2.0, 1)
+    text = b"lat=+12.34000000;lon=-45.60000000;salt=0"
+    assert one_id(12.34, -45.6) == base64.b32encode(hashlib.blake2b(text, digest_size=10).digest()).decode()[:8]
 
 
 def test_generated_ids_avoid_given_ones(spark):
-    taken = points.point_id(1.0, 2.0)
+    taken = one_id(1.0, 2.0)
     rows = spark.createDataFrame([(0, None, 1.0, 2.0), (1, None, 1.0, 2.0), (2, taken, 5.0, 5.0)], "point_seq int, point_id string, lat double, lon double")
     found = {r["point_seq"]: r["point_id"] for r in points.assign_ids(rows).collect()}
     assert found[2] == taken and len(set(found.values())) == 3
@@ -245,9 +252,9 @@ def test_streaming_rerun_adds_nothing(spark, tmp_path):
     source, table, mark = (str(tmp_path / x) for x in ("in", "table", "mark"))
     rows.write.parquet(source)
     for _ in range(2):
-        ingest.incremental(spark, source, rows.schema, table, mark)
+        ingest.incremental(spark, source, rows.schema, table, mark, ["cell"])
     rows.write.mode("append").parquet(source)
-    ingest.incremental(spark, source, rows.schema, table, mark)
+    ingest.incremental(spark, source, rows.schema, table, mark, ["cell"])
     assert spark.read.parquet(table).count() == 2
 
 
@@ -255,3 +262,85 @@ def test_weeks_begin_on_monday(spark):
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 7, 12), 1.0, 1), (dt.datetime(2024, 1, 8), 1.0, 1)], "ts timestamp, v double, k int")
     starts = {r[0].date() for r in ingest.daily_windows(rows, "ts", "v", ["k"], every="7 days").collect()}
     assert starts == {day("2024-01-01"), day("2024-01-08")}
+
+
+def test_a_day_in_two_batches_is_completed(spark, tmp_path):
+    schema = "cell int, obs_date date"
+    source, table, mark = (str(tmp_path / x) for x in ("in", "table", "mark"))
+    for cells in ((1, 2), (2, 3)):
+        spark.createDataFrame([(c, day("2024-01-01")) for c in cells], schema).write.mode("append").parquet(source)
+        ingest.incremental(spark, source, spark.createDataFrame([], schema).schema, table, mark, ["cell"])
+    assert sorted(r["cell"] for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
+def test_rasters_in_a_folder(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    pixels = {d: rng.random((7, 11)).astype("<f4") for d in ("2024.01.01", "2024.01.02", "2024.01.04")}
+    for d, values in pixels.items():
+        (tmp_path / f"rain.{d}.tif").write_bytes(values.tobytes())
+    (tmp_path / "rain.2024.01.03.tif").write_bytes(b"cut off")
+    (tmp_path / "notes.txt").write_text("x")
+    tiles = raster.read_rasters(spark, str(tmp_path), raster.float32_decoder(11, 7), side=4)
+    assert tiles.where("width IS NOT NULL").count() == 3 * 2 * 3
+    cells = {(str(r["obs_date"]), r["lat_idx"], r["lon_idx"]): r["value"] for r in raster.explode_cells(tiles).collect()}
+    assert cells == {(d.replace(".", "-"), r, c): v[r, c] for d, v in pixels.items() for r in range(7) for c in range(11)}
+
+    decode, table = raster.float32_decoder(11, 7), str(tmp_path / "table")
+    files = raster.raster_files(spark, str(tmp_path))
+    first = ingest.bootstrap_run(spark, files.where("path LIKE '%2024.01.01%'"), decode, table)
+    assert [tuple(r)[:2] for r in first.collect()] == [(day("2024-01-01"), "ok")]
+    plan = ingest.incremental_run(spark, files, decode, table, dry_run=True)
+    assert [r["outcome"] for r in plan.orderBy("obs_date").collect()] == ["planned"] * 3 + ["missing"]
+    assert spark.read.parquet(table).count() == 77
+    done = ingest.incremental_run(spark, files, decode, table, max_days=2).orderBy("obs_date").collect()
+    assert [(r["outcome"], len(r["errors"])) for r in done] == [("ok", 0), ("failed", 1)]
+    done = ingest.incremental_run(spark, files, decode, table, force_date="2024-01-01").orderBy("obs_date").collect()
+    assert [r["outcome"] for r in done] == ["skipped", "skipped", "failed", "ok", "missing"]
+    before = spark.read.parquet(table).count()
+    done = ingest.incremental_run(spark, files, decode, table).collect()
+    assert [r["outcome"] for r in done] == ["missing"] and spark.read.parquet(table).count() == before == 3 * 77
+    meta = {r["key"]: r["value"] for r in tables.finalise(spark, table, spark.createDataFrame([('{"title": "Rain", "x": 1}',)], "value string")).collect()}
+    assert meta["title"] == "Rain" and meta["source"] == "Daily rasters" and "x" not in meta and meta["time_coverage_end"] == "2024-01-04"
+
+
+def test_transforms_can_be_compared(spark):
+    schema = raster.TILE + ", obs_date date"
+    rows = [(f"a{i}", 1, 1, "E", [0.05, 0.0, 30.0 + i, 0.0, -0.05, 0.0], None, 1, 0, 0, 1, [1.0], day(f"2024-01-0{i + 1}")) for i in range(2)]
+    tiles = spark.createDataFrame(rows, schema)
+    assert [r["is_valid"] for r in raster.validate_rasters(tiles).collect()] == [True, True]
+    assert sorted(tuple(r["errors"]) for r in raster.validate_rasters(tiles, same_transform=True).collect()) == [(), ("Transform mismatch",)]
+
+
+def test_deviation_of_large_values(spark):
+    values = [1e8 + x for x in (0.0, 1.0, 2.0, 3.0)]
+    grid = spark.createDataFrame([(0.0, float(i % 2), v) for i, v in enumerate(values)], "latitude double, longitude double, precipitation double")
+    regions = spark.createDataFrame([("r", -1.0, 2.0, -1.0, 1.0)], "region string, lon_min double, lon_max double, lat_min double, lat_max double")
+    assert aggregate.region_stats(grid, regions).first()["std"] == pytest.approx(np.std(values), rel=1e-9)
+
+
+def test_variable_texts(spark):
+    rows = [("SRAD", 7.2), ("SRAD", 14.4), ("TDEW", 10.0), ("RAIN", 0.0), ("X1", 1.25), ("T2M", None), ("TMAX", float("nan"))]
+    found = {r["code"]: r for r in classify.variable_texts(spark.createDataFrame(rows, "code string, value double"), catalog.variables(spark), "weekly").collect()}
+    assert found["SRAD"]["summary"].endswith("mean was 3 (range 2 to 4), which is classified as high solar irradiation for this aggregation.")
+    assert "Converted to Fahrenheit, mean dew point was 50 F, indicating dry and comfortable conditions" in found["TDEW"]["summary"]
+    assert found["X1"]["summary"] == "At weekly aggregation for X1, the mean was 1.3  (range 1.3 to 1.3 ; 1 intervals). No specialized meteorological threshold set is currently mapped for X1."
+    assert found["T2M"]["summary"] == found["TMAX"]["summary"] == classify.NO_DATA and found["T2M"]["sources"] == []
+    assert found["RAIN"]["summary"].startswith("Weekly Summary") and len(found["RAIN"]["sources"]) == 2
+
+
+def test_sources_without_repeats(spark):
+    rows = [([("a", "u"), ("b", "v"), ("c", "u")],), ([],)]
+    found = spark.createDataFrame(rows, "s " + classify.SOURCE_LIST).select(classify.unique_sources(F.col("s"))).collect()
+    assert [[x["label"] for x in r[0]] for r in found] == [["a", "b"], []]
+
+
+def test_series_by_source(spark):
+    chirps = spark.createDataFrame([(1, day("2024-01-01"), 5.0)], "k int, obs_date date, RAIN double")
+    nasa = spark.createDataFrame([(1, day("2024-01-01"), 6.0, 20.0)], "k int, obs_date date, RAIN1 double, T2M double")
+    both = {"chirps": chirps, "nasa_s3": nasa}
+    assert merge.series_by_source(both, "chirps", "RAIN").first()["RAIN"] == 5.0
+    assert merge.series_by_source(both, "nasa_s3", "RAIN").first()["RAIN"] == 6.0
+    assert merge.series_by_source(both, "nasa_s3", "T2M").columns == ["k", "obs_date", "T2M"]
+    for source, code in (("chirps", "T2M"), ("other", "RAIN")):
+        with pytest.raises(ValueError):
+            merge.series_by_source(both, source, code)
