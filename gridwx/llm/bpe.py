@@ -6,7 +6,8 @@ is encoded once, by whichever task holds it; the ids go back to the blocks, wher
 Decoding looks the ids up in the table of token bytes. A frequent word travels once per block, not once per occurrence.
 
 The texts are read twice, once for the words and once for the positions, as that moves less than keeping either. Both
-reads see the same blocks, since a block depends only on its place in the scan of unchanged files.
+reads see the same blocks, since a block depends only on its place in the scan of unchanged files; where an input gives its
+rows in another order the second time, the blocks' checksums tell and the job fails.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridwx.llm.common import partitions
+from gridwx.llm.common import Lists, newest, partitions, ragged
 
 #: Characters of the texts of one block, after which the next one begins.
 BLOCK_CHARS = 8 << 20
@@ -86,33 +87,50 @@ class Block:
         self.find, self.find_bordered = find, find_bordered
         self.words: dict[str, int] = defaultdict()
         self.words.default_factory = self.words.__len__
-        self.after_space: dict[str, bytes] = {}
+        #: Chunks between spaces by number, and the word numbers of each; a text's first chunk has the border before it.
+        self.chunks: dict[str, int] = defaultdict()
+        self.chunks.default_factory = self.chunks.__len__
+        self.chunk_words = Lists("<u4")
 
-    def _codes(self, found: list[str]) -> bytes:
-        return np.fromiter(map(self.words.__getitem__, found), "<u4", len(found)).tobytes()
+    def _codes(self, found: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, found), "<u4", len(found))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Word numbers of chunks that follow a space, all cut in one pass."""
-        found = self.find_bordered(_BORDER.join([" " + c for c in chunks]))
-        border = self.words[_BORDER]
-        codes = np.fromiter(map(self.words.__getitem__, found), "<u4", len(found))
-        cuts = (np.flatnonzero(codes == border) * 4).tolist()
-        raw = codes.tobytes()
-        for chunk, s, e in zip(chunks, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)]):
-            self.after_space[chunk] = raw[s:e]
-
-    def add(self, texts: list[str]) -> list[bytes]:
-        """The texts' word numbers.
+        """Word numbers of chunks, all cut in one pass."""
+        codes = self._codes(self.find_bordered(_BORDER.join([c[1:] if c.startswith(_BORDER) else " " + c for c in chunks])))
+        border = codes == self.words[_BORDER]
+        self.chunk_words.add(codes[~border], np.diff(np.concatenate(([-1], np.flatnonzero(border), [len(codes)]))) - 1)
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' word numbers, one text after another, and how many each has.
 
         A space begins a pre-token unless more white space follows, so a text may be cut before each of its single spaces
-        that stand between other characters. Other texts, and first chunks, are matched as they are.
+        that stand between other characters. Other texts are matched as they are.
         """
-        split = [None if _uncut(t) else t.split(" ") for t in texts]
-        unseen = set().union(*[c[1:] for c in split if c]).difference(self.after_space)
-        if unseen:
-            self._learn(sorted(unseen))
-        look = self.after_space.__getitem__
-        return [self._codes(self.find(t)) if c is None else self._codes(self.find(c[0])) + b"".join(map(look, c[1:])) for t, c in zip(texts, split)]
+        chunks: list[str] = []
+        ends: list[int] = []
+        whole: dict[int, np.ndarray] = {}
+        for i, text in enumerate(texts):
+            if _uncut(text):
+                whole[i] = self._codes(self.find(text))
+            else:
+                own = text.split(" ")
+                own[0] = _BORDER + own[0]
+                chunks += own
+            ends.append(len(chunks))
+        before = len(self.chunks)
+        numbers = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        if unseen := newest(self.chunks, before):
+            self._learn(unseen)
+        flat, sizes = self.chunk_words.take(numbers)
+        until = np.concatenate(([0], np.cumsum(sizes)))[ends]
+        sizes = np.diff(until, prepend=0)
+        if whole:
+            parts = np.split(flat, until[:-1])
+            for i, codes in whole.items():
+                parts[i], sizes[i] = codes, len(codes)
+            flat = np.concatenate(parts)
+        return flat, sizes
 
     def in_classes(self, classes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words in order of their hash class, where each class begins, and the new number of each old one."""
@@ -123,6 +141,9 @@ class Block:
         rank[order] = np.arange(len(raw))
         return [raw[i] for i in order.tolist()], np.searchsorted(of[order], np.arange(classes + 1)), rank
 
+    def checksum(self, ids: list, words: list[bytes]) -> int:
+        return zlib.crc32(b" ".join(words), zlib.crc32(repr(ids).encode()))
+
 
 _BESIDE_SPACE = ["  ", *[x for c in "\t\n\x0b\x0c\r" for x in (f" {c}", f"{c} ")], _BORDER]
 _WIDE_SPACE = re.compile("[" + _WHITE.replace(r"\t-\r\x20", "") + "]")
@@ -133,14 +154,18 @@ def _uncut(text: str) -> bool:
     return not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _BESIDE_SPACE) or (not text.isascii() and _WIDE_SPACE.search(text) is not None)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, Block, list, list]]:
-    """Number, words, doc_ids and codes of each block."""
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, Block, list, np.ndarray, np.ndarray]]:
+    """Number, words, doc_ids, codes and their count in each document of each block."""
     plain = pre_tokens(pattern)
     import regex
 
     bordered = regex.compile("\x00|" + plain.pattern.replace("[^" + _WHITE + r"\p{L}\p{N}]", "[^" + _WHITE + r"\x00\p{L}\p{N}]"))
     number = TaskContext.get().partitionId() << 30
-    block, ids, codes, size = Block(plain.findall, bordered.findall), [], [], 0
+    block, ids, parts, size = Block(plain.findall, bordered.findall), [], [], 0
+
+    def done() -> tuple:
+        return number, block, ids, *(np.concatenate(x) for x in zip(*parts))
+
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -152,49 +177,43 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -
                 if size + n >= block_chars:
                     break
             ids += part.column(0).slice(0, len(texts)).to_pylist()
-            codes += block.add(texts)
+            parts.append(block.add(texts))
             at, size = at + len(texts), size + n
             if size >= block_chars:
-                yield number, block, ids, codes
+                yield done()
                 number += 1
-                block, ids, codes, size = Block(plain.findall, bordered.findall), [], [], 0
+                block, ids, parts, size = Block(plain.findall, bordered.findall), [], [], 0
     if ids:
-        yield number, block, ids, codes
-
-
-def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The stretches of flat that `which` names, one after another."""
-    n = sizes[which]
-    ends = np.cumsum(n)
-    return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        yield done()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids array<int> and decoded (binary, the ids' token bytes), a row per row of docs.
 
     A null or empty text has no ids; null and repeated doc_ids are kept as they are; an empty table gives no rows; other
-    columns are not read. Whole texts are held in memory one block at a time.
+    columns are not read. Whole texts are held in memory one block at a time. The input is read twice and must give its rows in
+    one order, as files do; else the job fails.
     """
     texts = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text")
     tasks = partitions(docs.sparkSession)
     classes = CLASSES * tasks
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, _, _ in _blocks(batches, pattern, block_chars):
+        for number, block, ids, _, _ in _blocks(batches, pattern, block_chars):
             words, begin, _ = block.in_classes(classes)
             sizes = np.array([len(w) for w in words], "<u4")
             found = [k for k in range(classes) if begin[k] < begin[k + 1]]
             parts = [slice(begin[k], begin[k + 1]) for k in found]
-            columns = [pa.array(np.full(len(found), number)), pa.array(found, pa.int32()), pa.array([_squeeze(sizes[p].tobytes()) for p in parts], pa.binary()), pa.array([_packed(b"".join(words[p])) for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "class", "sizes", "words"])
+            columns = [pa.array(np.full(len(found), number)), pa.array(np.full(len(found), block.checksum(ids, words))), pa.array(found, pa.int32())]
+            columns += [pa.array([_squeeze(sizes[p]) for p in parts], pa.binary()), pa.array([_packed(b"".join(words[p])) for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "sum", "class", "sizes", "words"])
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, ids, codes in _blocks(batches, pattern, block_chars):
-            _, _, rank = block.in_classes(classes)
-            lengths = np.array([len(c) // 4 for c in codes], "<u4")
-            flat = rank[np.frombuffer(b"".join(codes), "<u4")] if len(rank) else np.empty(0, "<u4")
-            columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tobytes()], pa.binary()), pa.array([_squeeze(flat.tobytes())], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "codes"])
+        for number, block, ids, codes, lengths in _blocks(batches, pattern, block_chars):
+            words, _, rank = block.in_classes(classes)
+            packed = [_squeeze(lengths.astype("<u4")), _squeeze(rank[codes] if len(rank) else codes)]
+            columns = [pa.array([number], pa.int64()), pa.array([block.checksum(ids, words)], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in packed)], names=["block", "sum", "doc_ids", "lengths", "codes"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct word of a class once; rows come class by class."""
@@ -203,40 +222,44 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_chars
         last = None
         for batch in batches:
             sizes, ids = [], []
-            for class_, size, raw in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for class_, size, raw in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 if class_ != last:
                     known, last = {}, class_
                 raw, at, found = _unpacked(raw.as_py()), 0, []
-                for n in np.frombuffer(_spread(size.as_py()), "<u4").tolist():
+                for n in _spread(size.as_py()).tolist():
                     word = raw[at : at + n]
                     at += n
                     got = known.get(word)
                     if got is None:
                         got = known[word] = np.array(one(word.decode()), "<u4").tobytes()
                     found.append(got)
-                sizes.append(_squeeze(np.array([len(f) // 4 for f in found], "<u4").tobytes()))
-                ids.append(_squeeze(b"".join(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "class", "sizes", "ids"])
+                sizes.append(_squeeze(np.array([len(f) // 4 for f in found], "<u4")))
+                ids.append(_squeeze(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "sum", "class", "sizes", "ids"])
 
-    words = texts.mapInArrow(words_of, "block long, class int, sizes binary, words binary")
-    ids = words.repartition(tasks, "class").sortWithinPartitions("class").mapInArrow(encode, "block long, class int, sizes binary, ids binary")
-    codes = texts.mapInArrow(codes_of, "block long, doc_ids array<long>, lengths binary, codes binary")
+    words = texts.mapInArrow(words_of, "block long, sum long, class int, sizes binary, words binary")
+    ids = words.repartition(tasks, "class").sortWithinPartitions("class").mapInArrow(encode, "block long, sum long, class int, sizes binary, ids binary")
+    codes = texts.mapInArrow(codes_of, "block long, sum long, doc_ids array<long>, lengths binary, codes binary")
 
     def reassemble(places: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("class")
-        sizes = np.concatenate([np.frombuffer(_spread(x.as_py()), "<u4") for x in found.column("sizes")] or [np.empty(0, "<u4")]).astype(np.int64)
-        flat = np.concatenate([np.frombuffer(_spread(x.as_py()), "<u4") for x in found.column("ids")] or [np.empty(0, "<u4")])
+        if len({*places.column("sum").to_pylist(), *found.column("sum").to_pylist()}) > 1:
+            raise RuntimeError("the rows came in another order when they were read again; write the table first")
+        none = np.empty(0, "<u4")
+        sizes = np.concatenate([none, *(_spread(x.as_py()) for x in found.column("sizes"))]).astype(np.int64)
+        flat = np.concatenate([none, *(_spread(x.as_py()) for x in found.column("ids"))])
         starts = np.cumsum(sizes) - sizes
         token, token_starts, token_sizes = encoder(ranks_path).table()
         doc_ids, per_doc, parts, decoded = [], [], [], []
         for row_ids, lengths, packed in zip(*[places.column(c) for c in ("doc_ids", "lengths", "codes")]):
-            order, at = np.frombuffer(_spread(packed.as_py()), "<u4"), 0
-            for n in np.frombuffer(lengths.as_py(), "<u4").tolist():
-                ids = _ragged(flat, starts, sizes, order[at : at + n])
+            order, at = _spread(packed.as_py()), 0
+            for n in _spread(lengths.as_py()).tolist():
+                which = order[at : at + n]
+                ids = ragged(flat, starts[which], sizes[which])
                 at += n
                 parts.append(ids)
                 per_doc.append(len(ids))
-                decoded.append(_ragged(token, token_starts, token_sizes, ids).tobytes())
+                decoded.append(ragged(token, token_starts[ids], token_sizes[ids]).tobytes())
             doc_ids += row_ids.as_py()
         offsets = pa.array(np.concatenate(([0], np.cumsum(per_doc))).astype(np.int32))
         values = pa.array(np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32))
@@ -257,13 +280,13 @@ def _unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _squeeze(raw: bytes) -> bytes:
+def _squeeze(values: np.ndarray) -> bytes:
     """Little-endian 32-bit integers by planes of bytes, compressed."""
-    return _packed(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes())
+    return _packed(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _spread(packed: bytes) -> bytes:
-    return np.frombuffer(_unpacked(packed), np.uint8).reshape(4, -1).T.tobytes()
+def _spread(packed: bytes) -> np.ndarray:
+    return np.frombuffer(_unpacked(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -272,7 +295,8 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, starts, sizes = encoder(ranks_path).table()
         for batch in batches:
-            found = [_ragged(token, starts, sizes, np.array(x.as_py(), np.int64)).tobytes() if x.is_valid else None for x in batch.column(1)]
+            rows = [np.array(x.as_py(), np.int64) if x.is_valid else None for x in batch.column(1)]
+            found = [None if x is None else ragged(token, starts[x], sizes[x]).tobytes() for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "decoded"])
 
     return encoded.selectExpr("CAST(doc_id AS LONG) doc_id", "ids").mapInArrow(decode, "doc_id long, decoded binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -91,6 +92,15 @@ class HashMemo(dict):
 
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
 WORD_HASHES = HashMemo()
+#: What empties the words that a worker remembers, by what remembers them.
+MEMOS: dict[str, Callable[[], None]] = {"hashes": WORD_HASHES.clear}
+
+
+def remember(name: str) -> None:
+    """Workers serve one stage after another; this empties what those before have left but for `name`."""
+    for other, clear in MEMOS.items():
+        if other != name:
+            clear()
 
 
 def rolling(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:

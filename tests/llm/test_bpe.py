@@ -1,6 +1,9 @@
 import base64
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import tiktoken
 
 from gridwx.llm import bpe
@@ -31,3 +34,39 @@ def test_ids_and_round_trip(spark):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(table(spark, [(1, "a")]).limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_blocks_of_random_texts_hold_their_pre_tokens():
+    rng = np.random.default_rng(3)
+    letters = list("aAeé's'll0123 .,!?\t\n\r\x0b\x1c\x1f\x85\xa0\u2003\u3000\x00日本🙂") + [" ", " ", " ", "it's", " we'll", "word"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(900)]
+    texts += [" ".join(rng.choice(["one", "two.", "(three)", "it's", "4th"], 40)) for _ in range(100)]
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    plain = bpe.pre_tokens(P.PATTERN)
+    import regex
+
+    bordered = regex.compile("\x00|" + plain.pattern.replace("[^" + bpe._WHITE + r"\p{L}\p{N}]", "[^" + bpe._WHITE + r"\x00\p{L}\p{N}]"))
+    block = bpe.Block(plain.findall, bordered.findall)
+    for at in range(0, len(texts), 50):
+        codes, sizes = block.add(texts[at : at + 50])
+        words = list(block.words)
+        for text, one in zip(texts[at : at + 50], np.split(codes, np.cumsum(sizes)[:-1])):
+            assert [b for c in one.tolist() for b in words[c].encode()] == own.encode_ordinary(text)
+            assert [words[c] for c in one.tolist()] == plain.findall(text)
+
+
+def test_rows_in_another_order_fail_the_job(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def shuffled(batches):
+        import os
+        import uuid
+
+        again = len(os.listdir(seen)) > 0
+        open(f"{seen}/{uuid.uuid4().hex}", "w").close()
+        for batch in batches:
+            yield batch.take(pa.array(range(batch.num_rows - 1, -1, -1))) if again else batch
+
+    docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(20)], "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    with pytest.raises(Exception, match="another order"):
+        bpe.encode_documents(docs, PATH, P.PATTERN).collect()
