@@ -41,10 +41,10 @@ def corner_sql(lat0, lon0, d, n):
     c AS (SELECT point_seq, i AS lat_idx, j AS lon_idx, (1 - (u - i)) * (1 - (v - j)) AS w FROM i UNION ALL SELECT point_seq, i, j + 1, (1 - (u - i)) * (v - j) FROM i UNION ALL SELECT point_seq, i + 1, j, (u - i) * (1 - (v - j)) FROM i UNION ALL SELECT point_seq, i + 1, j + 1, (u - i) * (v - j) FROM i)"""
 
 
-@query("points grid_daily", corner_sql(0.225, 30.025, 0.05, 10) + ", d AS (SELECT point_seq, obs_date, CASE WHEN count(precipitation) = 4 THEN sum(w * precipitation) END AS v FROM c JOIN fx_grid_daily g USING (lat_idx, lon_idx) GROUP BY 1, 2) SELECT point_seq, count(v) AS n_days, round(avg(v), 4) AS mean FROM d GROUP BY 1")
+@query("points grid_daily", corner_sql(0.225, 30.025, 0.05, 10) + ", d AS (SELECT point_seq, obs_date, CASE WHEN count(precipitation) = 4 THEN sum(w * precipitation) END AS v FROM c JOIN fx_grid_daily g USING (lat_idx, lon_idx) GROUP BY 1, 2) SELECT point_seq, count(v) AS n_days, round(avg(v), 3) AS mean FROM d GROUP BY 1")
 def point_bilinear(spark, sf_dir, points, grid):
     days = P.bilinear_join(points, grid, FINE, "precipitation", ["obs_date"])
-    return days.groupBy("point_seq").agg(F.count("precipitation").alias("n_days"), F.round(F.avg("precipitation"), 4).alias("mean"))
+    return days.groupBy("point_seq").agg(F.count("precipitation").alias("n_days"), F.round(F.avg("precipitation"), 3).alias("mean"))
 
 
 @query(
