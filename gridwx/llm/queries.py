@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwx.llm import bpe, fingerprint, hnsw, minhash, oracles, packing, quality, secrets, sharding, substring, warc
-from gridwx.llm.common import stage, table
+from gridwx.llm.common import staged_path, table
 
 
 def public_path(name: str) -> str:
@@ -49,8 +49,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = stage(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))), "warc")
-    records = warc.read_archives(archives).where("item = 'record'")
+    archives = warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages")))
+    records = warc.read_archives(warc.save_archives(archives, staged_path(spark, "warc"))).where("item = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,6 +1,8 @@
 import base64
+import gzip
 import hashlib
 import random
+import time
 
 from gridwx.llm import warc
 
@@ -35,6 +37,16 @@ def test_round_trip(spark):
         assert r["payload"] is None if not response else bytes(r["payload"]) == html.encode()
 
 
+def test_files_in_a_folder(spark, tmp_path):
+    rows = [(i, "u", f"<p>é{i % 7}</p>" * (i + 1)) for i in range(40)]
+    files = warc.save_archives(warc.write_archives(warc.mark_revisits(pages(spark, rows)), 900), f"{tmp_path}/warc")
+    found = warc.read_archives(files).collect()
+    assert sorted(r["page_id"] for r in found) == list(range(40)) and all(r["item"] == "record" for r in found)
+    assert len({r["archive"] for r in found}) > 4
+    for path in {r["archive"] for r in found}:
+        assert gzip.open(path.removeprefix("file:")).read().startswith(b"WARC/1.1\r\n")
+
+
 def members(n, plain=False):
     data = [warc.record(i, f"u{i}", f"payload {i}".encode() * 20, digest(f"payload {i}".encode() * 20), "response", None) for i in range(n)]
     return data if plain else [warc.gzip_member(d) for d in data]
@@ -67,6 +79,59 @@ def test_salvage_resumes_after_damage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_records_of_a_broken_member_are_kept():
+    data = members(6, plain=True)
+    broken = data[2][:-40] + b"?" * 40
+    member = warc.gzip_member(b"".join([*data[:2], broken, *data[3:]]))
+    found = list(warc.salvage(member))
+    assert [int(x[4]["warc-page-id"]) for x in found if x[0] == "record"] == [0, 1, 3, 4, 5]
+    starts = [sum(map(len, data[:i])) for i in range(4)]
+    assert [x[1:4] for x in found if x[0] == "gap"] == [(0, len(member), (starts[2], starts[3]))]
+    rng = random.Random(1)
+    big = [warc.record(i, "u", bytes(rng.randrange(256) for _ in range(70_000)), "x", "response", None) for i in range(5)]
+    member = bytearray(warc.gzip_member(b"".join(big)))
+    member[-300] ^= 0xFF
+    assert set(ids(bytes(member))) >= {0, 1, 2} and gaps(bytes(member)) == [(0, len(member))]
+
+
+def test_no_damage_breaks_the_reader():
+    """Any byte flips in plain records and their headers, and numbers of any kind, leave the other records."""
+    rng = random.Random(7)
+    data = members(6, plain=True)
+    starts = [sum(map(len, data[:i])) for i in range(7)]
+    for _ in range(300):
+        broken = bytearray(b"".join(data))
+        hit = [starts[2] + rng.randrange(starts[3] - starts[2]) for _ in range(rng.randrange(1, 30))]
+        for at in hit:
+            broken[at] = rng.randrange(256)
+        found = {h.get("warc-page-id") for item, *_, h, _ in warc.salvage(bytes(broken)) if item == "record"}
+        assert set("01345") <= found
+    for length in ("²", "9" * 5000, "-1", "", "1e3", "٣", "9" * 18):
+        odd = b"WARC/1.1\r\nWARC-Page-ID: 77\r\nContent-Length: " + length.encode() + b"\r\n\r\nx\r\n\r\n"
+        assert ids(data[0] + odd + data[1]) == [0, 1]
+        assert gaps(data[0] + odd + data[1]) == [(len(data[0]), len(data[0]) + len(odd))]
+    cut = data[1][: data[1].index(b"Content-Length") + 20]
+    assert ids(data[0] + cut + data[2]) == [0, 2] and gaps(data[0] + cut + data[2]) == [(len(data[0]), len(data[0]) + len(cut))]
+
+
+def test_numbers_beyond_64_bits_are_null(spark):
+    record = warc.record(1, "u", b"p", digest(b"p"), "response", None)
+    odd = record.replace(b"WARC-Page-ID: 1", b"WARC-Page-ID: " + b"9" * 30)
+    found = warc.read_archives(spark.createDataFrame([("a", record + odd)], "path string, content binary")).collect()
+    assert [(r["item"], r["page_id"], r["payload_bytes"]) for r in found] == [("record", 1, 1), ("record", None, 1)]
+
+
+def test_time_is_in_proportion():
+    def seconds(unit, n):
+        began = time.process_time()
+        assert [x[0] for x in warc.salvage(unit * n)] == ["gap"]
+        return time.process_time() - began
+
+    for unit in (b"WARC/1.0\r\n", b"a:WARC/1.0\r\n", b"WARC/1.0\r\nContent-Length: 9\r\n\r\n", b"a: b\r\nWARC/1.1\r\nc: d\r\n"):
+        seconds(unit, 100)
+        assert seconds(unit, 80_000) < 24 * max(0.02, seconds(unit, 10_000))
+
+
 def test_every_undamaged_record_survives():
     rng = random.Random(5)
     parts = members(8)
