@@ -16,6 +16,13 @@ DESCRIPTIONS = {"chirps": "CHIRPS + NASA POWER (Rain: CHIRPS)", "nasa_power": "N
 OTHER_DESCRIPTION = "CHIRPS + NASA POWER"
 
 
+def source_text(rain_source: str, in_package: bool = True) -> str:
+    """What a file says about its source; only the files of a package name the two rain columns."""
+    if rain_source == "both" and not in_package:
+        return OTHER_DESCRIPTION
+    return DESCRIPTIONS.get(rain_source, OTHER_DESCRIPTION)
+
+
 def usable_variables(columns: list[str], selected: list[str] | None = None) -> list[str]:
     """The variables of the data, in its order, that are selected; none is an error."""
     skip = {"point_seq", "point_id", "lat", "lon", "obs_date", "elev", "tav", "amp"}
@@ -49,11 +56,11 @@ def site_rows(points: DataFrame, site_code: str = "UFLC") -> DataFrame:
     return points.select("point_seq", F.concat(F.lit("  " + site_code.ljust(widths["INSI"])), *cells, heights).alias("site_row"))
 
 
-def file_content(series: DataFrame, points: DataFrame, rain_source: str = "both", selected: list[str] | None = None, site_code: str = "UFLC") -> DataFrame:
+def file_content(series: DataFrame, points: DataFrame, rain_source: str = "both", selected: list[str] | None = None, site_code: str = "UFLC", in_package: bool = True) -> DataFrame:
     """point_seq, content: header, variable list, site row, one line per day. A point's days are put together in its task."""
     variables = usable_variables(series.columns, selected)
     described = {code: text for code, text, *_ in catalog.VARIABLES}
-    head = f"$WEATHER DATA : {DESCRIPTIONS.get(rain_source, OTHER_DESCRIPTION)}\n\n"
+    head = f"$WEATHER DATA : {source_text(rain_source, in_package)}\n\n"
     head += "".join(f"! {v:<6} {described[v]}\n" for v in variables if v in described) + "\n" + site_header() + "\n"
     columns = "\n\n@  DATE" + "".join(f"{v:>8}" for v in variables) + "\n"
     body = data_lines(series, variables).groupBy("point_seq").agg(
@@ -127,8 +134,8 @@ def package_summary(names: DataFrame, series: DataFrame, variables: list[str], r
     counts = names.agg(F.count(F.lit(1)).alias("files"))
     days = series.agg(F.min("obs_date").alias("a"), F.max("obs_date").alias("b"))
     text = F.concat_ws(
-        "\n", F.concat(F.lit("Total ICASA Files: "), F.col("files").cast("string")), F.concat(F.lit("Date Range: "), F.col("a").cast("string"), F.lit(" to "), F.col("b").cast("string")),
-        F.concat(F.lit("Total Coordinates: "), F.col("files").cast("string")), F.lit("Variables: " + ", ".join(variables)), F.lit(f"Data Source: {DESCRIPTIONS.get(rain_source, OTHER_DESCRIPTION)}"),
+        "\n", F.concat(F.lit("Total ICASA Files: "), F.col("files").cast("string")), F.concat(F.lit("Date Range: "), F.coalesce(F.col("a").cast("string"), F.lit("-")), F.lit(" to "), F.coalesce(F.col("b").cast("string"), F.lit("-"))),
+        F.concat(F.lit("Total Coordinates: "), F.col("files").cast("string")), F.lit("Variables: " + ", ".join(variables)), F.lit(f"Data Source: {source_text(rain_source, in_package=False)}"),
     )
     return counts.join(F.broadcast(days)).select(text.alias("readme"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwx import catalog
 from gridwx.grid import GridSpec
+from gridwx.workspace import staged
 
 
 def single_date(grid: DataFrame, day: str | date) -> DataFrame:
@@ -28,6 +29,17 @@ def named_range(grid: DataFrame, name: str) -> DataFrame:
     return date_range(grid, *catalog.date_range(name))
 
 
+def local_subset(grid: DataFrame, points_bounds: DataFrame, spec: GridSpec) -> DataFrame:
+    """The cells from those nearest to the bounds' corners inwards, written once to be read again and again.
+
+    points_bounds: one row of lat_min, lat_max, lon_min, lon_max. Every point within has its nearest cell there.
+    """
+    box = points_bounds.first()
+    r0, c0 = spec.nearest_index(box["lat_max"], box["lon_min"])
+    r1, c1 = spec.nearest_index(box["lat_min"], box["lon_max"])
+    return staged(grid.where(F.col("lat_idx").between(r0, r1) & F.col("lon_idx").between(c0, c1)), "subset")
+
+
 def bbox(grid: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float, first: str | None = None, last: str | None = None, spec: GridSpec | None = None) -> DataFrame:
     """Closed box; the order of each axis' bounds does not matter; days only if both are given."""
     south, north = sorted((lat_min, lat_max))

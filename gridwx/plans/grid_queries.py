@@ -46,9 +46,19 @@ def bbox_subset(spark, sf_dir, grid):
     return S.bbox(grid, 0.1, -0.1, 30.1, 30.3, FIRST, LAST, FINE).select(*COLUMNS)
 
 
-@query("grid_daily", f"SELECT {CELLS} FROM fx_grid_daily WHERE latitude BETWEEN -0.15e0 AND 0.15e0 AND longitude BETWEEN 30.1e0 AND 30.4e0")
-def subset_bbox(spark, sf_dir, grid):
-    return S.bbox(grid, -0.15, 0.15, 30.1, 30.4, spec=FINE).select(*COLUMNS)
+NEAR_ROW = "greatest(0, least(9, ceil((0.225e0 - {}) / 0.05e0 - 0.5e0)))"
+NEAR_COLUMN = "greatest(0, least(9, floor(({} - 30.025e0) / 0.05e0 + 0.5e0)))"
+
+
+@query(
+    "grid_daily points",
+    f""", b AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM fx_points WHERE lat BETWEEN -0.1e0 AND 0.1e0 AND lon BETWEEN 30.1e0 AND 30.3e0)
+    SELECT {CELLS} FROM fx_grid_daily, b WHERE lat_idx BETWEEN {NEAR_ROW.format("b")} AND {NEAR_ROW.format("a")} AND lon_idx BETWEEN {NEAR_COLUMN.format("c")} AND {NEAR_COLUMN.format("d")}""",
+)
+def subset_bbox(spark, sf_dir, grid, points):
+    """The cells around a set of points, written once for repeated reads."""
+    near = points.where("lat BETWEEN -0.1D AND 0.1D AND lon BETWEEN 30.1D AND 30.3D")
+    return S.local_subset(grid, A.points_bounds(near), FINE).select(*COLUMNS)
 
 
 @query("grid_daily regions", f"SELECT region, {CELLS} FROM fx_grid_daily JOIN fx_regions ON latitude BETWEEN lat_min AND lat_max AND longitude BETWEEN lon_min AND lon_max WHERE region IN ('south', 'empty')")

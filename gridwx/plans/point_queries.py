@@ -10,13 +10,14 @@ from gridwx.operators import classify as K
 from gridwx.operators import compare as C
 from gridwx.operators import export as X
 from gridwx.operators import merge as M
+from gridwx.operators import package
 from gridwx.operators import points as P
 from gridwx.operators import resample as R
 from gridwx.plans.grid_queries import LONG, LONG_SQL, rounded
 from gridwx.plans.registry import COARSE, ELEVATION, FINE, query
 from gridwx.sources import series as J
 from gridwx.sources import vector
-from gridwx.workspace import scratch
+from gridwx.workspace import scratch, staged
 
 CELL = ["lat_idx", "lon_idx"]
 LAT_IDX = "CAST(greatest(0, least(9, ceil((0.225e0 - lat) / 0.05e0 - 0.5e0))) AS INTEGER)"
@@ -91,6 +92,15 @@ def point_ids(spark, sf_dir):
     return P.assign_ids(rows)
 
 
+@query("points", "SELECT count(*) AS points, count(*) AS distinct_ids, count(*) FILTER (point_seq % 3 = 0) AS given_kept, count(*) FILTER (point_seq % 3 <> 0) AS of_eight FROM fx_points")
+def point_id_facts(spark, sf_dir, points):
+    """Every point has an id of its own, given ones stay, generated ones have eight characters of base 32."""
+    given = F.expr("CASE WHEN point_seq % 3 = 0 THEN point_id END")
+    found = P.assign_ids(points.withColumn("was", given).withColumn("point_id", given))
+    made = F.col("id_generated") & F.col("point_id").rlike("^[A-Z2-7]{8}$")
+    return found.agg(F.count(F.lit(1)).alias("points"), F.count_distinct("point_id").alias("distinct_ids"), F.count_if(F.col("was") == F.col("point_id")).alias("given_kept"), F.count_if(made).alias("of_eight"))
+
+
 @query(
     "points",
     """, k AS (SELECT round(lat, 3) AS lat_key, round(lon, 3) AS lon_key, min(point_id) AS expected FROM fx_points GROUP BY 1, 2)
@@ -388,7 +398,7 @@ CONTENT_SQL = SITE_SQL + f""", b AS (SELECT point_seq, string_agg({LINE_SQL}, ch
 
 @query("sites grid_daily met_daily elevation", CONTENT_SQL)
 def icasa_content(spark, sf_dir, points, grid, met, elevation):
-    series = _series(points, grid, met)
+    series = staged(_series(points, grid, met), "series")  # read for the site rows and for the lines
     return X.file_content(series, _sites(points, elevation, series), "both")
 
 
@@ -455,7 +465,7 @@ def package_files(spark, sf_dir, points):
 
 @query(
     "sites grid_daily met_daily",
-    SOURCES + MERGED + """ SELECT 'Total ICASA Files: ' || CAST((SELECT count(*) FROM p) AS VARCHAR) || chr(10) || 'Date Range: ' || CAST(min(obs_date) AS VARCHAR) || ' to ' || CAST(max(obs_date) AS VARCHAR) || chr(10) || 'Total Coordinates: ' || CAST((SELECT count(*) FROM p) AS VARCHAR) || chr(10) || 'Variables: RAIN, RAIN1, T2M' || chr(10) || 'Data Source: CHIRPS + NASA POWER (Dual Rain)' AS readme FROM j""",
+    SOURCES + MERGED + """ SELECT 'Total ICASA Files: ' || CAST((SELECT count(*) FROM p) AS VARCHAR) || chr(10) || 'Date Range: ' || coalesce(CAST(min(obs_date) AS VARCHAR), '-') || ' to ' || coalesce(CAST(max(obs_date) AS VARCHAR), '-') || chr(10) || 'Total Coordinates: ' || CAST((SELECT count(*) FROM p) AS VARCHAR) || chr(10) || 'Variables: RAIN, RAIN1, T2M' || chr(10) || 'Data Source: CHIRPS + NASA POWER' AS readme FROM j""",
 )
 def package_summary(spark, sf_dir, points, grid, met):
     names = X.file_names(points, "2000-01-01", "2000-12-31")
@@ -466,7 +476,31 @@ def package_summary(spark, sf_dir, points, grid, met):
 def icasa_package(spark, sf_dir, points, grid, met, elevation):
     """Validate, extract, merge, describe and name the files of all points in one plan."""
     good = P.only_valid(points)
-    series = _series(good, grid, met)
+    series = staged(_series(good, grid, met), "series")
     files = X.file_content(series, _sites(good, elevation, series), "both")
     names = X.unique_names(X.file_names(good, "2000-01-01", "2000-12-31"))
     return names.join(files, "point_seq").select("point_seq", "file_name", "content")
+
+
+CHOSEN = "SELECT point_seq FROM (SELECT point_seq, lat, row_number() OVER (PARTITION BY round(lon, 4), round(lat, 4) ORDER BY point_seq) AS n FROM fx_sites WHERE lat BETWEEN -90 AND 90) WHERE n = 1"
+
+
+@query(
+    "sites grid_daily met_daily elevation",
+    CONTENT_SQL.replace("SELECT st.point_seq,", f", ch AS ({CHOSEN}), fi AS (SELECT st.point_seq,", 1)
+    + """)
+    SELECT 'file' AS kind, fi.point_seq, CASE WHEN fi.point_seq % 3 <> 0 THEN z.point_id || '.WTH' END AS file_name, content FROM fi JOIN ch ON ch.point_seq = fi.point_seq JOIN fx_sites z ON z.point_seq = fi.point_seq
+    UNION ALL SELECT 'manifest', NULL, 'points_' || CAST(floor(point_seq / 1000) AS BIGINT) || '_point_ids.geojson', CAST(count(*) AS VARCHAR) FROM ch GROUP BY floor(point_seq / 1000)
+    UNION ALL SELECT 'readme', NULL, 'README.txt', 'Total ICASA Files: ' || CAST((SELECT count(*) FROM ch) AS VARCHAR) || chr(10) || 'Date Range: ' || coalesce(CAST(min(obs_date) AS VARCHAR), '-') || ' to ' || coalesce(CAST(max(obs_date) AS VARCHAR), '-') || chr(10) || 'Total Coordinates: ' || CAST((SELECT count(*) FROM ch) AS VARCHAR) || chr(10) || 'Variables: RAIN, RAIN1, T2M' || chr(10) || 'Data Source: CHIRPS + NASA POWER' FROM j JOIN ch ON ch.point_seq = j.point_seq""",
+)
+def package_job(spark, sf_dir, points, grid, met, elevation):
+    """The whole package of the sites as GeoJSON features, every third one without an id. Of made names and of the manifest
+    only the number of features is compared, as their hashes are beyond SQL."""
+    features = X.features(points.withColumn("point_id", F.expr("CASE WHEN point_seq % 3 <> 0 THEN point_id END")))
+    features = features.select(F.col("point_seq").alias("feature_seq"), F.col("feature").alias("feature_json"))
+    clean = elevation.withColumn("elev", F.expr("CASE WHEN elev BETWEEN -430 AND 9000 THEN elev END"))
+    files = package.build(features, grid, met, clean, (FINE, COARSE, ELEVATION), "2000-01-01", "2000-12-31", ["RAIN", "RAIN1", "T2M"])
+    seq = F.floor(F.col("point_seq") / package.VERTICES)
+    name = F.when((F.col("kind") != "file") | (seq % 3 != 0), F.col("file_name"))
+    content = F.when(F.col("kind") == "manifest", (F.size(F.split("content", '"type":"Feature"')) - 1).cast("string")).otherwise(F.col("content"))
+    return files.select("kind", seq.alias("point_seq"), name.alias("file_name"), content.alias("content"))
