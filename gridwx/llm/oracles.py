@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from gridwx.llm import secrets
-
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -41,28 +39,38 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n F
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
+#: The kinds of parts: rank, kind, expression, class, whether it stands alone. Written out here, so that a slip in the
+#: operator's own expressions shows.
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_PARTS = [
+    (0, "assign", r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?(" + _VALUE + ")", "secret", True),
+    (1, "access", "AKIA[A-Z0-9]{12,}", "identifier", True),
+    (2, "hex", "[0-9a-f]{32,}", "secret", True),
+    (3, "weak_login", r"(?i:user(?:name)?|login|client_?id|access_?key(?:_?id)?)[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9@._-]{3,}", "identifier", False),
+    (4, "weak_secret", "[A-Za-z0-9]+[+/=][A-Za-z0-9+/=]{23,}", "secret", False),
+    (6, "weak_endpoint", "(?:https?|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:@/-]+", "endpoint", False),
+]
+#: An assignment of 4 to 7 characters is a weak part, of rank 5; parts belong together within 200 code points.
+_FULL, _WEAK, _WEAK_RANK, _SCOPE = 8, 4, 5, 200
+
+
 def _secrets() -> str:
     parts = []
-    for rank, (kind, pattern, class_, alone) in enumerate(secrets.KINDS):
-        if kind == "weak_assign":
-            continue
-        # this engine's expressions are linear, without look-behind: the leftmost match begins at the same place
-        own = pattern.replace("(?<![A-Za-z0-9])", "").replace("++", "+").replace("'", "''")
+    for rank, kind, own, class_, alone in _PARTS:
         value = f"list_transform(regexp_extract_all(t, '{own}', 2), lambda m: length(m))" if kind == "assign" else "NULL"
         parts.append(f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, '{class_}' AS class, {alone} AS alone, regexp_extract_all(t, '{own}') AS m, regexp_split_to_array(t, '{own}') AS g, {value} AS v FROM d WHERE regexp_matches(t, '{own}')")
-    weak = [k for k, *_ in secrets.KINDS].index("weak_assign")
     near = []
     for c in ("identifier", "secret"):
         before = f"max(CASE WHEN class = '{c}' THEN e END) OVER (PARTITION BY doc_id ORDER BY s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         after = f"min(CASE WHEN class = '{c}' THEN s END) OVER (PARTITION BY doc_id ORDER BY s, rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-        near.append(f"coalesce(s - {before} <= {secrets.SCOPE}, false) OR coalesce({after} - e <= {secrets.SCOPE}, false) AS near_{c}")
+        near.append(f"coalesce(s - {before} <= {_SCOPE}, false) OR coalesce({after} - e <= {_SCOPE}, false) AS near_{c}")
     span = "kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({" UNION ALL ".join(parts)}),
 i AS (SELECT doc_id, rank, kind, class, alone, m, g, v, unnest(generate_series(1, len(m))) AS k FROM p),
 a AS (SELECT doc_id, rank, kind, class, alone, length(m[k]) AS size, v[k] AS value, list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s FROM i),
-b AS (SELECT doc_id, s, s + size AS e, class, CASE WHEN rank = 0 AND value < {secrets.FULL_VALUE} THEN {weak} ELSE rank END AS rank, CASE WHEN rank = 0 AND value < {secrets.FULL_VALUE} THEN 'weak_assign' ELSE kind END AS kind, alone AND NOT (rank = 0 AND value < {secrets.FULL_VALUE}) AS alone
- FROM a WHERE rank <> 0 OR value >= {secrets.WEAK_VALUE}),
+b AS (SELECT doc_id, s, s + size AS e, class, CASE WHEN rank = 0 AND value < {_FULL} THEN {_WEAK_RANK} ELSE rank END AS rank, CASE WHEN rank = 0 AND value < {_FULL} THEN 'weak_assign' ELSE kind END AS kind, alone AND NOT (rank = 0 AND value < {_FULL}) AS alone
+ FROM a WHERE rank <> 0 OR value >= {_WEAK}),
 l AS (SELECT *, {", ".join(near)} FROM b),
 r AS (SELECT * FROM l WHERE alone OR CASE class WHEN 'identifier' THEN near_secret WHEN 'secret' THEN near_identifier ELSE near_secret AND near_identifier END)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

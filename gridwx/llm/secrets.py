@@ -56,14 +56,18 @@ def _parts(text: Column, rank: int, pattern: str, value: bool) -> Column:
     return F.when(text.rlike(pattern), entry).otherwise(none)
 
 
-def find_spans(docs: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
-    """keys, spans: array of (start, rank, kind, end) in order, one row per row of docs (keys must tell rows apart).
+def all_parts(text: Column) -> Column:
+    """The parts of every kind of a text (null: empty), each pattern matched once."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(*[_parts(text, r, pattern, kind == "assign") for r, (kind, pattern, _, _) in enumerate(KINDS) if kind != "weak_assign"])
 
-    Starts and ends count code points of the whole text, end exclusive. A null text has no spans.
+
+def link_parts(rows: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
+    """keys, spans: array of (start, rank, kind, end) in order, one row per row of keys, parts (keys must tell rows apart).
+
+    Starts and ends count code points of the whole text, end exclusive.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lists = [_parts(text, r, pattern, kind == "assign") for r, (kind, pattern, _, _) in enumerate(KINDS) if kind != "weak_assign"]
-    rows = docs.select(*keys, F.concat(*lists).alias("parts")).repartition(*keys)
+    rows = rows.select(*keys, "parts").repartition(*keys)
     rows = rows.select(*keys, F.explode_outer("parts").alias("p")).select(*keys, "p.*")
 
     # place: everything before the match is gaps and matches of its own pattern
@@ -99,8 +103,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Other columns are not read. Rows are told apart by their place in the scan.
     """
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    return find_spans(rows, ["_row", "doc_id"], scope).drop("_row")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), all_parts(F.col("text")).alias("parts"))
+    return link_parts(rows, ["row", "doc_id"], scope).drop("row")
 
 
 def joined(spans: Column) -> Column:
@@ -110,27 +114,28 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs with every span of its texts replaced by mask (overlapping spans by one), n_chars counted again where present.
 
-    Texts without any part pass unchanged and are not shuffled; null texts stay null.
+    The parts are located once and written with the rows. Texts without any pass unchanged and are not shuffled; null
+    texts stay null; repeated rows are masked alike; an empty table gives no rows. Other columns keep their names and values.
     """
-    parts = F.lit(False)
-    for _, pattern, _, alone in KINDS:
-        parts = parts | F.col("text").rlike(pattern) if alone or pattern != ASSIGN else parts
-    parts = F.coalesce(parts, F.lit(False))
-    clean = docs.where(~parts)
-    held = stage(docs.where(parts).withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
-    spans = find_spans(held.select("_row", "text"), ["_row"], scope).withColumnRenamed("spans", "_found")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), all_parts(F.col("text")).alias("parts"))
+    rows = stage(rows, "secret-rows")
+    clean = rows.where(F.size("parts") == 0).select("doc.*")
+    held = rows.where(F.size("parts") > 0)
+    spans = link_parts(held, ["row"], scope)
     # merged, non-overlapping spans by a running end
     cut = F.aggregate(
-        "_found",
+        "spans",
         F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("keep")),
         lambda acc, s: F.struct(
             F.greatest(acc["to"], s["end"]).alias("to"),
             F.when(s["start"] >= acc["to"], F.concat(acc["keep"], F.array(F.struct(acc["to"].alias("a"), s["start"].alias("b"))))).otherwise(acc["keep"]).alias("keep"),
         ),
     )
-    keep = F.concat(F.col("_cut.keep"), F.array(F.struct(F.col("_cut.to").alias("a"), F.length("text").cast("long").alias("b"))))
-    text = F.array_join(F.transform(keep, lambda k: F.substring(F.col("text"), (k["a"] + 1).cast("int"), (k["b"] - k["a"]).cast("int"))), mask)
-    masked = held.join(spans, "_row").withColumn("_cut", cut).withColumn("text", F.when(F.size("_found") > 0, text).otherwise(F.col("text")))
+    text = F.col("doc.text")
+    keep = F.concat(F.col("cut.keep"), F.array(F.struct(F.col("cut.to").alias("a"), F.length(text).cast("long").alias("b"))))
+    masked = F.array_join(F.transform(keep, lambda k: F.substring(text, (k["a"] + 1).cast("int"), (k["b"] - k["a"]).cast("int"))), mask)
+    found = held.select("row", "doc").join(spans, "row").withColumn("cut", cut).select("doc", F.when(F.size("spans") > 0, masked).otherwise(text).alias("masked"))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(masked.select(*docs.columns))
+        new["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)
+    return clean.unionByName(found.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]))
