@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwx.llm.common import WORD_HASHES, rolling, stage
+from gridwx.llm.common import WORD_HASHES, remember, rolling, stage
 from gridwx.llm.components import connected_components
 
 SKETCH = 40
@@ -61,6 +61,7 @@ def sketches(docs: DataFrame, words: int, k: int = SKETCH, key: str | None = Non
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        remember("hashes")
         for batch in batches:
             sizes, keys, kept = [], [], []
             for text in batch.column(1):
@@ -118,12 +119,14 @@ def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
-    """rows with p, q: every pair of blocks of its group that a row belongs to, so that each pair of blocks is one task."""
+    """rows with p, q: every pair of blocks of its group that a row belongs to, dealt so that the pairs of blocks of one
+    group are spread over the tasks. Group by deal first."""
     sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = rows.join(sizes, group).withColumn("i", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
     kept = [c for c in rows.columns if c not in ("blocks", "i")]
-    return rows.withColumn("o", F.explode(others)).select(*kept, "o.p", "o.q")
+    rows = rows.withColumn("o", F.explode(others)).select(*kept, "o.p", "o.q")
+    return rows.withColumn("deal", F.xxhash64(group, "p", "q")).repartition("deal")
 
 
 def overlaps(lists: pa.Array) -> np.ndarray:
@@ -164,7 +167,7 @@ def _across(members: DataFrame, percent: int, k: int, block: int = BLOCK) -> Dat
         x, y = np.nonzero(np.triu(good, 1))
         return pa.table({"x": np.minimum(node[x], node[y]), "y": np.maximum(node[x], node[y])})
 
-    return _dealt(members, "v", "node", block).groupBy("v", "p", "q").applyInArrow(compare, "x long, y long").distinct()
+    return _dealt(members, "v", "node", block).groupBy("deal", "v", "p", "q").applyInArrow(compare, "x long, y long").distinct()
 
 
 def _by_difference(members: DataFrame, texts: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
@@ -215,7 +218,7 @@ def _by_difference(members: DataFrame, texts: DataFrame, words: int, percent: in
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     rows = _with_texts(members, texts).select("x", "y", "label", "tx", "ty").mapInArrow(differ, "x long, y long, label long, n long, d array<long>")
-    return _dealt(stage(rows, "differences"), "x", "y", block).groupBy("x", "p", "q").applyInArrow(compare, "u long, v long")
+    return _dealt(stage(rows, "differences"), "x", "y", block).groupBy("deal", "x", "p", "q").applyInArrow(compare, "u long, v long")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,7 +249,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     # lists of each node's rarest retained values; a value that no other node retains counts, but needs no list
     values = held.select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # written first, as the leaders below, so that the rows of a frequent value can be split in the join
+    shared = stage(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared-values")
     values = values.join(shared, "v")
     ranked = values.groupBy("node", "n", "kept").agg(
         F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("vs"), F.sum(F.log2("freq")).alias("weight")
@@ -257,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     lists = stage(ranked.select("node", "n", "weight", F.explode(F.transform(prefix, lambda x: x["v"])).alias("v")), "lists")
 
     leaders = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"))).alias("m"), F.count(F.lit(1)).alias("size"))
-    leaders = leaders.where("size > 1").select("v", (-F.col("m.x")).alias("x"))
+    leaders = stage(leaders.where("size > 1").select("v", (-F.col("m.x")).alias("x")), "leaders")
     led = stage(lists.join(leaders, "v").where("node <> x").select("v", "x", F.col("node").alias("y"), "n"), "led")
     near = (percent / 100) - LOOSE
     pairs = stage(_estimated(led.select("x", "y").distinct(), held, near, k), "pairs")
