@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridwx.llm.common import Lists, binary_array, flat_values, mix64, newest, ragged, stage, stretches
+from gridwx.llm.common import MEMOS, Lists, binary_array, flat_values, mix64, newest, ragged, remember, stage, stretches
 
 WINDOW = 2048
 END_ID = 1
@@ -48,8 +48,8 @@ RARE = 16
 SLICE_PLACES = 4096
 TOTALS = -1
 #: Chunks and words whose ids a worker remembers.
-MEMO_CHUNKS = 500_000
-MEMO_WORDS = 690_000
+MEMO_CHUNKS = 300_000
+MEMO_WORDS = 450_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -112,8 +112,8 @@ class WordTokenizer:
         self.chunks[_END]
         self.chunk_ids.add(np.array([self.end_id], self.kind), np.ones(1, np.int64))
 
-    def _plain_ids(self, chunks: list[str], joined: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, one after another, and how many each has."""
+    def _plain_ids(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks (joined by line feeds), one after another, and how many each has."""
         before = len(self.words)
         found = _BORDERS.findall(joined.lower())
         numbers = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
@@ -131,13 +131,12 @@ class WordTokenizer:
         joined = "\n".join(chunks)
         added = self.added.search if self.added else lambda _: None
         if _SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined) and not added(joined):
-            self.chunk_ids.add(*self._plain_ids(chunks, joined))
+            self.chunk_ids.add(*self._plain_ids(joined))
             return
         plain = np.array([_SIMPLE.fullmatch(c) is not None and unicodedata.is_normalized("NFC", c) and not added(c) for c in chunks])
         parts, sizes = [], np.empty(len(chunks), np.int64)
         if plain.any():
-            own = [c for c, p in zip(chunks, plain.tolist()) if p]
-            ids, sizes[plain] = self._plain_ids(own, "\n".join(own))
+            ids, sizes[plain] = self._plain_ids("\n".join(c for c, p in zip(chunks, plain.tolist()) if p))
             parts.append(ids)
         odd = [self.model.encode(c, add_special_tokens=False).ids for c, p in zip(chunks, plain.tolist()) if not p]
         sizes[~plain] = [len(x) for x in odd]
@@ -213,6 +212,9 @@ def slices(text: str) -> Iterator[str]:
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
+MEMOS["tokens"] = _TOKENIZERS.clear
+
+
 def tokenizer(path: str, end_id: int = END_ID) -> WordTokenizer:
     if (path, end_id) not in _TOKENIZERS:
         _TOKENIZERS[path, end_id] = WordTokenizer(path, end_id)
@@ -455,9 +457,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     """
 
     context = docs.sparkSession.sparkContext
-    kind = tokenizer(tokenizer_path, end_id).kind
+    kind = WordTokenizer(tokenizer_path, end_id).kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("tokens")
         words = tokenizer(tokenizer_path, end_id)
         row = TaskContext.get().partitionId() << 36
         df, totals = np.zeros(TERM_SPACE, np.int64), np.zeros(2, "<i8")
@@ -505,6 +508,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
                 yield pa.RecordBatch.from_arrays([*group.columns, pa.array(found, pa.int64())], names=["doc_id", "row", "ids", "stops", "route"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("shards")
         sequence = TaskContext.get().partitionId() << 36
 
         def shards() -> Iterator[pa.Table]:

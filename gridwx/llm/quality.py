@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwx.llm.common import MEMOS, remember
+
 #: Hashed words, structure statistics, and factors of each feature.
 WORD_SPACE = 1 << 13
 STATISTICS = 18
@@ -41,6 +43,7 @@ class Buckets(dict):
 
 
 _BUCKETS = Buckets()
+MEMOS["buckets"] = _BUCKETS.clear
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LETTERS = _UPPER + _UPPER.lower()
 _DIGITS = bytes(range(ord("0"), ord("9") + 1))
@@ -188,6 +191,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("buckets")
         for batch in batches:
             found = [float(machine.score(t.as_py())) for t in batch.column("text")]
             columns = [*batch.columns, pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwx.llm.common import WORD_HASHES, binary_array, flat_values, rolling, stage, stretches
+from gridwx.llm.common import WORD_HASHES, binary_array, flat_values, remember, rolling, stage, stretches
 
 LENGTH = 50
 GRAM = 16
@@ -83,6 +83,7 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     window and an anchor place, 32-bit integers."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("hashes")
         for batch in batches:
             parts = [runs(word_hashes(text.as_py()), length, gram) for text in batch.column(1)]
             doc = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
@@ -205,7 +206,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("_spans")
+            texts, spans = batch.column("text"), batch.columns[-1]
             counts, removed, kept = [], [], []
             for text, span in zip(texts, spans):
                 found = split_words(text.as_py())
@@ -222,14 +223,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     found = [w for w, c in zip(found, covered.tolist()) if not c]
                 removed.append(counts[-1] - len(found))
                 kept.append(b" ".join(found))
-            names = [f.name for f in batch.schema if f.name != "_spans"] + ["n_words", "n_removed", "kept_text"]
-            columns = [c for c, f in zip(batch.columns, batch.schema) if f.name != "_spans"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
+            names = [*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    spans = repeated_windows(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "places")).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["_doc"], "left").drop("_doc")
+    spans = repeated_windows(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "places")).alias("spans"))
+    spans = spans.withColumnRenamed("doc_id", "of")
+    # the rows travel as one column, so no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    joined = rows.join(spans, rows["id"] == spans["of"], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept_text string"
-    order = [*docs.columns, "_spans"]
-    return joined.select(*order).mapInArrow(cut, schema)
+    return joined.select("doc.*", F.col("spans").alias("")).mapInArrow(cut, schema)
