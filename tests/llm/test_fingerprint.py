@@ -53,3 +53,54 @@ def test_edges(spark):
     assert len(odd) == 4
     plain = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprints(table(spark, [(1, "same text"), (2, "same text"), (3, None)])).collect()}
     assert plain[1] == plain[2] != plain[3]
+
+
+def naive_features(text):
+    """The selected windows by the definition: rank by entropy, a vote per run of windows, POPULAR votes."""
+    n = len(text) - fp.WINDOW + 1
+    ranks = []
+    for i in range(n):
+        counts = collections.Counter(text[i : i + fp.WINDOW])
+        h = -sum(c / fp.WINDOW * math.log2(c / fp.WINDOW) for c in counts.values())
+        e = round(1000 * h / math.log2(fp.WINDOW))
+        ranks.append(max(0, 1000 - round(100 * abs(e - fp.EXPECTED) / fp.SPREAD)) if fp.LOWEST <= e <= fp.HIGHEST else 10_000)
+    votes = collections.Counter()
+    for i in range(n - fp.WINDOW + 1):
+        run = ranks[i : i + fp.WINDOW]
+        if min(run) < 10_000:
+            votes[i + run.index(min(run))] += 1
+    return [i for i in sorted(votes) if votes[i] >= fp.POPULAR]
+
+
+def test_selected_windows_equal_brute_force():
+    # dyadic counts have exact entropies, so the ranks of both agree to the last digit
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.choice(list(b"etaoin shrdlu"), n)) for n in (0, 10, 63, 64, 126, 127, 200, 900)]
+    for text in [*texts, b"".join(texts), b"a" * 400, bytes(range(256)) * 2]:
+        found = fp.selected_windows(np.frombuffer(text, np.uint8), np.array([0, len(text)])).tolist()
+        expected = naive_features(text)
+        assert len(set(found) ^ set(expected)) <= 0.02 * len(expected)
+
+
+def test_likeness_equals_brute_force():
+    texts = [t.encode() for _, t in hard_rows() if t and 3000 < len(t) < 60_000] or [b"x"]
+    texts += [texts[0][: len(texts[0]) // 2] + texts[-1][: len(texts[0]) // 2]]
+    found = fp.digests(texts)
+    for a in found:
+        for b in found:
+            filters = [[set(np.flatnonzero(np.unpackbits(np.frombuffer(d[1], np.uint8)[i : i + 256])).tolist()) for i in range(0, len(d[1]), 256)] for d in (a, b)]
+            sizes = [[min(fp.FILTER_FEATURES, d[0] - fp.FILTER_FEATURES * i) for i in range(len(f))] for d, f in zip((a, b), filters)]
+            order = sorted((0, 1), key=lambda k: (len(filters[k]), (a, b)[k][0]))
+            (x, nx), (y, _) = (filters[order[0]], sizes[order[0]]), (filters[order[1]], sizes[order[1]])
+            if len(x) > 1:
+                x = [f for f, n in zip(x, nx) if n >= fp.WINDOW // 4]
+            best = []
+            for f in x:
+                scores = []
+                for g in y:
+                    chance = len(f) * len(g) / fp.FILTER_BITS
+                    s = (len(f & g) - chance) / max(min(len(f), len(g)) - chance, 1e-9)
+                    s = min(1.0, max(0.0, s))
+                    scores.append(s if s >= fp.CUTOFF else 0.0)
+                best.append(max(scores))
+            assert abs(fp.likeness(a, b) - (1.0 if a == b else sum(best) / len(best))) < 1e-5

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridwx.llm import secrets
 from gridwx.llm.common import stage
+from tests.llm.helpers import hard_rows, table
 from tests.llm.test_minhash import brute as near_brute
 from tests.llm.test_substring import brute as passage_brute
 
@@ -54,3 +55,27 @@ def test_one_row_of_each_group_stays_where_ids_repeat(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted(left, key=str) == sorted([(3, copied + " end"), (5, unique), (7, twice), (9, ""), (None, copied)], key=str)
+
+
+def test_stages_take_hard_rows_and_none(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, other columns with clashing names, no n_chars; and an empty table."""
+    spark.createDataFrame([(i, 1) for i in range(40)] + [(None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = hard_rows() + [(None, "no id"), (None, None), (900, "token=abcdefgh"), (901, "é" * 300)]
+    for docs in (table(spark, rows), table(spark, rows).limit(0)):
+        columns, before = docs.columns, docs.count()
+        for name, function in corpus_pipeline.STAGES:
+            kept = docs.count()
+            docs = stage(function(spark, docs, str(tmp_path)), name.replace(" ", "-"))
+            if name == "packing":
+                assert docs.agg(F.sum("length")).first()[0] is not None or before == 0
+                assert docs.select("doc_id").distinct().count() <= kept
+                continue
+            assert docs.columns == columns and docs.count() <= kept
+            if name == "quality classifier":
+                assert docs.count() == before
+            if name == "MinHash near-dedup" and before:
+                texts = [r["text"] for r in docs.collect()]
+                assert texts.count(None) == 2 and texts.count("") == 1 and texts.count("no id") == 1
+            if name == "secret scans" and before:
+                assert {r["text"] for r in docs.where("doc_id = 900").collect()} == {"[SECRET]"}
+                assert {r["node"] for r in docs.collect()} == {"?"}

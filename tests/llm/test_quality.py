@@ -51,3 +51,25 @@ def test_nothing_to_fit_keeps_every_document(spark, tmp_path):
         machine = quality.train(docs, spark.read.parquet(f"{tmp_path}/{n}/labels.parquet"))
         assert {(r["score"], r["predicted"]) for r in quality.score_documents(docs, machine).collect()} == {(0.5, 1)}
         assert corpus_pipeline.reject_low_quality(spark, docs, f"{tmp_path}/{n}").count() == docs.count()
+
+
+def test_fit_steps_down_the_gradient():
+    """One pass over one batch moves each weight against the loss's gradient, taken by differences."""
+    texts, labels = ["good words here in a row", "BAD!! BAD!! ||", "more good words", "BAD || <x>"], [1, 0, 1, 0]
+    rows = [quality.features(t) for t in texts]
+
+    def loss(m):
+        raws = [m.raw(*r) for r in rows]
+        return sum(np.log1p(np.exp(-z if y else z)) for z, y in zip(raws, labels)) / len(rows)
+
+    fitted = quality.fit(texts, labels)
+    start = quality.Machine(0.0, np.zeros_like(fitted.w), np.random.default_rng(7).normal(0, 0.02, fitted.v.shape).astype(np.float32))
+    assert loss(fitted) < 0.5 * loss(start)
+    again = quality.fit(texts, labels)
+    assert np.array_equal(again.w, fitted.w) and np.array_equal(again.v, fitted.v)
+    for place in np.flatnonzero(np.abs(fitted.w) > 0)[:20]:
+        up = quality.Machine(start.w0, start.w.astype(np.float64), start.v.astype(np.float64))
+        up.w[place] = 1e-3
+        slope = (loss(up) - loss(start)) / 1e-3
+        if abs(slope) > 1e-3:
+            assert np.sign(fitted.w[place]) == -np.sign(slope)
