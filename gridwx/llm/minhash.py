@@ -286,9 +286,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     # members far from their leader, and those that can be linked to such
     far = led.join(measured, ["x", "y"], "left").where(f"total IS NULL OR shared < {near + (1 - percent / 100)} * total")
-    far = far.join(far.where("total IS NULL").select("v").distinct(), "v", "left_semi").select("v", F.col("y").alias("node"), "n")
-    far = far.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = far.groupBy("v").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("v")
+    far = far.select("v", F.col("y").alias("node"), "n", F.col("total").isNull().alias("unmeasured"))
+    far = stage(far.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "far-members")
+    # the lists that matter, written first as well: with a member that was not measured, and of several components
+    mixed = far.groupBy("v").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.bool_or("unmeasured").alias("any"))
+    mixed = stage(mixed.where("p < q AND any").select("v"), "far-lists")
     far = stage(far.join(mixed, "v", "left_semi").join(held.select("node", "sketch"), "node").select("v", "node", "n", "label", "sketch"), "far")
     pairs = stage(_estimated(_across(far, percent, k), held, percent / 100, k), "far-pairs")
     if not pairs.isEmpty():
