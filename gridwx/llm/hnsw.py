@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwx.llm.common import stage
@@ -215,11 +215,22 @@ def _distinct(ids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data[first[by_first]], ids[by_row], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(first)))))
 
 
-def _band(vector: Column) -> Column:
-    """The power of two at or below the norm; components of any size."""
-    largest = F.array_max(F.transform(vector, F.abs))
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
-    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
+def with_bands(vectors: DataFrame) -> DataFrame:
+    """vectors (id, vector) with dim, and band: the power of two at or below the norm, for components of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            offsets = lists.offsets.to_numpy()
+            sizes, starts, flat = np.diff(offsets), offsets[:-1] - offsets[0], lists.flatten().to_numpy()
+            largest = np.maximum.reduceat(np.abs(flat), starts) if len(sizes) else np.empty(0)
+            scaled = flat / np.repeat(largest, sizes)
+            squares = np.add.reduceat(scaled * scaled, starts) if len(sizes) else np.empty(0)
+            band = np.floor(np.log2(largest) + np.log2(squares) / 2)
+            columns = [*batch.columns, pa.array(sizes.astype(np.int32)), pa.array(band.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "dim", "band"])
+
+    return vectors.select("id", "vector").mapInArrow(run, "id long, vector array<double>, dim int, band int")
 
 
 def build_index(vectors: DataFrame, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
@@ -244,7 +255,7 @@ def build_index(vectors: DataFrame, shard_vectors: int = SHARD_VECTORS) -> DataF
         schema = pa.schema([*keys, ("data", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("entry", pa.int64()), ("layers", pa.list_(kind))])
         return pa.Table.from_pylist([row], schema)
 
-    dealt = vectors.withColumn("dim", F.size("vector")).withColumn("band", _band(F.col("vector")))
+    dealt = with_bands(vectors)
     # a double has some 2,100 powers of two, so this table stays small
     sizes = dealt.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard_vectors).cast("int").alias("parts"))
     dealt = dealt.join(sizes, ["dim", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))

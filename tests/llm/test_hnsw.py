@@ -87,7 +87,7 @@ def test_recall_in_separate_clusters():
 def test_bands_and_huge_components(spark):
     vectors = [[1.0, 0.0], [3.0, 4.0], [1e200, 1e200], [1e-200, 0.0], [0.75, 0.0]]
     rows = hnsw.usable(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    bands = {r["id"]: r["b"] for r in rows.select("id", hnsw._band(rows["vector"]).alias("b")).collect()}
+    bands = {r["id"]: r["band"] for r in hnsw.with_bands(rows).collect()}
     assert bands == {0: 0, 1: 2, 2: 664, 3: -665, 4: -1}
     found = hnsw.search_index(hnsw.build_index(rows), rows.where("id = 0")).orderBy("rank").collect()
     assert [r["vec_id"] for r in found] == [2, 1, 4, 3]
