@@ -6,11 +6,14 @@ credentials are masked in what stays, and that is packed. Every stage returns th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwx.llm import minhash, packing, quality, secrets, substring
-from gridwx.llm.common import stage, table
+from gridwx.llm.common import STAGED, discard, stage, table
 from gridwx.llm.queries import public_path
 
 
@@ -58,12 +61,32 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_path("word_bpe_49k.json"))
 
 
+#: By number of a stage, the tables that its last call left in the shared folder.
+_LEFT: dict[int, list[str]] = {}
+
+
+def _in_turn(number: int, function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the tables of the stage before it: that one's rows are written before this one is called,
+    so its tables are read no more, unless docs is what it returned itself."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        discard(spark, [path for path in _LEFT.pop(number - 1, []) if not any(path.rpartition("/")[2] in file for file in read)])
+        before = len(STAGED)
+        out = function(spark, docs, sf_dir)
+        _LEFT[number] = STAGED[before:]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", reject_low_quality),
-    ("MinHash near-dedup", drop_near_duplicates),
-    ("substring dedup", remove_repeated_passages),
-    ("secret scans", redact_secrets),
-    ("packing", pack),
+    ("quality classifier", _in_turn(1, reject_low_quality)),
+    ("MinHash near-dedup", _in_turn(2, drop_near_duplicates)),
+    ("substring dedup", _in_turn(3, remove_repeated_passages)),
+    ("secret scans", _in_turn(4, redact_secrets)),
+    ("packing", _in_turn(5, pack)),
 ]
 
 #: No SQL expresses the trained classifier or the packing; tests hold the stages against brute force.

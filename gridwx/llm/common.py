@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths of the tables that stage() has written in this session, the latest last.
+STAGED: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that stage() wrote and nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
 
@@ -43,6 +54,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors, computes Python once."""
     spark = df.sparkSession
     path = staged_path(spark, name)
+    STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
