@@ -79,3 +79,11 @@ FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
 SECRETS = _secrets()
+
+#: The pages of the tables have one article element each, of headings, paragraphs, bold text and line breaks.
+MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '\s+|<br>', ' ', 'g'), '</?(p|h1)>', chr(10), 'g'), '<[^>]*(>|$)', '', 'g') AS h FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(regexp_replace(replace(h, '&quot;', '"'), '&amp;?', '&', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' ') AS h FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import bpe, fingerprint, hnsw, minhash, oracles, packing, quality, secrets, sharding, substring, warc
+from gridwx.llm import bpe, fingerprint, hnsw, html, minhash, oracles, packing, quality, secrets, sharding, substring, warc
 from gridwx.llm.common import staged_path, table
 
 
@@ -85,9 +85,25 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+OPERATORS = (
+    op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op6_improbable_features, op7_substring_dedup,
+    op8_hnsw, op9_factorisation_machine, op10_differencing_shards, op11_main_text,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op6_improbable_features, op7_substring_dedup, op8_hnsw, op9_factorisation_machine, op10_differencing_shards)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": oracles.SECRETS, "op4_warc_salvage": oracles.WARC, "op5_bottom_k": oracles.NEAR, "op7_substring_dedup": oracles.PASSAGES}
+    return {
+        "op2_secret_scan": oracles.SECRETS,
+        "op4_warc_salvage": oracles.WARC,
+        "op5_bottom_k": oracles.NEAR,
+        "op7_substring_dedup": oracles.PASSAGES,
+        "op11_main_text": oracles.MAIN_TEXT,
+    }

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -17,6 +18,8 @@ from tests.llm.helpers import edited, hard_rows, prose
 from tests.llm.test_minhash import brute as near_brute
 from tests.llm.test_substring import brute as passage_brute
 
+SF = "/root/testdata/sf0.001"
+
 
 def documents():
     rng = random.Random(12)
@@ -167,6 +170,22 @@ def test_op10(spark, folder):
     assert 0 <= min(slots) and max(slots) <= 15
 
 
+def test_op11(spark, folder):
+    found = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in run(spark, folder, "op11_main_text")}
+    assert found == {i: (f"http://h/{i}", str(i % 5), 1) for i in range(20)} | {30: (None, "", 0), 31: ("u", "", 0), 32: ("u", "é" * 5000, 5000)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["op11_main_text"])
+def test_equals_its_sql_on_the_given_tables(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    result = duck.execute(Q.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(tuple(r[n] for n in names) for r in run(spark, SF, name)) == sorted(result.fetchall())
+
+
 def test_names_are_those_of_the_operators():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, len(Q.OPERATORS) + 1)]
     assert set(Q.oracle_sql()) <= set(Q.queries())
