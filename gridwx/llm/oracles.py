@@ -87,3 +87,21 @@ b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '\s+|
 c AS (SELECT page_id, url, replace(replace(replace(regexp_replace(replace(h, '&quot;', '"'), '&amp;?', '&', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' ') AS h FROM b),
 d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""
+
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+one AS (SELECT lang, unnest(w) AS g FROM w),
+two AS (SELECT lang, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+three AS (SELECT lang, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2),
+f AS (SELECT lang, g, CAST(count(*) AS BIGINT) AS f FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM one GROUP BY lang),
+c AS (SELECT lang, g AS phrase, string_split(g, ' ') AS w, f AS a FROM f WHERE g LIKE '% %'),
+parts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM c, (VALUES (1), (2)) x(k) WHERE k < len(w)),
+cuts AS (SELECT p.lang, phrase, a, k, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.g = lp JOIN f r ON r.lang = p.lang AND r.g = rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT lang, h AS phrase, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS h FROM c WHERE len(w) = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwx.llm import bpe, fingerprint, hnsw, html, minhash, oracles, packing, quality, secrets, sharding, substring, warc
+from gridwx.llm import align, bpe, fingerprint, hnsw, html, minhash, oracles, packing, phrases, quality, secrets, sharding, substring, warc
 from gridwx.llm.common import staged_path, table
 
 
@@ -89,9 +89,19 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 OPERATORS = (
     op1_retrieval_packing, op2_secret_scan, op3_byte_bpe, op4_warc_salvage, op5_bottom_k, op6_improbable_features, op7_substring_dedup,
-    op8_hnsw, op9_factorisation_machine, op10_differencing_shards, op11_main_text,
+    op8_hnsw, op9_factorisation_machine, op10_differencing_shards, op11_main_text, op12_token_alignment, op13_collocations,
 )
 
 
@@ -106,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_bottom_k": oracles.NEAR,
         "op7_substring_dedup": oracles.PASSAGES,
         "op11_main_text": oracles.MAIN_TEXT,
+        "op13_collocations": oracles.COLLOCATIONS,
     }

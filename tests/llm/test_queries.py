@@ -15,7 +15,9 @@ from tokenizers import Tokenizer
 
 from gridwx.llm import queries as Q
 from tests.llm.helpers import edited, hard_rows, prose
+from tests.llm.test_align import brute as align_brute
 from tests.llm.test_minhash import brute as near_brute
+from tests.llm.test_phrases import brute as phrase_brute
 from tests.llm.test_substring import brute as passage_brute
 
 SF = "/root/testdata/sf0.001"
@@ -175,8 +177,22 @@ def test_op11(spark, folder):
     assert found == {i: (f"http://h/{i}", str(i % 5), 1) for i in range(20)} | {30: (None, "", 0), 31: ("u", "", 0), 32: ("u", "é" * 5000, 5000)}
 
 
+def test_op12(spark, folder):
+    want = {}
+    for i, *figures, groups, n_links, n_best, count_sum in [(r[0], *r[1:4], r[7], *r[4:7]) for r in align_brute(documents())]:
+        want[i] = (*figures, n_links, n_best, count_sum, hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+    names = "n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
+    assert {r["doc_id"]: tuple(r[n] for n in names) for r in run(spark, folder, "op12_token_alignment")} == want
+
+
+def test_op13(spark, folder):
+    rows = [("en" if i % 2 else None, t) for i, t in documents()]
+    names = "lang rank phrase a l r n score".split()
+    assert sorted(tuple(r[n] for n in names) for r in run(spark, folder, "op13_collocations")) == phrase_brute(rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["op11_main_text"])
+@pytest.mark.parametrize("name", ["op11_main_text", "op13_collocations"])
 def test_equals_its_sql_on_the_given_tables(spark, name):
     duck = duckdb.connect()
     for t in ("documents", "pages"):
