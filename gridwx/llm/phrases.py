@@ -24,9 +24,11 @@ from gridwx.llm.bpe import _spread, _squeeze
 from gridwx.llm.common import partitions, stage
 
 #: Bytes of the texts of one block, after which the next one begins.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of texts that are cut together.
 GROUP_BYTES = 1 << 20
+#: Rows that are handed on to the JVM at a time.
+OUT_ROWS = 1 << 16
 #: Shards of the corpus. With four, a phrase of support 10 must occur three times in one of them.
 SHARDS = 4
 SUPPORT = 10
@@ -103,8 +105,13 @@ def frequent_words(blocks: DataFrame, support: int = SUPPORT) -> DataFrame:
     """lang, word (binary), f (occurrences), id: the words that have the support, numbered over all languages."""
     counted = blocks.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), "counts")))
     counted = counted.groupBy("lang", "word").agg(F.sum("counts").alias("f")).where(F.col("f") >= support)
-    # the numbers must not change when a task runs again, so they are written
-    return stage(counted.withColumn("id", F.monotonically_increasing_id()), "frequent-words")
+    # the numbers must not change when a task runs again, so they are written; then made gapless, as small ones shuffle well
+    rows = stage(counted.withColumn("k", F.monotonically_increasing_id()), "frequent-words")
+    task = F.shiftright("k", 33)
+    sizes = rows.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("size"))
+    first = F.coalesce(F.sum("size").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select("task", first.alias("first"))), task == F.col("task"))
+    return stage(rows.select("lang", "word", "f", (F.col("first") + F.col("k").bitwiseAND((1 << 33) - 1)).alias("id")), "numbered-words")
 
 
 def block_phrases(blocks: DataFrame, words: DataFrame) -> DataFrame:
@@ -130,7 +137,8 @@ def block_phrases(blocks: DataFrame, words: DataFrame) -> DataFrame:
         w2 = ids[np.concatenate((pairs % len(ids), first % len(ids)))]
         w3 = np.concatenate((np.full(len(pairs), -1), ids[triples % len(ids)]))
         shard = np.full(len(w1), block.column("shard")[0].as_py(), np.int32)
-        return pa.table([w1, w2, w3, shard, np.concatenate((n2, n3))], names=["w1", "w2", "w3", "shard", "n"])
+        found = pa.table([w1, w2, w3, shard, np.concatenate((n2, n3))], names=["w1", "w2", "w3", "shard", "n"])
+        return pa.Table.from_batches(found.to_batches(max_chunksize=OUT_ROWS), found.schema)
 
     return blocks.select("block", "shard", "codes").groupBy("block").cogroup(places.groupBy("of_block")).applyInArrow(phrases, PHRASES)
 
