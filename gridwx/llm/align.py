@@ -9,8 +9,10 @@ the sums go back to the blocks. Texts that cannot be cut so are one chunk.
 
 from __future__ import annotations
 
+import os
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwx.llm.bpe import _spread, _squeeze, _uncut
+from gridwx.llm.bpe import _packed, _spread, _squeeze, _uncut, _unpacked
 from gridwx.llm.common import MEMOS, Lists, newest, ragged, remember, stage, stretches
 
 #: Characters of the texts of one block, after which the next one begins.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: Texts that are cut together.
 GROUP = 256
+#: Chunks that are encoded together.
+LEARNT = 8192
 #: Chunks, and their characters, that a worker remembers from block to block.
-MEMO_CHUNKS, MEMO_CHARS = 300_000, 16 << 20
+MEMO_CHUNKS, MEMO_CHARS = 350_000, 24 << 20
 #: Bits of a B id in a pair's code; the A id stands above them.
 B_BITS = 32
 
-BLOCKS = """block long, doc_ids array<long>, lengths binary, codes binary, groups array<string>, n_a binary, n_b binary, n_groups binary,
+BLOCKS = """block long, doc_ids array<long>, lengths binary, codes binary, groups binary, n_a binary, n_b binary, n_groups binary,
 n_links binary, links binary, pairs array<long>, docs array<int>"""
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
@@ -46,6 +50,7 @@ class Aligner:
     """Chunks of texts and their alignment; a chunk stands for a space and its text, encoded by both vocabularies."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only wait for each other
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -61,14 +66,19 @@ class Aligner:
         ]
         self.a_sizes = np.array([len(t) for t in self.a_bytes])
         self.b_sizes = np.array([len(t) for t in self.b_bytes])
+        #: An id as it is written behind each of the separators, by separator and id.
+        self.span = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{before}{i}" for before in ("", ",", "|", ";") for i in range(self.span)]
         #: May a text be cut before a space? Not if a piece goes on after one.
         self.cuts = not any(b" " in t.lstrip(b" ") for t in self.b_bytes)
         self.clear()
 
     def clear(self) -> None:
         self.chars = 0
-        self.chunks: dict[str, int] = {}
-        self.pairs: dict[int, int] = {}
+        self.chunks: dict[str, int] = defaultdict()
+        self.chunks.default_factory = self.chunks.__len__
+        self.pairs: dict[int, int] = defaultdict()
+        self.pairs.default_factory = self.pairs.__len__
         #: By chunk: its groups as text, its numbers of tokens and groups, the numbers of its links' pairs; and does it count?
         self.groups: list[str] = []
         self.sound = np.empty(0, bool)
@@ -79,37 +89,67 @@ class Aligner:
         return [text] if not self.cuts or _uncut(text) else text.split(" ")
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        known, before = self.chunks, len(self.chunks)
-        for c in chunks:
-            if c not in known:
-                known[c] = len(known)
-        if len(known) > before:
-            self._learn(newest(known, before))
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        before = len(self.chunks)
+        found = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        if len(self.chunks) > before:
+            unseen = newest(self.chunks, before)
+            for at in range(0, len(unseen), LEARNT):
+                self._learn(unseen[at : at + LEARNT])
+        return found
 
     def _learn(self, chunks: list[str]) -> None:
         self.chars += sum(map(len, chunks))
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
         b_ids = self.b.encode(chunks, num_threads=1)
+        (a, n_a), (b, n_b) = _flat(a_ids), _flat(b_ids)
         raw = [b" " + c.encode() for c in chunks]
-        sound = [b"".join(map(self.a_bytes.__getitem__, a)) == r == b"".join(map(self.b_bytes.__getitem__, b)) for r, a, b in zip(raw, a_ids, b_ids)]
-        self.sound = np.concatenate((self.sound, sound))
-        a_ids, b_ids = ([ids if s else [] for ids, s in zip(found, sound)] for found in (a_ids, b_ids))
-        n_a, n_b = (np.fromiter(map(len, found), np.int64, len(found)) for found in (a_ids, b_ids))
-        a, b = (np.fromiter((i for ids in found for i in ids), np.int64) for found in (a_ids, b_ids))
+        sound = self._sound(raw, a, n_a, b, n_b)
+        if not sound.all():
+            a_ids, b_ids = ([ids if s else [] for ids, s in zip(found, sound.tolist())] for found in (a_ids, b_ids))
+            (a, n_a), (b, n_b) = _flat(a_ids), _flat(b_ids)
         chunk = np.concatenate((np.repeat(np.arange(len(chunks)), n_a), np.repeat(np.arange(len(chunks)), n_b)))
         groups, begins, a_of, b_of = coalesce(self.a_sizes[a], self.b_sizes[b])
         # a chunk's tokens end together, so its groups are its own
         n_groups = np.bincount(chunk[begins], minlength=len(chunks))
-        self.groups += _written(np.concatenate((a, b)), np.arange(len(chunk)) >= len(a), chunk, groups, len(chunks))
-        codes = (a[a_of] << B_BITS | b[b_of]).tolist()
-        pairs = self.pairs
-        for code in codes:
-            if code not in pairs:
-                pairs[code] = len(pairs)
-        self.links.add(np.fromiter(map(pairs.__getitem__, codes), "<u4", len(codes)), np.bincount(chunk[a_of], minlength=len(chunks)))
+        self.groups += self._written(np.concatenate((a, b)), np.arange(len(chunk)) >= len(a), chunk, groups, len(chunks))
+        codes = a[a_of] << B_BITS | b[b_of]
+        self.links.add(np.fromiter(map(self.pairs.__getitem__, codes.tolist()), "<u4", len(codes)), np.bincount(chunk[a_of], minlength=len(chunks)))
+        self.sound = np.concatenate((self.sound, sound))
         self.n_a, self.n_b, self.n_groups = (np.concatenate(x) for x in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups)))
 
+    def _sound(self, raw: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Of each chunk: do the tokens of both vocabularies give its bytes?"""
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = b"".join(raw)
+        sides = ((a, n_a, self.a_sizes, self.a_bytes), (b, n_b, self.b_sizes, self.b_bytes))
+        if all((_sums(sizes[ids], n) == lengths).all() and b"".join(map(table.__getitem__, ids.tolist())) == whole for ids, n, sizes, table in sides):
+            return np.ones(len(raw), bool)
+        found = np.ones(len(raw), bool)
+        for ids, n, _, table in sides:
+            until = np.cumsum(n)
+            for i, (at, end) in enumerate(zip((until - n).tolist(), until.tolist())):
+                found[i] &= b"".join(map(table.__getitem__, ids[at:end].tolist())) == raw[i]
+        return found
+
+    def _written(self, ids: np.ndarray, side: np.ndarray, chunk: np.ndarray, groups: np.ndarray, n: int) -> list[str]:
+        """Each chunk's groups: `a1,a2|b1;a3|b2,b3`."""
+        order = np.lexsort((side, groups))
+        side, chunk, groups = side[order], chunk[order], groups[order]
+        before = np.full(len(order), 1)
+        before[1:][side[1:] != side[:-1]] = 2
+        before[1:][groups[1:] != groups[:-1]] = 3
+        until = np.searchsorted(chunk, np.arange(n + 1))
+        before[until[:-1][until[:-1] < until[1:]]] = 0
+        parts = list(map(self.names.__getitem__, (before * self.span + ids[order]).tolist()))
+        until = until.tolist()
+        return ["".join(parts[i:j]) for i, j in zip(until, until[1:])]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after another, and their sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
 
 def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups of the tokens of one text, cut twice into tokens of these sizes in bytes.
@@ -132,19 +172,6 @@ def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return groups, order[breaks], np.repeat(np.arange(n), overlaps), stretches(first, overlaps)
 
 
-def _written(ids: np.ndarray, side: np.ndarray, chunk: np.ndarray, groups: np.ndarray, n: int) -> list[str]:
-    """Each chunk's groups: `a1,a2|b1;a3|b2,b3`."""
-    order = np.lexsort((side, groups))
-    side, chunk, groups = side[order], chunk[order], groups[order]
-    before = np.full(len(order), ",")
-    before[1:][side[1:] != side[:-1]] = "|"
-    before[1:][groups[1:] != groups[:-1]] = ";"
-    until = np.searchsorted(chunk, np.arange(n + 1))
-    before[until[:-1][until[:-1] < until[1:]]] = ""
-    parts = [b + str(i) for b, i in zip(before.tolist(), ids[order].tolist())]
-    return ["".join(parts[i:j]) for i, j in zip(until[:-1].tolist(), until[1:].tolist())]
-
-
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 MEMOS["aligners"] = _ALIGNERS.clear
 
@@ -192,7 +219,7 @@ def _block(own: Aligner, number: int, doc_ids: list, codes: np.ndarray, lengths:
             pa.array([number]),
             pa.array([doc_ids], pa.list_(pa.int64())),
             *(pa.array([_squeeze(x.astype("<u4"))], pa.binary()) for x in (lengths, codes)),
-            pa.array([[own.groups[i] for i in used.tolist()]], pa.list_(pa.string())),
+            pa.array([_packed("\n".join([own.groups[i] for i in used.tolist()]).encode())], pa.binary()),
             *(pa.array([x], pa.binary()) for x in packed),
             pa.array([code_of], pa.list_(pa.int64())),
             pa.array([docs.astype(np.int32)], pa.list_(pa.int32())),
@@ -267,7 +294,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, block_chars: int
         lengths, codes, n_links, links = (_spread(row[c].as_py()).astype(np.int64) for c in ("lengths", "codes", "n_links", "links"))
         per_chunk = [_spread(row[c].as_py()).astype(np.int64) for c in ("n_a", "n_b", "n_groups")]
         per_chunk += [n_links, _sums(best[links], n_links), _sums(n[links], n_links)]
-        groups, until = row["groups"].as_py(), [0, *np.cumsum(lengths).tolist()]
+        groups, until = _unpacked(row["groups"].as_py()).decode().split("\n"), [0, *np.cumsum(lengths).tolist()]
         order = codes.tolist()
         texts = [";".join([groups[i] for i in order[at:end]]) for at, end in zip(until, until[1:])]
         columns = [_sums(x[codes], lengths) for x in per_chunk]
