@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridwx.operators import state as T
 from gridwx.plans.registry import query
-from gridwx.sources import raster, tables
+from gridwx.sources import daylog, kept, raster, tables
 from gridwx.streaming import ingest
 from gridwx.workspace import scratch
 
@@ -25,24 +25,27 @@ def raster_explode(spark, sf_dir, tiles):
 
 
 def _files(tiles):
-    """Rasters as files: a head of reference system and number of bands, then raw float32 pixels."""
+    """Rasters as files: a head of reference system, bands, width and height, then raw float32 pixels."""
 
     def packed(batches):
         import numpy as np
 
         for batch in batches:
-            heads = [np.array([int(c.removeprefix("EPSG:")), b], "<i4").tobytes() for c, b in zip(batch["crs"], batch["band_count"])]
+            heads = batch[["crs", "band_count", "width", "height"]].itertuples(index=False)
+            heads = [np.array([int(h.crs.removeprefix("EPSG:")), h.band_count, h.width, h.height], "<i4").tobytes() for h in heads]
             yield batch[["path"]].assign(content=[h + np.asarray(v, "<f4").tobytes() for h, v in zip(heads, batch["pixel_values"])])
 
     path = F.concat(F.lit("rasters/raster.v3."), F.date_format("obs_date", "yyyy.MM.dd"), F.lit(".tif"))
-    return tiles.select(path.alias("path"), "crs", "band_count", "pixel_values").mapInPandas(packed, "path string, content binary")
+    return tiles.select(path.alias("path"), "crs", "band_count", "width", "height", "pixel_values").mapInPandas(packed, "path string, content binary")
 
 
 def _decode(content):
     import numpy as np
 
-    crs, bands = np.frombuffer(content, "<i4", 2).tolist()
-    pixels = np.frombuffer(content, "<f4", offset=8).reshape(8, 8)
+    crs, bands, width, height = np.frombuffer(content, "<i4", 4).tolist()
+    if bands < 0:
+        raise OSError("bad block")
+    pixels = np.frombuffer(content, "<f4", offset=16).reshape(height, width)
     return raster.Raster(pixels, f"EPSG:{crs}", tuple(TRANSFORM), None, bands)
 
 
@@ -56,54 +59,104 @@ def raster_decode(spark, sf_dir, tiles):
     return heads.join(cells, "obs_date")
 
 
-GOOD = "band_count = 1 AND crs = 'EPSG:4326' AND list_min(pixel_values) >= 0"
-WRONG = """array_to_string(list_filter([CASE WHEN crs <> 'EPSG:4326' THEN 'CRS mismatch' END, CASE WHEN band_count <> 1 THEN 'Expected single band' END,
-    CASE WHEN list_min(pixel_values) < 0 THEN 'Found ' || CAST(len(list_filter(pixel_values, lambda x: x < 0)) AS VARCHAR) || ' negative precipitation values' END], lambda s: s IS NOT NULL), '; ')"""
-SIGNED_SQL = "SELECT obs_date, width, height, crs, band_count, CASE WHEN day(obs_date) = 13 THEN pixel_values ELSE list_transform(pixel_values, lambda x: abs(x)) END AS pixel_values FROM fx_raster_tile"
+#: Rasters that do not belong to the table: the first day's is in another reference system; the 13th of each month has
+#: negative values, the 17th another size, the 19th raises in the decoder, the 21st has two files.
+MIXED = """, t AS (SELECT obs_date, band_count, day(obs_date) AS dd, CASE WHEN obs_date = DATE '2024-01-01' THEN 'EPSG:4269' ELSE crs END AS crs,
+      CASE WHEN day(obs_date) = 13 THEN pixel_values ELSE list_transform(pixel_values, lambda x: abs(x)) END AS pixel_values FROM fx_raster_tile),
+    e AS (SELECT *, CASE WHEN dd = 19 THEN ['File cannot be decoded: OSError: bad block'] ELSE list_filter([
+      CASE WHEN crs <> 'EPSG:4326' THEN 'CRS mismatch' END, CASE WHEN band_count <> 1 THEN 'Expected single band' END,
+      CASE WHEN list_min(pixel_values) < 0 THEN 'Found ' || CAST(len(list_filter(pixel_values, lambda x: x < 0)) AS VARCHAR) || ' negative precipitation values' END,
+      CASE WHEN dd = 17 THEN 'Height mismatch' END, CASE WHEN crs <> 'EPSG:4326' THEN 'Unexpected CRS: ' || crs || ', expected EPSG:4326' END,
+      CASE WHEN dd = 17 THEN 'Width mismatch' END], lambda s: s IS NOT NULL) END AS errs FROM t),
+    f AS (SELECT obs_date, 'rasters/raster.v3.' || strftime(obs_date, '%Y.%m.%d') || '.tif' AS path, errs FROM e
+      UNION ALL SELECT obs_date, 'rasters/second/raster.v3.' || strftime(obs_date, '%Y.%m.%d') || '.tif', CASE WHEN len(errs) = 0 THEN ['Another file of this day'] ELSE errs END FROM e WHERE dd = 21)"""
 
 
-def _signed(tiles):
-    """Rainfall without negative values, but for the 13th of each month."""
-    return tiles.withColumn("pixel_values", F.when(F.dayofmonth("obs_date") == 13, F.col("pixel_values")).otherwise(F.transform("pixel_values", F.abs)))
+def _mixed_files(tiles):
+    """The rasters' files, with some that do not belong to the table."""
+    dd = F.dayofmonth("obs_date")
+    tiles = tiles.withColumn("pixel_values", F.when(dd == 13, F.col("pixel_values")).otherwise(F.transform("pixel_values", F.abs)))
+    tiles = tiles.withColumn("crs", F.when(F.col("obs_date") == F.lit("2024-01-01").cast("date"), "EPSG:4269").otherwise(F.col("crs")))
+    tiles = tiles.withColumns({"width": F.when(dd == 17, 16).otherwise(8), "height": F.when(dd == 17, 4).otherwise(8), "band_count": F.when(dd == 19, -1).otherwise(F.col("band_count"))})
+    files = _files(tiles)
+    second = files.where(F.dayofmonth(raster.path_to_date(F.col("path"))) == 21)
+    return files.unionByName(second.withColumn("path", F.regexp_replace("path", "^rasters/", "rasters/second/")))
 
 
-@query("raster_tile", f", t AS ({SIGNED_SQL}) SELECT obs_date, CASE WHEN {GOOD} THEN 'ok' ELSE 'failed' END AS outcome, {WRONG} AS errors, CAST(CASE WHEN {GOOD} THEN 64 ELSE 0 END AS INTEGER) AS n_cells FROM t")
+@query(
+    "raster_tile",
+    MIXED + """ SELECT obs_date, path, CASE WHEN len(errs) = 0 THEN 'ok' ELSE 'failed' END AS outcome, array_to_string(errs, '; ') AS errors,
+    CAST(64 * max(CAST(len(errs) = 0 AS INTEGER)) OVER (PARTITION BY obs_date) AS INTEGER) AS n_cells FROM f""",
+)
 def bootstrap_outcomes(spark, sf_dir, tiles):
-    """A table made of raster files: each day's outcome, and the cells that the table has of it."""
+    """A table made of raster files: each file's outcome, and the cells that the table has of its day."""
     table = scratch(spark, "bootstrap")
-    found = ingest.bootstrap_run(spark, _files(_signed(tiles)), _decode, table)
-    cells = spark.read.parquet(table).groupBy("obs_date").agg(F.count("precipitation").alias("n"))
+    found = ingest.bootstrap_run(spark, _mixed_files(tiles), _decode, table)
+    cells = daylog.read(spark, table).groupBy("obs_date").agg(F.count("precipitation").alias("n"))
     errors = F.array_join(F.array_sort("errors"), "; ")
-    return found.join(cells, "obs_date", "left").select("obs_date", "outcome", errors.alias("errors"), F.coalesce("n", F.lit(0)).cast("int").alias("n_cells"))
+    return found.join(cells, "obs_date", "left").select("obs_date", "path", "outcome", errors.alias("errors"), F.coalesce("n", F.lit(0)).cast("int").alias("n_cells"))
 
 
 @query(
     "raster_tile",
-    f""", t AS ({SIGNED_SQL}), d AS (SELECT 1 AS run, CAST(unnest(generate_series(DATE '2024-04-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS DATE) AS obs_date
-    UNION ALL SELECT 2, unnest([DATE '2024-05-01', DATE '2024-05-02']) UNION ALL SELECT 3, CAST(unnest(generate_series(DATE '2024-03-25', DATE '2024-04-23', INTERVAL 1 DAY)) AS DATE))
-    SELECT CAST(run AS INTEGER) AS run, obs_date, CASE WHEN obs_date = DATE '2024-05-02' THEN 'missing' WHEN NOT ({GOOD}) THEN 'failed' WHEN run = 3 THEN 'skipped' ELSE 'ok' END AS outcome FROM d JOIN t USING (obs_date)""",
+    MIXED + """, d AS (SELECT 1 AS run, CAST(unnest(generate_series(DATE '2024-04-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS DATE) AS obs_date
+    UNION ALL SELECT 2, unnest([DATE '2024-05-01', DATE '2024-05-02']) UNION ALL SELECT 3, CAST(unnest(generate_series(DATE '2024-03-25', DATE '2024-04-23', INTERVAL 1 DAY)) AS DATE)),
+    g AS (SELECT obs_date, bool_or(len(errs) = 0) AS good FROM f GROUP BY 1)
+    SELECT CAST(run AS INTEGER) AS run, obs_date, CASE WHEN obs_date = DATE '2024-05-02' THEN 'missing' WHEN run = 3 AND good THEN 'skipped' WHEN len(errs) = 0 THEN 'ok' ELSE 'failed' END AS outcome,
+    CASE WHEN obs_date <> DATE '2024-05-02' AND NOT (run = 3 AND good) THEN path END AS path
+    FROM d JOIN f USING (obs_date) JOIN g USING (obs_date) WHERE NOT (run = 3 AND good AND path LIKE '%second%')""",
 )
 def incremental_outcomes(spark, sf_dir, tiles):
     """After a bootstrap of three months: a run of thirty days, one that ends at a missing file, and a forced one over days
     that the table has, but for the rejected ones."""
-    files = _files(_signed(tiles)).withColumn("day", raster.path_to_date(F.col("path"))).where("day <> DATE'2024-05-02'")
+    files = _mixed_files(tiles).withColumn("day", raster.path_to_date(F.col("path"))).where("day <> DATE'2024-05-02'")
     table = scratch(spark, "incremental")
     ingest.bootstrap_run(spark, files.where("day < DATE'2024-04-01'"), _decode, table)
     runs = []
     for run, forced in ((1, None), (2, None), (3, "2024-03-25")):
         done = ingest.incremental_run(spark, files, _decode, table, forced)
-        runs.append(done.select(F.lit(run).alias("run"), "obs_date", "outcome"))
+        runs.append(done.select(F.lit(run).alias("run"), "obs_date", "outcome", "path"))
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
-CHECKED = """, x AS (SELECT obs_date, width, height, crs, band_count, unnest(pixel_values) AS v FROM fx_raster_tile), f AS (SELECT min_by(crs, obs_date) AS crs FROM fx_raster_tile),
+@query(
+    "raster_tile",
+    MIXED + """, ends AS (SELECT min(obs_date) AS a, max(obs_date) AS b FROM f WHERE len(errs) = 0)
+    SELECT unnest(['bootstrap_complete', 'comment', 'geospatial_lat_max', 'geospatial_lat_min', 'geospatial_lon_max', 'geospatial_lon_min', 'institution', 'references', 'source', 'time_coverage_end', 'time_coverage_start', 'title']) AS key,
+    unnest(['true', '', '0.2250', '-0.1250', '30.3750', '30.0250', 'Unknown', '', 'Daily rasters', CAST(b AS VARCHAR), CAST(a AS VARCHAR), 'Daily precipitation']) AS value FROM ends""",
+)
+def stored_metadata(spark, sf_dir, tiles):
+    """What a bootstrap leaves with its table, but for the time of the load, the schema and the raster's own grid."""
+    table = scratch(spark, "bootstrap")
+    ingest.bootstrap_run(spark, _mixed_files(tiles), _decode, table)
+    return tables.stored_metadata(spark, table).where("key NOT IN ('date_modified', 'schema', 'grid')")
+
+
+@query("grid_daily", "SELECT obs_date, count(*) AS cells, count(*) AS n_read, round(sum(precipitation), 4) AS total FROM fx_grid_daily GROUP BY 1")
+def day_log(spark, sf_dir, grid):
+    """A table of days made, appended to, and appended to once more: its log, and what a read by the log gives."""
+    path, rows = scratch(spark, "days"), grid.repartition("obs_date")
+    daylog.create(spark, path, rows.where("obs_date < DATE'1995-01-01'"))
+    for _ in range(2):
+        daylog.append(spark, path, rows)
+    found = daylog.read(spark, path).groupBy("obs_date").agg(F.count(F.lit(1)).alias("n_read"), F.round(F.sum("precipitation"), 4).alias("total"))
+    return daylog.days(spark, path).select("obs_date", "cells").join(found, "obs_date")
+
+
+#: The first day's raster is in another reference system.
+CHECKED = """, h AS (SELECT obs_date, CASE WHEN obs_date = DATE '2024-01-01' THEN 'EPSG:4269' ELSE crs END AS crs, band_count, pixel_values FROM fx_raster_tile),
+    f AS (SELECT min_by(crs, obs_date) AS crs FROM h WHERE band_count = 1 AND crs = 'EPSG:4326' AND len(list_filter(pixel_values, lambda p: p < 0)) = 0),
+    x AS (SELECT obs_date, crs, band_count, unnest(pixel_values) AS v FROM h),
     a AS (SELECT obs_date, x.crs, band_count, count(*) FILTER (v <> -9999) AS valid_pixels, count(*) AS total_pixels, min(CAST(v AS DOUBLE)) AS min_value, max(CAST(v AS DOUBLE)) AS max_value, count(*) FILTER (v < 0) AS negatives FROM x GROUP BY ALL),
-    e AS (SELECT *, list_filter([CASE WHEN band_count <> 1 THEN 'Expected single band' END, CASE WHEN crs <> (SELECT crs FROM f) THEN 'CRS mismatch' END, CASE WHEN negatives > 0 THEN 'Found ' || CAST(negatives AS VARCHAR) || ' negative precipitation values' END], lambda s: s IS NOT NULL) AS errors FROM a)"""
+    e AS (SELECT *, list_filter([CASE WHEN crs <> (SELECT crs FROM f) THEN 'CRS mismatch' END, CASE WHEN band_count <> 1 THEN 'Expected single band' END, CASE WHEN negatives > 0 THEN 'Found ' || CAST(negatives AS VARCHAR) || ' negative precipitation values' END, CASE WHEN crs <> 'EPSG:4326' THEN 'Unexpected CRS: ' || crs || ', expected EPSG:4326' END], lambda s: s IS NOT NULL) AS errors FROM a)"""
 
 
 @query("raster_tile", CHECKED + " SELECT obs_date, valid_pixels, total_pixels, 100e0 * valid_pixels / total_pixels AS valid_pct, min_value, max_value, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS is_valid FROM e")
 def raster_validate(spark, sf_dir, tiles):
-    return raster.validate_rasters(tiles).withColumn("errors", F.array_join("errors", "; "))
+    """Against the expected reference system, and the first raster that has it and is sound otherwise."""
+    crs = F.when(F.col("obs_date") == F.lit("2024-01-01").cast("date"), "EPSG:4269").otherwise(F.col("crs"))
+    found = raster.validate_rasters(tiles.withColumn("crs", crs), expected_crs=raster.CRS)
+    return found.withColumn("errors", F.array_join(F.array_sort("errors"), "; "))
 
 
 @query("grid_daily", """, a AS (SELECT obs_date, count(*) FILTER (raw_value <> -9999) AS n, min(raw_value) FILTER (raw_value <> -9999) AS lo, max(raw_value) FILTER (raw_value <> -9999) AS hi, avg(raw_value) FILTER (raw_value <> -9999) AS m, count(*) AS c FROM fx_grid_daily GROUP BY obs_date)
@@ -119,6 +172,54 @@ def idempotent_append(spark, sf_dir, grid):
     return tables.append_new_days(existing, grid).select("cell_id", "obs_date", "precipitation")
 
 
+def _kept(spark, grid):
+    """Monthly state kept beside a table of days that was made, and appended to in the middle of a month."""
+    path, rows = scratch(spark, "kept"), grid.repartition("obs_date")
+    daylog.create(spark, f"{path}/days", rows.where("obs_date <= DATE'1996-04-10'"))
+    kept.refresh(spark, f"{path}/days", f"{path}/months")
+    daylog.append(spark, f"{path}/days", rows)
+    for _ in range(2):
+        kept.refresh(spark, f"{path}/days", f"{path}/months")
+    return f"{path}/months"
+
+
+@query(
+    "grid_daily",
+    """SELECT lat_idx, lon_idx, last_day(obs_date) AS bin, count(precipitation) AS n, round(avg(precipitation), 4) AS mean, round(stddev_pop(precipitation), 4) AS std, min(precipitation) AS low, max(precipitation) AS high
+    FROM fx_grid_daily WHERE precipitation IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def kept_monthly(spark, sf_dir, grid):
+    """Monthly statistics from kept state equal a full count."""
+    found = kept.monthly(spark, _kept(spark, grid))
+    return found.select("lat_idx", "lon_idx", "bin", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "low", "high")
+
+
+@query("grid_daily", "SELECT lat_idx, lon_idx, CAST(month(obs_date) AS INTEGER) AS month, round(avg(precipitation), 4) AS mean FROM fx_grid_daily WHERE precipitation IS NOT NULL GROUP BY ALL")
+def kept_climatology(spark, sf_dir, grid):
+    return kept.climatology(spark, _kept(spark, grid)).withColumn("mean", F.round("mean", 4))
+
+
+def _compacted(spark, grid):
+    """The grid stored by place: tiles of four cells on a side, so that it has several."""
+    path = scratch(spark, "tiles")
+    daylog.create(spark, f"{path}/days", grid.repartition("obs_date"))
+    tables.compact(spark, f"{path}/days", f"{path}/tiles", tile=4, page_rows=500)
+    return f"{path}/tiles"
+
+
+@query("grid_daily", "SELECT lat_idx, lon_idx, obs_date, precipitation FROM fx_grid_daily WHERE lat_idx BETWEEN 3 AND 5 AND lon_idx BETWEEN 1 AND 3 AND obs_date BETWEEN DATE '1995-06-01' AND DATE '1997-02-01'")
+def stored_box(spark, sf_dir, grid):
+    """A box and a range of days of a table stored by place; it touches two rows of tiles and three years."""
+    found = tables.read_tiles(spark, _compacted(spark, grid), (3, 5), (1, 3), "1995-06-01", "1997-02-01")
+    return found.select("lat_idx", "lon_idx", "obs_date", "precipitation")
+
+
+@query("grid_daily", "SELECT obs_date, precipitation FROM fx_grid_daily WHERE lat_idx = 7 AND lon_idx = 2")
+def stored_series(spark, sf_dir, grid):
+    """The whole series of one cell of a table stored by place."""
+    return tables.read_tiles(spark, _compacted(spark, grid), (7, 7), (2, 2)).select("obs_date", "precipitation")
+
+
 @query("manifest", "SELECT CASE WHEN status = 200 THEN 'downloaded' ELSE 'download_failed' END AS event, count(*) * 2 AS n, min(obs_date) AS first_day, max(obs_date) AS last_day FROM fx_manifest GROUP BY 1")
 def audit_append(spark, sf_dir, manifest):
     """The events of two runs, appended to the audit table and summed up."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwx.sources import daylog
+
 GRID = "lat_idx INT, lon_idx INT, latitude DOUBLE, longitude DOUBLE, obs_date DATE, precipitation FLOAT"
 TILE_CELLS = 250
 # Attributes that a metadata file may set, with their defaults.
@@ -30,27 +34,57 @@ def clean_elevation(elevation: DataFrame, lowest: float = -430.0, highest: float
 
 def create_table(df: DataFrame, path: str) -> None:
     """First write, one partition per day; an existing table is an error."""
-    df.write.partitionBy("obs_date").mode("errorifexists").parquet(path)
+    daylog.create(df.sparkSession, path, df)
 
 
 def append_new_days(existing: DataFrame, incoming: DataFrame, allow_duplicate: bool = False) -> DataFrame:
-    """The rows that an append adds: those of days that the table lacks, or all."""
+    """The rows that an append adds: those of days that the table (or its day log) lacks, or all."""
     return incoming if allow_duplicate else incoming.join(existing.select("obs_date").distinct(), "obs_date", "left_anti")
 
 
 def append(spark: SparkSession, incoming: DataFrame, path: str, allow_duplicate: bool = False) -> int:
-    """Appends whole days; a repeated run adds nothing, an allowed duplicate replaces its day. Returns the table's days."""
-    new = append_new_days(spark.read.parquet(path), incoming, allow_duplicate)
-    new.write.partitionBy("obs_date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return spark.read.parquet(path).select("obs_date").distinct().count()
+    """Appends whole days; a repeated run adds nothing, an allowed duplicate replaces its day. Returns the table's days, which
+    its log tells."""
+    daylog.append(spark, path, incoming, allow_duplicate)
+    return daylog.days(spark, path).count()
+
+
+def _interleaved(x: Column, y: Column, bits: int = 16) -> Column:
+    """Place on a space-filling (Z-order) curve: the bits of two indexes in turn, so that near cells come near each other."""
+    found = F.lit(0).cast("long")
+    for i in range(bits):
+        for place, index in ((2 * i + 1, x), (2 * i, y)):
+            found = found + F.shiftleft(F.shiftright(index.cast("long"), i).bitwiseAND(F.lit(1)), place)
+    return found
+
+
+def compact(spark: SparkSession, staging: str, path: str, tile: int = TILE_CELLS, page_rows: int = 20_000) -> None:
+    """A table with a day log into the layout for reading by place: a folder per year and tile of tile x tile cells, in it the
+    cells along a space-filling curve, each cell's days in order, in pages of page_rows rows whose ranges readers skip by."""
+    rows = daylog.read(spark, staging).withColumn("year", F.year("obs_date"))
+    rows = rows.withColumn("tile_lat", F.expr(f"lat_idx DIV {tile}").cast("int")).withColumn("tile_lon", F.expr(f"lon_idx DIV {tile}").cast("int"))
+    keys = ["year", "tile_lat", "tile_lon"]
+    curve = _interleaved(F.col("lat_idx") % tile, F.col("lon_idx") % tile)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, curve, "obs_date")
+    rows.write.partitionBy(*keys).option("parquet.page.row.count.limit", page_rows).mode("overwrite").parquet(path)
+    spark.createDataFrame([(tile,)], "tile int").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
 
 
-def compact(spark: SparkSession, staging: str, path: str) -> None:
-    """Day-wise staging into the layout for reading: by year and tile, sorted so that row groups prune by cell."""
-    rows = spark.read.parquet(staging).withColumn("year", F.year("obs_date"))
-    rows = rows.withColumn("tile_lat", F.expr(f"lat_idx DIV {TILE_CELLS}")).withColumn("tile_lon", F.expr(f"lon_idx DIV {TILE_CELLS}"))
-    keys = ["year", "tile_lat", "tile_lon"]
-    rows.repartition(*keys).sortWithinPartitions(*keys, "lat_idx", "lon_idx", "obs_date").write.partitionBy(*keys).mode("overwrite").parquet(path)
+def read_tiles(spark: SparkSession, path: str, rows: tuple[int, int], columns: tuple[int, int], first: str | None = None, last: str | None = None) -> DataFrame:
+    """Cells of a compacted table with lat_idx and lon_idx in these (inclusive) ranges, on days from first to last.
+
+    The tiles and years that a request touches are a condition on folders, its cells and days one on the pages' ranges, so
+    that a scan reads little more than was asked for.
+    """
+    tile = spark.read.schema("tile int").json(f"{path}/_layout").first()["tile"]
+    found = spark.read.parquet(path)
+    for name, (lo, hi) in (("lat", rows), ("lon", columns)):
+        found = found.where(F.col(f"tile_{name}").between(lo // tile, hi // tile) & F.col(f"{name}_idx").between(lo, hi))
+    for day, low in ((first, True), (last, False)):
+        if day is not None:
+            bound, of = F.lit(day).cast("date"), int(day[:4])
+            found = found.where((F.col("year") >= of) & (F.col("obs_date") >= bound) if low else (F.col("year") <= of) & (F.col("obs_date") <= bound))
+    return found.drop("year", "tile_lat", "tile_lon")
 
 
 def grid_metadata(grid: DataFrame) -> DataFrame:
@@ -87,11 +121,22 @@ def dataset_meta(grid: DataFrame, defaults: dict[str, str] | None = None) -> Dat
 
 
 def finalise(spark: SparkSession, path: str, meta_json: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
-    """key, value rows of a table's metadata after a load: its days and extents anew, and the attributes of the last row of
-    meta_json (value: a JSON text; none: defaults) over the defaults."""
+    """Store a table's metadata after a load, and return it as key, value rows: its days and extents anew, the attributes of the
+    last row of meta_json (value: a JSON text; none: defaults) over the defaults, when that was, and that the table is complete."""
     defaults = defaults or ATTRIBUTES
     given = attributes(meta_json, defaults).select("attrs").tail(1)
-    return dataset_meta(scan_grid(spark, path), dict(given[0]["attrs"]) if given else defaults)
+    # one day has all cells, so the extents need no scan of the others; the days are those of the log
+    span = daylog.days(spark, path).agg(F.min("obs_date"), F.max("obs_date")).first()
+    rows = dataset_meta(daylog.read(spark, path, str(span[1]), str(span[1])), dict(given[0]["attrs"]) if given else defaults).collect() if span[1] else []
+    stored = {r["key"]: r["value"] for r in rows} | {"time_coverage_start": str(span[0]), "time_coverage_end": str(span[1])}
+    stored |= {"date_modified": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"), "bootstrap_complete": "true"}
+    daylog.put(spark, path, stored)
+    return spark.createDataFrame(sorted(stored.items()), "key string, value string")
+
+
+def stored_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """key, value rows of what is stored with a table."""
+    return spark.createDataFrame(sorted(daylog.properties(spark, path).items()), "key string, value string")
 
 
 def append_audit(events: DataFrame, path: str) -> None:
