@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwx.functions.values import percentage, round1
+from gridwx.operators.ordered import exact_quantiles
 
 CELL = ["lat_idx", "lon_idx"]
 WET = 0.1
@@ -104,24 +105,28 @@ def variable_stats(long: DataFrame, rain_codes: list[str]) -> DataFrame:
     return found.withColumn("total", total).withColumn("rain_pct", F.when(rain, percentage(F.col("wet_days"), F.col("wet_days") + F.col("dry_days"))))
 
 
-def quantiles(value: Column, levels: list[float], accuracy: int | None = None) -> Column:
-    """Exact with linear interpolation; with an accuracy, an approximation whose memory does not grow with the values."""
-    wanted = F.array(*[F.lit(x) for x in levels])
-    return F.percentile(value, wanted) if accuracy is None else F.percentile_approx(value, wanted, accuracy)
+def quantiles(df: DataFrame, group: list[str], value: str, levels: list[float], accuracy: int | None = None) -> DataFrame:
+    """group columns and q (array): exact with linear interpolation, however many values there are; with an accuracy, an
+    approximation in one pass. Groups without values are left out."""
+    if accuracy is None:
+        return exact_quantiles(df, group, value, levels)
+    found = F.percentile_approx(value, F.array(*[F.lit(x) for x in levels]), accuracy)
+    return df.groupBy(*group).agg(found.alias("q")).where("q IS NOT NULL")
 
 
-def daily_grid_summary(grid: DataFrame, value: str = "precipitation") -> DataFrame:
-    q = grid.groupBy("obs_date").agg(
+def daily_grid_summary(grid: DataFrame, value: str = "precipitation", accuracy: int | None = None) -> DataFrame:
+    days = grid.groupBy("obs_date").agg(
         F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"),
-        F.count(value).alias("valid"), F.count(F.lit(1)).alias("cells"), quantiles(F.col(value), [0.25, 0.5, 0.75, 0.95]).alias("q"),
+        F.count(value).alias("valid"), F.count(F.lit(1)).alias("cells"),
     )
+    q = days.join(quantiles(grid, ["obs_date"], value, [0.25, 0.5, 0.75, 0.95], accuracy), "obs_date", "left")
     names = ["p25", "median", "p75", "p95"]
     return q.select("obs_date", "mean", "min", "max", "std", "valid", "cells", percentage(F.col("valid"), F.col("cells")).alias("valid_pct"), *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def percentile_profile(grid: DataFrame, value: str = "precipitation", levels: tuple[int, ...] = (0, 10, 25, 50, 75, 90, 95, 99, 100), accuracy: int | None = None) -> DataFrame:
-    """Quantiles of all values at once; give an accuracy where they are too many to count exactly."""
-    q = grid.agg(quantiles(F.col(value), [x / 100 for x in levels], accuracy).alias("q"))
+    """Quantiles of all values at once, exact or with an accuracy (ranks off by at most 1 / accuracy); none without values."""
+    q = quantiles(grid, [], value, [x / 100 for x in levels], accuracy)
     return q.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*[F.lit(x) for x in levels]), F.col("i")).alias("level"), "value")
 
 
@@ -145,10 +150,10 @@ def histogram(grid: DataFrame, value: str = "precipitation", bins: int = 50) ->
 def latitude_bands(grid: DataFrame, nlat: int, bands: int = 10, value: str = "precipitation", accuracy: int | None = None) -> DataFrame:
     """Quartiles and whiskers (the extreme values within 1.5 quartile distances) per band; the last takes the remainder.
 
-    Give an accuracy (ranks off by at most 1 / accuracy) where a band's values are too many to count exactly.
+    Exact, or with an accuracy (ranks off by at most 1 / accuracy) in one pass.
     """
     rows = grid.withColumn("band", F.least((F.col("lat_idx") / F.lit(max(1, nlat // bands))).cast("int"), F.lit(bands - 1))).where(F.col(value).isNotNull())
-    q = rows.groupBy("band").agg(quantiles(F.col(value), [0.25, 0.5, 0.75], accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    q = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).join(quantiles(rows, ["band"], value, [0.25, 0.5, 0.75], accuracy), "band")
     q = q.select("band", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
@@ -165,14 +170,15 @@ def distinct_values(grid: DataFrame, value: str = "precipitation", n: int = 10)
     return low.unionByName(high).join(F.broadcast(count))
 
 
-def region_day_stats(grid: DataFrame, value: str = "precipitation") -> DataFrame:
+def region_day_stats(grid: DataFrame, value: str = "precipitation", accuracy: int | None = None) -> DataFrame:
     """Statistics of each day of a window of pixels."""
-    q = grid.groupBy("obs_date").agg(
+    days = grid.groupBy("obs_date").agg(
         F.count_distinct("lat_idx").alias("n_rows"), F.count_distinct("lon_idx").alias("n_cols"), F.count(value).alias("valid"), percentage(F.count(value), F.count(F.lit(1))).alias("valid_pct"),
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), quantiles(F.col(value), [0.25, 0.5, 0.75, 0.9, 0.95]).alias("q"),
+        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
     )
+    q = days.join(quantiles(grid, ["obs_date"], value, [0.25, 0.5, 0.75, 0.9, 0.95], accuracy), "obs_date", "left")
     names = ["p25", "median", "p75", "p90", "p95"]
-    return q.select(*[c for c in q.columns if c != "q"], *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return q.select(*days.columns, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def climatology(grid: DataFrame, by_month: bool = True, value: str = "precipitation") -> DataFrame:

@@ -355,7 +355,7 @@ def geojson_points(spark, sf_dir, features):
     return vector.feature_points(features)
 
 
-LINE_SQL = "lpad(strftime(obs_date, '%Y%j'), 7, ' ') || lpad(printf('%.1f', round_even(coalesce(rain, 0), 1)), 8, ' ') || lpad(printf('%.1f', round_even(coalesce(rain1, 0), 1)), 8, ' ') || lpad(printf('%.1f', round_even(coalesce(t2m, -99), 1)), 8, ' ')"
+LINE_SQL = "lpad(strftime(obs_date, '%Y%j'), 7, ' ') || lpad(printf('%.1f', coalesce(rain, 0)), 8, ' ') || lpad(printf('%.1f', coalesce(rain1, 0)), 8, ' ') || lpad(printf('%.1f', coalesce(t2m, -99)), 8, ' ')"
 MERGED = ", j AS (SELECT r.point_seq, r.obs_date, rain, rain1, t2m FROM r JOIN w ON r.point_seq = w.point_seq AND r.obs_date = w.obs_date)"
 
 
@@ -380,7 +380,7 @@ SITE_SQL = (
     j AS (SELECT r.point_seq, r.obs_date, rain, rain1, t2m FROM r JOIN w ON r.point_seq = w.point_seq AND r.obs_date = w.obs_date),
     mo AS (SELECT point_seq, date_trunc('month', obs_date) AS mo, sum(t2m) AS s, count(t2m) AS n, avg(t2m) AS m, min(obs_date) AS a, max(obs_date) AS b FROM j GROUP BY ALL),
     ta AS (SELECT point_seq, CASE WHEN max(b) - min(a) + 1 >= 365 THEN round_even(sum(s) / sum(n), 1) ELSE -99 END AS tav, CASE WHEN max(b) - min(a) + 1 >= 365 THEN round_even((max(m) - min(m)) / 2, 1) ELSE -99 END AS amp FROM mo GROUP BY 1),
-    st AS (SELECT q.point_seq, '  UFLC  ' || lpad(printf('%.1f', round_even(lat, 1)), 9, ' ') || lpad(printf('%.1f', round_even(lon, 1)), 10, ' ') || lpad(printf('%.1f', round_even(coalesce(round_even(elev, 2), -99), 1)), 10, ' ') || lpad(printf('%.1f', tav), 7, ' ') || lpad(printf('%.1f', amp), 6, ' ') || '      2      2' AS site_row
+    st AS (SELECT q.point_seq, '  UFLC  ' || lpad(printf('%.1f', lat), 9, ' ') || lpad(printf('%.1f', lon), 10, ' ') || lpad(printf('%.1f', coalesce(round_even(elev, 2), -99)), 10, ' ') || lpad(printf('%.1f', tav), 7, ' ') || lpad(printf('%.1f', amp), 6, ' ') || '      2      2' AS site_row
     FROM fx_sites q JOIN ta ON ta.point_seq = q.point_seq LEFT JOIN e ON e.point_seq = q.point_seq)"""
 )
 
@@ -405,8 +405,8 @@ def icasa_content(spark, sf_dir, points, grid, met, elevation):
 @query(
     "sites grid_daily",
     f""", r AS (SELECT point_seq, lat, lon, obs_date, precipitation AS rain FROM fx_sites JOIN fx_grid_daily ON lat_idx = {LAT_IDX} AND lon_idx = {LON_IDX})
-    SELECT point_seq, '$WEATHER DATA: UFLC' || chr(10) || chr(10) || '! RAIN     Precipitation (mm/day)' || chr(10) || chr(10) || '@ INSI   WTHLAT  WTHLONG' || chr(10) || '  UFLC     ' || printf('%.1f', round_even(lat, 1)) || '    ' || printf('%.1f', round_even(lon, 1)) || chr(10) || chr(10) || '@  DATE   RAIN' || chr(10) ||
-    string_agg(strftime(obs_date, '%Y%j') || '   ' || lpad(printf('%.1f', round_even(coalesce(rain, 0), 1)), 6, ' '), chr(10) ORDER BY obs_date) || chr(10) AS content FROM r GROUP BY point_seq, lat, lon""",
+    SELECT point_seq, '$WEATHER DATA: UFLC' || chr(10) || chr(10) || '! RAIN     Precipitation (mm/day)' || chr(10) || chr(10) || '@ INSI   WTHLAT  WTHLONG' || chr(10) || '  UFLC     ' || printf('%.1f', lat) || '    ' || printf('%.1f', lon) || chr(10) || chr(10) || '@  DATE   RAIN' || chr(10) ||
+    string_agg(strftime(obs_date, '%Y%j') || '   ' || lpad(printf('%.1f', coalesce(rain, 0)), 6, ' '), chr(10) ORDER BY obs_date) || chr(10) AS content FROM r GROUP BY point_seq, lat, lon""",
 )
 def icasa_rain_only(spark, sf_dir, points, grid):
     series = P.nearest_join(points, grid, FINE, ["precipitation"]).select("point_seq", "obs_date", F.col("precipitation").alias("RAIN"))
@@ -447,12 +447,16 @@ def points_collection(spark, sf_dir, points):
     return X.feature_collections(points)
 
 
-@query("points", "SELECT point_id, lon, lat FROM fx_points WHERE lat BETWEEN -90 AND 90")
+@query(
+    "points",
+    """SELECT row_number() OVER (ORDER BY CAST(floor(point_seq / 1000) AS BIGINT)::VARCHAR, point_seq) - 1 AS feature_seq, point_id, lon, lat
+    FROM fx_points WHERE lat BETWEEN -90 AND 90""",
+)
 def geojson_round_trip(spark, sf_dir, points):
-    """FeatureCollection files of the valid points, written, read back and taken apart."""
+    """FeatureCollection files of the valid points, written, read back, numbered over all files and taken apart."""
     path = scratch(spark, "geojson")
-    X.feature_collections(P.only_valid(points)).select("collection").write.option("maxRecordsPerFile", 1).text(path)
-    return vector.feature_points(vector.read_features(spark, path)).select("point_id", "lon", "lat")
+    X.feature_collections(P.only_valid(points)).select("file_no", "collection").write.partitionBy("file_no").text(path)
+    return vector.feature_points(vector.read_features(spark, path)).select("feature_seq", "point_id", "lon", "lat")
 
 
 @query("sites", "SELECT point_id || '.WTH' AS file_name, 'site ' || point_id || chr(10) || 'line 2' AS content FROM fx_sites")

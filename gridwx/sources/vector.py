@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwx.operators.ordered import running_sum
+
 # Names of an id property, in the order in which they are looked for.
 ID_NAMES = ["id", "point_id", "pid", "cell_id", "id_column", "cellid", "pointid"]
 FEATURE = "struct<properties: map<string,string>, geometry: string>"
 
 
 def read_features(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
-    """feature_seq, feature_json of a FeatureCollection file, or of one feature per line."""
+    """feature_seq, feature_json of the FeatureCollections in a file or folder, or of one feature per line.
+
+    Features are numbered from 0 without gaps, by file name and place in the file, so numbers are unique over a folder; lines
+    in the order in which they are read.
+    """
     if by_line:
-        return spark.read.text(path).select(F.monotonically_increasing_id().alias("feature_seq"), F.col("value").alias("feature_json"))
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", "struct<features: array<string>>")["features"]
-    return whole.select(F.posexplode(items).alias("feature_seq", "feature_json"))
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("k"), F.col("value").alias("feature_json"), F.lit(1).cast("long").alias("n"))
+        return running_sum(lines, [], ["k"], "n", "feature_seq").select("feature_seq", "feature_json")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "struct<features: array<string>>")["features"].alias("items"))
+    counts = whole.select("file", F.greatest(F.size(F.coalesce("items", F.array())), F.lit(0)).cast("long").alias("n"))
+    first = running_sum(counts, [], ["file"], "n", "first").select("file", "first")
+    rows = whole.join(first, "file").select("first", F.posexplode("items").alias("place", "feature_json"))
+    return rows.select((F.col("first") + F.col("place")).alias("feature_seq"), "feature_json")
 
 
 def vertices(geometry: Column) -> Column:
