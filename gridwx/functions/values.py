@@ -23,21 +23,35 @@ def finite(value: Column) -> Column:
 
 
 def round1(value: Column, mode: str) -> Column:
-    """One decimal. np64: half even on doubles; np32: in single precision; py: half even on the value a float holds; js: half up."""
+    """One decimal. np64: half even on doubles as printed; np32: in single precision; py: half even on the value that the
+    double holds, as Python rounds (below 2^49); js: half up."""
     if mode == "np64":
         return F.bround(value, 1)
     if mode == "np32":
         return (F.rint(value.cast("float") * F.lit(10.0).cast("float")).cast("float") / F.lit(10.0).cast("float")).cast("float")
     if mode == "py":
-        return F.bround(value.cast("double"), 1)
+        return _round_binary(value.cast("double"))
     if mode == "js":
         return F.floor(value * 10 + 0.5).cast("double") / 10
     raise ValueError(f"unknown rounding {mode!r}")
 
 
+def _round_binary(value: Column) -> Column:
+    """Ten times the value is the sum of its exact multiples by 8 and 2. Where that sum, rounded to a double, ends in one half,
+    its rounding error (exact by the usual two-sum) tells on which side of the tie the value lies."""
+    a, b = value * 8.0, value * 2.0
+    total = a + b
+    back = total - a
+    error = (a - (total - back)) + (b - back)
+    whole = F.rint(total)
+    beyond = total - whole
+    step = F.when((beyond == 0.5) & (error > 0), 1.0).when((beyond == -0.5) & (error < 0), -1.0)
+    return F.when(step.isNull(), whole).otherwise(whole + step) / 10.0
+
+
 def one_decimal_text(value: Column) -> Column:
-    """Half even with one decimal; a negative value keeps its sign when it is rounded to zero."""
-    return F.format_string("%.1f", F.when(value < 0, -F.bround(-value, 1)).otherwise(F.bround(value, 1)))
+    """Python's one decimal of a double; a negative value keeps its sign when it is rounded to zero."""
+    return F.format_string("%.1f", round1(value, "py"))
 
 
 def percentage(part: Column, whole: Column) -> Column:

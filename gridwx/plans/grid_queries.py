@@ -456,10 +456,11 @@ def rain_classes(spark, sf_dir, grid):
     return grid.select("cell_id", "obs_date", V.rain_class(F.col("precipitation")).alias("class"))
 
 
-@query("grid_daily", "SELECT cell_id, obs_date, round_even(precipitation, 1) AS np64, round_even(precipitation, 1) AS py, CAST(round_even(CAST(precipitation AS FLOAT) * CAST(10 AS FLOAT), 0) / CAST(10 AS FLOAT) AS FLOAT) AS np32, CAST(floor(precipitation * 10 + 0.5e0) AS DOUBLE) / 10 AS js FROM fx_grid_daily")
+@query("grid_daily", "SELECT cell_id, obs_date, round_even(precipitation, 1) AS np64, CAST(printf('%.1f', precipitation * 0.4e0) AS DOUBLE) AS py, CAST(round_even(CAST(precipitation AS FLOAT) * CAST(10 AS FLOAT), 0) / CAST(10 AS FLOAT) AS FLOAT) AS np32, CAST(floor(precipitation * 10 + 0.5e0) AS DOUBLE) / 10 AS js FROM fx_grid_daily")
 def round_one(spark, sf_dir, grid):
+    """`py` over multiples of 0.05, of which half are printed as ties and few are."""
     p = F.col("precipitation")
-    return grid.select("cell_id", "obs_date", V.round1(p, "np64").alias("np64"), V.round1(p, "py").alias("py"), V.round1(p, "np32").alias("np32"), V.round1(p, "js").alias("js"))
+    return grid.select("cell_id", "obs_date", V.round1(p, "np64").alias("np64"), V.round1(p * 0.4, "py").alias("py"), V.round1(p, "np32").alias("np32"), V.round1(p, "js").alias("js"))
 
 
 @query(
