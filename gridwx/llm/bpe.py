@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,65 @@ def pre_tokens(pattern: str):
     return regex.compile(spelled)
 
 
+def _every() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+@lru_cache
+def library_class(name: str) -> str:
+    """The code points of a Unicode class as the encoding library has them: it finds them in a text of all."""
+    import tiktoken
+
+    library = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return bytes(library.encode_ordinary(_every())).decode()
+
+
+def _ranges(characters: str) -> str:
+    """What stands between the brackets of a pattern's class of these characters, which are in order."""
+    points = np.frombuffer(characters.encode("utf-32-le"), "<u4").astype(np.int64)
+    first = np.flatnonzero(np.diff(points, prepend=-2) != 1)
+    last = np.append(first[1:], len(points)) - 1
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[first].tolist(), points[last].tolist()))
+
+
+@lru_cache
+def exact_patterns(pattern: str) -> tuple[str, str]:
+    """pre_tokens()'s pattern with the letters and numbers of the encoding library, whose Unicode tables are of another age
+    (it is slower), and a pattern that finds the code points for which that makes a difference."""
+    import regex
+
+    classes = {name: _ranges(library_class(name)) for name in ("L", "N")}
+    spelled = pre_tokens(pattern).pattern.replace(_WHITE + r"\p{L}\p{N}]", _WHITE + classes["L"] + classes["N"] + "]")
+    spelled = spelled.replace(r"\p{L}", f"[{classes['L']}]").replace(r"\p{N}", f"[{classes['N']}]")
+    disputed = set()
+    for name in classes:
+        disputed |= set(regex.findall(rf"\p{{{name}}}", _every())) ^ set(library_class(name))
+    return spelled, f"[{_ranges(''.join(sorted(disputed)))}]" if disputed else "(?!)"
+
+
+class Exact:
+    """Cuts texts that hold disputed code points."""
+
+    def __init__(self, patterns: tuple[str, str]) -> None:
+        self.spelled, self.disputed, self._find = patterns[0], re.compile(patterns[1]), None
+
+    def needed(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")  # a plain copy; the libraries agree on what is below U+0100
+        except UnicodeEncodeError:
+            return self.disputed.search(text) is not None
+        return False
+
+    def find(self, text: str) -> list[str]:
+        if self._find is None:
+            import regex
+
+            self._find = regex.compile(self.spelled).findall
+        return self._find(text)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -83,8 +143,8 @@ def encoder(path: str) -> WordEncoder:
 class Block:
     """Numbers the distinct pre-tokens of one block of documents."""
 
-    def __init__(self, find, find_bordered) -> None:
-        self.find, self.find_bordered = find, find_bordered
+    def __init__(self, find, find_bordered, exact: Exact) -> None:
+        self.find, self.find_bordered, self.exact = find, find_bordered, exact
         self.words: dict[str, int] = defaultdict()
         self.words.default_factory = self.words.__len__
         #: Chunks between spaces by number, and the word numbers of each; a text's first chunk has the border before it.
@@ -105,13 +165,16 @@ class Block:
         """The texts' word numbers, one text after another, and how many each has.
 
         A space begins a pre-token unless more white space follows, so a text may be cut before each of its single spaces
-        that stand between other characters. Other texts are matched as they are.
+        that stand between other characters. Other texts are matched as they are, and those with disputed letters or numbers
+        by the exact pattern.
         """
         chunks: list[str] = []
         ends: list[int] = []
         whole: dict[int, np.ndarray] = {}
         for i, text in enumerate(texts):
-            if _uncut(text):
+            if self.exact.needed(text):
+                whole[i] = self._codes(self.exact.find(text))
+            elif _uncut(text):
                 whole[i] = self._codes(self.find(text))
             else:
                 own = text.split(" ")
@@ -154,14 +217,15 @@ def _uncut(text: str) -> bool:
     return not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _BESIDE_SPACE) or (not text.isascii() and _WIDE_SPACE.search(text) is not None)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, Block, list, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, exact: tuple[str, str], block_chars: int) -> Iterator[tuple[int, Block, list, np.ndarray, np.ndarray]]:
     """Number, words, doc_ids, codes and their count in each document of each block."""
     plain = pre_tokens(pattern)
     import regex
 
     bordered = regex.compile("\x00|" + plain.pattern.replace("[^" + _WHITE + r"\p{L}\p{N}]", "[^" + _WHITE + r"\x00\p{L}\p{N}]"))
     number = TaskContext.get().partitionId() << 30
-    block, ids, parts, size = Block(plain.findall, bordered.findall), [], [], 0
+    finders = plain.findall, bordered.findall, Exact(exact)
+    block, ids, parts, size = Block(*finders), [], [], 0
 
     def done() -> tuple:
         return number, block, ids, *(np.concatenate(x) for x in zip(*parts))
@@ -182,7 +246,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -
             if size >= block_chars:
                 yield done()
                 number += 1
-                block, ids, parts, size = Block(plain.findall, bordered.findall), [], [], 0
+                block, ids, parts, size = Block(*finders), [], [], 0
     if ids:
         yield done()
 
@@ -197,9 +261,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_chars
     texts = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text")
     tasks = partitions(docs.sparkSession)
     classes = CLASSES * tasks
+    exact = exact_patterns(pattern)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, ids, _, _ in _blocks(batches, pattern, block_chars):
+        for number, block, ids, _, _ in _blocks(batches, pattern, exact, block_chars):
             words, begin, _ = block.in_classes(classes)
             sizes = np.array([len(w) for w in words], "<u4")
             found = [k for k in range(classes) if begin[k] < begin[k + 1]]
@@ -209,7 +274,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, block_chars
             yield pa.RecordBatch.from_arrays(columns, names=["block", "sum", "class", "sizes", "words"])
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, ids, codes, lengths in _blocks(batches, pattern, block_chars):
+        for number, block, ids, codes, lengths in _blocks(batches, pattern, exact, block_chars):
             words, _, rank = block.in_classes(classes)
             packed = [_squeeze(lengths.astype("<u4")), _squeeze(rank[codes] if len(rank) else codes)]
             columns = [pa.array([number], pa.int64()), pa.array([block.checksum(ids, words)], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]

@@ -46,7 +46,7 @@ def test_blocks_of_random_texts_hold_their_pre_tokens():
     import regex
 
     bordered = regex.compile("\x00|" + plain.pattern.replace("[^" + bpe._WHITE + r"\p{L}\p{N}]", "[^" + bpe._WHITE + r"\x00\p{L}\p{N}]"))
-    block = bpe.Block(plain.findall, bordered.findall)
+    block = bpe.Block(plain.findall, bordered.findall, bpe.Exact(bpe.exact_patterns(P.PATTERN)))
     for at in range(0, len(texts), 50):
         codes, sizes = block.add(texts[at : at + 50])
         words = list(block.words)
@@ -70,3 +70,32 @@ def test_rows_in_another_order_fail_the_job(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(20)], "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
     with pytest.raises(Exception, match="another order"):
         bpe.encode_documents(docs, PATH, P.PATTERN).collect()
+
+
+def test_every_code_point_before_a_contraction():
+    """Letters and numbers are those of the encoding library, whatever the age of the pattern library's tables."""
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    exact, encode = bpe.Exact(bpe.exact_patterns(P.PATTERN)), bpe.encoder(PATH).encode
+    plain = bpe.pre_tokens(P.PATTERN)
+    points = [*range(0x20, 0xD800), *range(0xE000, 0x110000)]
+    disputed = 0
+    for at in range(0, len(points), 50_000):
+        for tail in ("'s ", "1a'll "):
+            words = [chr(c) + tail for c in points[at : at + 50_000]]
+            need = [exact.needed(w) for w in words]
+            disputed += sum(need)
+            for found, wanted in ((exact.find, True), (plain.findall, False)):
+                text = "".join(w for w, n in zip(words, need) if n == wanted)
+                assert [i for word in found(text) for i in encode(word)] == own.encode_ordinary(text)
+    assert disputed > 0
+
+
+def test_disputed_code_points_in_texts(spark):
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["\ua7d2's", "a \u0558'll go \u088f1", "\U00010940\U00019050 x", "caf\u00e9 \u00bd's", "plain"]
+    found = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(table(spark, list(enumerate(texts))), PATH, P.PATTERN).collect()}
+    assert found == {i: own.encode_ordinary(t) for i, t in enumerate(texts)}
