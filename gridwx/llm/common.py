@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import islice
 
 import numpy as np
@@ -35,8 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Paths of the tables that stage() has written in this session, the latest last.
-STAGED: list[str] = []
+#: Takes the paths of the tables that stage() writes, where somebody collects them in this thread.
+_COLLECTED: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of the tables that stage() writes inside, in this thread: for a caller who deletes them."""
+    paths: list[str] = []
+    token = _COLLECTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTED.reset(token)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -54,7 +67,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors, computes Python once."""
     spark = df.sparkSession
     path = staged_path(spark, name)
-    STAGED.append(path)
+    if (collected := _COLLECTED.get()) is not None:
+        collected.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

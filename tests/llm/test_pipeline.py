@@ -79,3 +79,40 @@ def test_stages_take_hard_rows_and_none(spark, tmp_path):
             if name == "secret scans" and before:
                 assert {r["text"] for r in docs.where("doc_id = 900").collect()} == {"[SECRET]"}
                 assert {r["node"] for r in docs.collect()} == {"?"}
+
+
+def test_callers_columns_come_back_unchanged(spark):
+    """Columns named like those that the operators make are the table's own."""
+    names = "score predicted n_words n_removed kept_text near_copy_row kept component_id held_out own_column_0".split()
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, t, len(t), *[f"{n}-{i}" for n in names]) for i, t in enumerate([base, base + " end", "other words here", base[:300] + " z"])]
+    docs = spark.createDataFrame(rows, schema)
+    given = {tuple(r) for r in docs.collect()}
+    for function in (corpus_pipeline.reject_low_quality, corpus_pipeline.drop_near_duplicates, corpus_pipeline.remove_repeated_passages, corpus_pipeline.redact_secrets):
+        out = function(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+        assert {tuple(r[c] for c in rest) for r in out.collect()} <= {(r[0], *r[3:]) for r in given}
+
+
+def test_interleaved_runs_do_not_touch_each_other(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    halves = [docs.where(f"doc_id % 2 = {i}") for i in (0, 1)]
+    near = [corpus_pipeline.drop_near_duplicates(spark, h, SF) for h in halves]
+    first = stage(near[0], "first")
+    assert corpus_pipeline.remove_repeated_passages(spark, first, SF).count() > 0
+    assert near[1].count() > 0 and near[0].count() == first.count()
+
+
+def test_run_deletes_the_tables_of_its_stages(spark):
+    from pathlib import Path
+
+    from gridwx.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark)) / "staged"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    packed = corpus_pipeline.run(spark, SF)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert packed.count() > 0 and "secret-scans" in left
+    assert not left & {"quality-classifier", "MinHash-near-dedup", "substring-dedup", "keyed"}
