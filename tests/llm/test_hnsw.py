@@ -91,3 +91,17 @@ def test_bands_and_huge_components(spark):
     assert bands == {0: 0, 1: 2, 2: 664, 3: -665, 4: -1}
     found = hnsw.search_index(hnsw.build_index(rows), rows.where("id = 0")).orderBy("rank").collect()
     assert [r["vec_id"] for r in found] == [2, 1, 4, 3]
+
+
+def test_recall_of_vectors_that_differ_in_their_last_digits():
+    rng = np.random.default_rng(5)
+    for spread in (1e-3, 1e-5, 1e-7, 1e-9):
+        centre = rng.normal(size=64)
+        rows = centre / np.linalg.norm(centre) + spread * rng.normal(size=(3000, 64))
+        assert recall(rows) >= 0.95, spread
+
+
+def test_one_row_and_equal_rows_make_a_graph():
+    for rows in (np.array([[3.0, 4.0]]), np.array([[1.0, 0.0], [1.0, 0.0]])):
+        found = hnsw.build_graph(rows).search(np.array([[1.0, 1.0]], np.float32), 4)
+        assert set(found[0][found[0] >= 0].tolist()) == set(range(len(rows)))
