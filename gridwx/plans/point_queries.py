@@ -188,6 +188,22 @@ def variable_timeseries(spark, sf_dir, points, grid, met):
     return rounded(R.resample(merged, "monthly", ["point_seq"], ["T2M"]), "T2M")
 
 
+@query(
+    "sites grid_daily met_daily",
+    SOURCES + """ SELECT point_seq, obs_date, 'chirps' AS source, 'RAIN' AS code, rain AS value FROM r UNION ALL SELECT point_seq, obs_date, 'nasa_s3', 'RAIN', rain1 FROM w
+    UNION ALL SELECT point_seq, obs_date, 'nasa_s3', 'TMAX', t2m_max FROM w""",
+)
+def series_by_source(spark, sf_dir, points, grid, met):
+    """Rain of both sources under one code, and a variable that one of them has."""
+    rain, weather = _rain_and_weather(points, grid, met)
+    series, rows = {"chirps": rain, "nasa_s3": weather}, None
+    for source, code in (("chirps", "RAIN"), ("nasa_s3", "RAIN"), ("nasa_s3", "TMAX")):
+        one = M.series_by_source(series, source, code)
+        one = one.select("point_seq", "obs_date", F.lit(source).alias("source"), F.lit(code).alias("code"), F.col(code).alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 TAV = """, mo AS (SELECT lat_idx, lon_idx, date_trunc('month', obs_date) AS mo, sum(t2m) AS s, count(t2m) AS n, avg(t2m) AS m, min(obs_date) AS a, max(obs_date) AS b FROM fx_met_daily GROUP BY ALL)"""
 
 
