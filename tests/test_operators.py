@@ -186,6 +186,16 @@ def test_generated_ids_avoid_given_ones(spark):
     assert found[2] == taken and len(set(found.values())) == 3
 
 
+def test_ids_of_many_copies_of_a_place(spark):
+    """As one after the other would take them: 60 copies of a place, given ids in their way, and none in need of a round each."""
+    rows = [(i, None, 1.0, 2.0) for i in range(60)] + [(60 + i, one_id(1.0, 2.0, k), 5.0, 5.0) for i, k in enumerate((0, 7, 8, 40))]
+    rows += [(70, None, None, 2.0), (71, "x", None, None)]
+    found = {r["point_seq"]: r["point_id"] for r in points.assign_ids(spark.createDataFrame(rows, "point_seq int, point_id string, lat double, lon double"), 3).collect()}
+    free = [one_id(1.0, 2.0, k) for k in range(80) if k not in (0, 7, 8, 40)]
+    assert [found[i] for i in range(60)] == free[:60]
+    assert found[63] == one_id(1.0, 2.0, 40) and found[70] is None and found[71] == "x" and len(found) == 66
+
+
 def test_validation_report(spark):
     schema = "point_seq int, point_id string, lat double, lon double"
     report = points.validate_points(spark.createDataFrame([(1, "a", 91.0, 0.0), (2, "b", 0.0, 181.0)], schema)).first()
