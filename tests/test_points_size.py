@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwx import plans
+from gridwx.operators import export
 from gridwx.operators import points as P
 from gridwx.plans.registry import FINE
 
@@ -82,3 +83,10 @@ def test_package_of_more_sites_than_an_upload_may_have(spark, folder):
     rows = plans.queries()["package_job"](spark, folder).collect()
     # point_seq 0 to 599 have the places; those divisible by 97 are invalid, and later ones of the same remainder stand in
     assert {r["point_seq"] % 600 for r in rows if r["kind"] == "file"} == set(range(600))
+
+
+def test_files_of_one_partition_are_written_by_many_tasks(spark, tmp_path):
+    files = spark.range(40, numPartitions=1).selectExpr("lpad(CAST(id AS STRING), 3, '0') AS file_name", "concat('a', chr(10), id) AS content")
+    export.write_package(files, str(tmp_path / "package"))
+    assert len({f.name.split("-")[1] for f in (tmp_path / "package").glob("*/part-*")}) > 1
+    assert sorted(map(tuple, export.read_package(spark, str(tmp_path / "package")).collect())) == sorted(map(tuple, files.collect()))
