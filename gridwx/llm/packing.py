@@ -15,9 +15,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -47,7 +49,7 @@ RARE = 16
 #: Counts are added up by slices of so many places; the slice TOTALS holds the numbers of documents and of their terms.
 SLICE_PLACES = 4096
 TOTALS = -1
-#: Chunks and words whose ids a worker remembers.
+#: Chunks and words whose ids a worker remembers; beyond, those that came once are forgotten.
 MEMO_CHUNKS = 300_000
 MEMO_WORDS = 450_000
 
@@ -60,8 +62,10 @@ _SIMPLE = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*")
 #: The vocabulary's word borders in lower-case plain text, and line feeds. The numbers of Latin that are no decimal digits
 #: stand by name, as Python counts them as letters.
 _BORDERS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|\n|(?:[^\w\s]|_)+")
-#: A text is tokenized in slices of about this many characters, cut at white space; texts are tokenized GROUP at a time.
+#: A text is tokenized in slices of about this many characters, cut at white space; texts are tokenized together up to so many
+#: bytes, and GROUP documents are dealt to routes at a time.
 SLICE = 1 << 20
+TOGETHER = 4 << 20
 GROUP = 512
 #: Stands for the end of a document among its chunks, which hold no line feed.
 _END = "\n"
@@ -70,8 +74,9 @@ _END = "\n"
 class WordTokenizer:
     """Token ids of white-space separated chunks by the tokenizers library, each distinct word encoded once per worker.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Chunks are
-    numbered as they come; a chunk's ids are looked up by its number. New chunks of plain Latin text are split at the
+    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Texts are split
+    and their distinct chunks found in Arrow, so that only these are looked up one by one. Chunks are numbered as they come; a
+    chunk's ids are looked up by its number. New chunks of plain Latin text are split at the
     vocabulary's own word borders, and their new words are encoded together: every word ends in one end-of-word token,
     which cuts the ids apart. Any other chunk, and one with the text of an added token, is encoded alone.
     """
@@ -99,24 +104,38 @@ class WordTokenizer:
         self._forget_chunks()
 
     def _forget_words(self) -> None:
-        self.words: dict[str, int] = defaultdict()
-        self.words.default_factory = self.words.__len__
-        self.word_ids = Lists(self.kind)
-        self.words["\n"]
-        self.word_ids.add(np.empty(0, self.kind), np.zeros(1, np.int64))
+        self.words, self.word_ids, self.word_uses = self._memo("\n", np.empty(0, self.kind))
 
     def _forget_chunks(self) -> None:
-        self.chunks: dict[str, int] = defaultdict()
-        self.chunks.default_factory = self.chunks.__len__
-        self.chunk_ids = Lists(self.kind)
-        self.chunks[_END]
-        self.chunk_ids.add(np.array([self.end_id], self.kind), np.ones(1, np.int64))
+        self.chunks, self.chunk_ids, self.chunk_uses = self._memo(_END, np.array([self.end_id], self.kind))
+
+    def _memo(self, first: str, ids: np.ndarray) -> tuple[dict[str, int], Lists, np.ndarray]:
+        """Numbers of strings, their ids by number, and how often each was looked up."""
+        numbers: dict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        numbers[first]
+        lists = Lists(self.kind)
+        lists.add(ids, np.array([len(ids)], np.int64))
+        return numbers, lists, np.zeros(1 << 12, np.int64)
+
+    def _kept(self, numbers: dict[str, int], lists: Lists, uses: np.ndarray, most: int) -> tuple[dict[str, int], Lists, np.ndarray]:
+        """A memo of the strings that were looked up more than once, or so often that half of `most` hold them; the first stays."""
+        uses, least = uses[: len(numbers)], 2
+        while np.count_nonzero(uses >= least) > most // 2:
+            least *= 2
+        keep = uses >= least
+        keep[0] = False
+        new, kept, _ = self._memo(next(iter(numbers)), lists.take(np.zeros(1, np.int64))[0])
+        new.update(zip(compress(numbers, keep.tolist()), range(1, len(numbers))))
+        kept.add(*lists.take(np.flatnonzero(keep)))
+        return new, kept, np.ones(max(1 << 12, len(new)), np.int64)
 
     def _plain_ids(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain chunks (joined by line feeds), one after another, and how many each has."""
         before = len(self.words)
         found = _BORDERS.findall(joined.lower())
         numbers = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        self.word_uses = counted(self.word_uses, numbers, len(self.words))
         if unseen := newest(self.words, before):
             ids = np.array(self.of_words.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -153,41 +172,43 @@ class WordTokenizer:
         flat: list[np.ndarray] = []
         stops: list[np.ndarray] = []
         sizes = np.zeros(len(texts), np.int64)
-        chunks: list[str] = []
+        parts: list[str] = []
         owner: list[int] = []
-        ends: list[int] = []
+        last: list[int] = []
         pending = 0
 
         def flush() -> None:
             before = len(self.chunks)
-            numbers = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+            own, at, counts = distinct_chunks(parts)
+            found = np.fromiter(map(self.chunks.__getitem__, own), np.int64, len(own))
+            self.chunk_uses = counted(self.chunk_uses, found, len(self.chunks))
             if unseen := newest(self.chunks, before):
                 self._learn(unseen)
+            # the end, which has number 0, after a text's last part
+            numbers = np.insert(found[at], np.cumsum(counts)[last], 0)
+            counts[last] += 1
             ids, n = self.chunk_ids.take(numbers)
             flat.append(ids)
             until = np.concatenate(([0], np.cumsum(n)))
             stops.append(np.zeros(len(ids), np.uint8))
             stops[-1][until[1:][n > 0] - 1] = 1
-            until = until[ends]
+            until = until[np.cumsum(counts)]
             np.add.at(sizes, owner, np.diff(until, prepend=0))
             if len(self.chunks) > MEMO_CHUNKS:
-                self._forget_chunks()
+                self.chunks, self.chunk_ids, self.chunk_uses = self._kept(self.chunks, self.chunk_ids, self.chunk_uses, MEMO_CHUNKS)
             if len(self.words) > MEMO_WORDS:
-                self._forget_words()
+                self.words, self.word_ids, self.word_uses = self._kept(self.words, self.word_ids, self.word_uses, MEMO_WORDS)
 
         for i, text in enumerate(texts):
-            for part in slices(text):
-                chunks += _SPACE.split(part) if any(c in part for c in _SEPARATORS) else part.split()
+            for part in slices(text) if text else [text]:
+                if pending >= TOGETHER:
+                    flush()
+                    parts, owner, last, pending = [], [], [], 0
+                parts.append(part)
                 owner.append(i)
-                ends.append(len(chunks))
                 pending += len(part)
-                if pending >= SLICE:
-                    flush()
-                    chunks, owner, ends, pending = [], [], [], 0
-            chunks.append(_END)
-            owner.append(i)
-            ends.append(len(chunks))
-        if chunks:
+            last.append(len(parts) - 1)
+        if parts:
             flush()
         if not flat:
             return np.empty(0, self.kind), np.empty(0, np.uint8), sizes
@@ -199,6 +220,27 @@ def id_type(ends: np.ndarray) -> str:
     return "<u2" if len(ends) <= 1 << 16 else "<u4"
 
 
+def counted(uses: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """The uses of n numbered strings after these were looked up."""
+    if n > len(uses):
+        uses = np.concatenate((uses, np.zeros(n, uses.dtype)))
+    uses += np.bincount(numbers, minlength=len(uses))
+    return uses
+
+
+def distinct_chunks(parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct chunks of the parts, the place among them of each chunk in order, and how many chunks each part has.
+
+    White space is what it is to str.split(), but for _SEPARATORS. Beside white space at the ends there are empty chunks.
+    """
+    if any(c in part for part in parts for c in _SEPARATORS):
+        lists = pa.array([_SPACE.split(part) if any(c in part for c in _SEPARATORS) else part.split() for part in parts], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(pa.array(parts, pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
 def slices(text: str) -> Iterator[str]:
     """The text in slices of about SLICE characters, cut at white space."""
     at = 0
@@ -446,6 +488,16 @@ def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, GROUP)
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of (doc_id, text) in groups that end with the row at which their texts have TOGETHER bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        n = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)) + 1
+        yield batch.slice(at, n - at)
+        at = min(n, batch.num_rows)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pack all documents into windows of at most `window` ids, neighbours together.
 
@@ -465,7 +517,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         row = TaskContext.get().partitionId() << 36
         df, totals = np.zeros(TERM_SPACE, np.int64), np.zeros(2, "<i8")
         for batch in batches:
-            for group in groups(batch):
+            for group in by_bytes(batch):
                 n = group.num_rows
                 ids, stops, sizes = words.encode([x or "" for x in group.column(1).to_pylist()])
                 doc, term = chunk_terms(ids, stops, sizes)

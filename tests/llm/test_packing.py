@@ -148,6 +148,31 @@ def test_ids_are_the_librarys(monkeypatch):
             assert one.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
+def test_a_worker_keeps_the_words_that_come_again(monkeypatch):
+    """A full memo forgets chunks and words that came once; the common ones are encoded once."""
+    monkeypatch.setattr(packing, "MEMO_CHUNKS", 300)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 300)
+    words, learned = packing.WordTokenizer(PATH), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    letters = "abcdefghij"
+    for k in range(20):
+        rare = ["rare" + "".join(letters[int(c)] for c in str(k * 1000 + i)) for i in range(90)]
+        text = " ".join(["the", "a", "of"] * 9 + rare)
+        ids, _, _ = words.encode([text])
+        assert ids.tolist() == reference(text)
+    assert [learned.count(w) for w in ("the", "a", "of")] == [1, 1, 1]
+    assert len(words.chunks) <= 400 and len(words.words) <= 400
+
+
+def test_white_space_between_chunks_is_pythons():
+    parts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in packing._SEPARATORS]
+    own, at, counts = packing.distinct_chunks(parts)
+    assert counts.tolist() == [len(x.split()) for x in parts] and [own[i] for i in at.tolist()] == [w for x in parts for w in x.split()]
+    own, at, counts = packing.distinct_chunks(["a\x1cb c", " x\n", ""])
+    assert counts.sum() == len(at) and [own[i] for i in at.tolist() if own[i]] == ["a\x1cb", "c", "x"]
+
+
 def test_an_index_of_open_documents_scores_alike():
     rng = np.random.default_rng(4)
     terms = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(90)]
