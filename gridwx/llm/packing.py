@@ -393,9 +393,13 @@ class Index:
         # each document's terms: places among the rows, and numbers of lists of postings
         self.row_terms, self.row_from = place[term[of]], np.searchsorted(doc[of], np.arange(n + 1))
         doc, term, weight = doc[~of], term[~of], weight[~of]
-        numbers, term, lengths = np.unique(term, return_inverse=True, return_counts=True)
-        self.query_terms, self.query_from = term, np.searchsorted(doc, np.arange(n + 1))
-        by_term = np.argsort(term, kind="stable")
+        # one sort: by term and place
+        ranked = np.sort(term << 40 | np.arange(len(term)))
+        by_term = ranked & ((1 << 40) - 1)
+        lengths = np.bincount(term)
+        lengths = lengths[lengths > 0]
+        self.query_terms, self.query_from = np.empty(len(term), np.int64), np.searchsorted(doc, np.arange(n + 1))
+        self.query_terms[by_term] = np.repeat(np.arange(len(lengths)), lengths)
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.first = np.concatenate(([0], np.cumsum(lengths)))
         self.docs = np.arange(n)
