@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import compress
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridwx.llm.common import MEMOS, Lists, binary_array, flat_values, mix64, newest, ragged, remember, stage, stretches
+from gridwx.llm.common import MEMOS, Lists, binary_array, flat_values, mix64, ragged, remember, stage, stretches
 
 WINDOW = 2048
 END_ID = 1
@@ -49,9 +48,10 @@ RARE = 16
 #: Counts are added up by slices of so many places; the slice TOTALS holds the numbers of documents and of their terms.
 SLICE_PLACES = 4096
 TOTALS = -1
-#: Chunks and words whose ids a worker remembers; beyond, those that came once are forgotten.
-MEMO_CHUNKS = 300_000
-MEMO_WORDS = 450_000
+#: Chunks and words whose ids a worker remembers, and the bytes that either may have; beyond, those that came once are forgotten.
+MEMO_CHUNKS = 800_000
+MEMO_WORDS = 800_000
+MEMO_BYTES = 32 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -59,26 +59,78 @@ _SPACE = re.compile(r"[ \t\n\r]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Chunks (joined by line feeds) whose words the library borders and lower-cases as Python does.
 _SIMPLE = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*")
+#: Those of ASCII without apostrophes and Latin letters, which change kind (letter, digit, other) at their word borders.
+_EASY = r"\A[\x21-\x26\x28-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17e}]*\z"
+_DIGIT = 1
+#: The kind of each byte of lower-case easy chunks.
+_KINDS = np.array([0 if i >= 0x80 or chr(i).islower() else _DIGIT if chr(i).isdigit() else 2 for i in range(256)], np.uint8)
+#: The UTF-8 of the character that stands for each byte in byte-level vocabularies: those beyond ASCII have two bytes.
+_NAMED = [i in range(0x21, 0x7F) or i in range(0xA1, 0xAD) or i >= 0xAE for i in range(256)]
+_CHARACTERS = [chr(i if i < 0x80 or _NAMED[i] else 256 + _NAMED[:i].count(False)).encode() for i in range(256)]
+_FIRST_BYTE, _LAST_BYTE = (np.array([x[i] for x in _CHARACTERS], np.uint8) for i in (0, -1))
 #: The vocabulary's word borders in lower-case plain text, and line feeds. The numbers of Latin that are no decimal digits
 #: stand by name, as Python counts them as letters.
 _BORDERS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|\n|(?:[^\w\s]|_)+")
 #: A text is tokenized in slices of about this many characters, cut at white space; texts are tokenized together up to so many
 #: bytes, and GROUP documents are dealt to routes at a time.
 SLICE = 1 << 20
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 GROUP = 512
+#: Chunks whose ids are put in their places at a time.
+EXPANDED = 1 << 18
 #: Stands for the end of a document among its chunks, which hold no line feed.
 _END = "\n"
 
 
+class Memo:
+    """Distinct strings in Arrow, numbered as they come, the ids of each, and how often each was looked up."""
+
+    def __init__(self, first: str, ids: np.ndarray) -> None:
+        self.strings = pa.array([first], pa.string())
+        self.ids = Lists(ids.dtype.str)
+        self.ids.add(ids, np.array([len(ids)], np.int64))
+        self.uses = np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.strings)
+
+    def numbers(self, own: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The numbers of distinct strings, and the new ones among them: these have the next numbers, and `ids` waits for theirs."""
+        numbers = np.full(len(own), -1)
+        # the few are hashed and the many looked up among them, as the hash table is made each time
+        place = pc.index_in(self.strings, value_set=own).fill_null(-1).to_numpy()
+        had = np.flatnonzero(place >= 0)
+        numbers[place[had]] = had
+        unseen = numbers < 0
+        new = own.filter(pa.array(unseen))
+        numbers[unseen] = np.arange(len(self), len(self) + len(new))
+        self.strings = pa.concat_arrays([self.strings, new])
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        self.uses[numbers] += 1
+        return numbers, new.to_numpy(zero_copy_only=False).tolist()
+
+    def forget(self, most: int) -> None:
+        """With more strings than `most`, or more than MEMO_BYTES of them, keep those that were looked up more than once, or so
+        often that half of either holds them, and the first."""
+        if len(self) <= most and self.strings.nbytes <= MEMO_BYTES:
+            return
+        sizes, least = pc.binary_length(self.strings).to_numpy().astype(np.int64), 2
+        while np.count_nonzero(self.uses >= least) > most // 2 or sizes[self.uses >= least].sum() > MEMO_BYTES // 2:
+            least *= 2
+        keep = self.uses >= least
+        keep[0] = True
+        lists = Lists(self.ids.flat.dtype.str)
+        lists.add(*self.ids.take(np.flatnonzero(keep)))
+        self.strings, self.ids, self.uses = self.strings.filter(pa.array(keep)), lists, np.ones(np.count_nonzero(keep), np.int64)
+
+
 class WordTokenizer:
     """Token ids of white-space separated chunks by the tokenizers library, each distinct word encoded once per worker.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Texts are split
-    and their distinct chunks found in Arrow, so that only these are looked up one by one. Chunks are numbered as they come; a
-    chunk's ids are looked up by its number. New chunks of plain Latin text are split at the
-    vocabulary's own word borders, and their new words are encoded together: every word ends in one end-of-word token,
-    which cuts the ids apart. Any other chunk, and one with the text of an added token, is encoded alone.
+    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in order. Texts are split,
+    their distinct chunks found and these looked up in Arrow; a chunk's ids are looked up by its number. New chunks of plain
+    Latin text are split at the vocabulary's own word borders, and their new words are encoded together: every word ends in one
+    end-of-word token, which cuts the ids apart. Any other chunk, and one with the text of an added token, is encoded alone.
     """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
@@ -88,10 +140,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        #: The same vocabulary for words that are lower-case and cut apart already.
+        #: The same vocabulary for words that are lower-case, cut apart and in byte_level() already.
         self.of_words = Tokenizer.from_file(path)
         self.of_words.normalizer = normalizers.Sequence([])
-        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.of_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         added = self.model.get_added_tokens_decoder()
         self.added = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
         vocabulary = self.model.get_vocab(with_added_tokens=False)
@@ -99,119 +151,70 @@ class WordTokenizer:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.kind = id_type(self.ends)
-        self.end_id = end_id
-        self._forget_words()
-        self._forget_chunks()
-
-    def _forget_words(self) -> None:
-        self.words, self.word_ids, self.word_uses = self._memo("\n", np.empty(0, self.kind))
-
-    def _forget_chunks(self) -> None:
-        self.chunks, self.chunk_ids, self.chunk_uses = self._memo(_END, np.array([self.end_id], self.kind))
-
-    def _memo(self, first: str, ids: np.ndarray) -> tuple[dict[str, int], Lists, np.ndarray]:
-        """Numbers of strings, their ids by number, and how often each was looked up."""
-        numbers: dict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        numbers[first]
-        lists = Lists(self.kind)
-        lists.add(ids, np.array([len(ids)], np.int64))
-        return numbers, lists, np.zeros(1 << 12, np.int64)
-
-    def _kept(self, numbers: dict[str, int], lists: Lists, uses: np.ndarray, most: int) -> tuple[dict[str, int], Lists, np.ndarray]:
-        """A memo of the strings that were looked up more than once, or so often that half of `most` hold them; the first stays."""
-        uses, least = uses[: len(numbers)], 2
-        while np.count_nonzero(uses >= least) > most // 2:
-            least *= 2
-        keep = uses >= least
-        keep[0] = False
-        new, kept, _ = self._memo(next(iter(numbers)), lists.take(np.zeros(1, np.int64))[0])
-        new.update(zip(compress(numbers, keep.tolist()), range(1, len(numbers))))
-        kept.add(*lists.take(np.flatnonzero(keep)))
-        return new, kept, np.ones(max(1 << 12, len(new)), np.int64)
-
-    def _plain_ids(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain chunks (joined by line feeds), one after another, and how many each has."""
-        before = len(self.words)
-        found = _BORDERS.findall(joined.lower())
-        numbers = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
-        self.word_uses = counted(self.word_uses, numbers, len(self.words))
-        if unseen := newest(self.words, before):
-            ids = np.array(self.of_words.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, self.kind)
+        self.words = Memo("", np.empty(0, self.kind))
+        self.chunks = Memo(_END, np.array([end_id], self.kind))
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words, one after another, and how many each has."""
+        coded = words.dictionary_encode()
+        numbers, unseen = self.words.numbers(coded.dictionary)
+        if unseen:
+            ids = np.array(self.of_words.encode_batch_fast([byte_level(" ".join(unseen))], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(unseen):
                 raise ValueError("the vocabulary does not end each word with one end-of-word token")
-            self.word_ids.add(ids, np.diff(cuts, prepend=0))
-        ids, sizes = self.word_ids.take(numbers)
-        until = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, np.diff(until[np.concatenate((np.flatnonzero(numbers == 0), [len(numbers)]))], prepend=0)
+            self.words.ids.add(ids, np.diff(cuts, prepend=0))
+        return self.words.ids.take(numbers[coded.indices.to_numpy()])
 
     def _learn(self, chunks: list[str]) -> None:
-        joined = "\n".join(chunks)
-        added = self.added.search if self.added else lambda _: None
-        if _SIMPLE.fullmatch(joined) and unicodedata.is_normalized("NFC", joined) and not added(joined):
-            self.chunk_ids.add(*self._plain_ids(joined))
-            return
-        plain = np.array([_SIMPLE.fullmatch(c) is not None and unicodedata.is_normalized("NFC", c) and not added(c) for c in chunks])
-        parts, sizes = [], np.empty(len(chunks), np.int64)
-        if plain.any():
-            ids, sizes[plain] = self._plain_ids("\n".join(c for c, p in zip(chunks, plain.tolist()) if p))
-            parts.append(ids)
-        odd = [self.model.encode(c, add_special_tokens=False).ids for c, p in zip(chunks, plain.tolist()) if not p]
-        sizes[~plain] = [len(x) for x in odd]
-        parts += [np.array(x, self.kind) for x in odd]
-        # the plain chunks' ids, then the others'; their places in the order of the numbers
-        by_part = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        place = np.empty(len(chunks), np.int64)
+        strings = pa.array(chunks, pa.string())
+        whole = np.ones(len(chunks), bool)
+        if self.added and self.added.search("\n".join(chunks)):
+            whole = np.array([self.added.search(c) is None for c in chunks])
+        easy = whole & pc.match_substring_regex(strings, _EASY).to_numpy(zero_copy_only=False)
+        words, counts = easy_words(strings.filter(pa.array(easy)))
+        plain, odd, found = [], [], []
+        for i in np.flatnonzero(~easy).tolist():
+            if whole[i] and _SIMPLE.fullmatch(chunks[i]) and unicodedata.is_normalized("NFC", chunks[i]):
+                plain.append(i)
+                found.append(_BORDERS.findall(chunks[i].lower()))
+            else:
+                odd.append(i)
+        words = pa.concat_arrays([words, pa.array(chain.from_iterable(found), pa.string())])
+        ids, of_word = self._word_ids(words)
+        until = np.concatenate(([0], np.cumsum(of_word)))
+        alone = [self.model.encode(chunks[i], add_special_tokens=False).ids for i in odd]
+        # the easy chunks' ids, the plain ones', then the others'; their places in the order of the numbers
+        by_part = np.concatenate((np.flatnonzero(easy), np.array(plain + odd, np.int64)))
+        ends = until[np.cumsum(np.concatenate((counts, np.array([len(x) for x in found], np.int64))))]
+        sizes, place = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        sizes[by_part] = np.concatenate((np.diff(ends, prepend=0), np.array([len(x) for x in alone], np.int64)))
         place[by_part] = np.cumsum(sizes[by_part]) - sizes[by_part]
-        self.chunk_ids.add(np.concatenate(parts), sizes, place)
+        self.chunks.ids.add(np.concatenate((ids, *[np.array(x, self.kind) for x in alone])), sizes, place)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The texts' ids one after another, each text's followed by the end id; 1 where an id ends a chunk, else 0; and
-        how many ids each text has."""
-        flat: list[np.ndarray] = []
-        stops: list[np.ndarray] = []
+        how many ids each text has. A null is an empty text."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        flat, stops = [np.empty(0, self.kind)], [np.empty(0, np.uint8)]
         sizes = np.zeros(len(texts), np.int64)
-        parts: list[str] = []
-        owner: list[int] = []
-        last: list[int] = []
-        pending = 0
-
-        def flush() -> None:
-            before = len(self.chunks)
-            own, at, counts = distinct_chunks(parts)
-            found = np.fromiter(map(self.chunks.__getitem__, own), np.int64, len(own))
-            self.chunk_uses = counted(self.chunk_uses, found, len(self.chunks))
-            if unseen := newest(self.chunks, before):
+        for parts, owner, last in parts_of(texts):
+            own, at, counts = coded_chunks(parts)
+            found, unseen = self.chunks.numbers(own)
+            if unseen:
                 self._learn(unseen)
             # the end, which has number 0, after a text's last part
             numbers = np.insert(found[at], np.cumsum(counts)[last], 0)
-            counts[last] += 1
-            ids, n = self.chunk_ids.take(numbers)
-            flat.append(ids)
-            until = np.concatenate(([0], np.cumsum(n)))
-            stops.append(np.zeros(len(ids), np.uint8))
-            stops[-1][until[1:][n > 0] - 1] = 1
-            until = until[np.cumsum(counts)]
-            np.add.at(sizes, owner, np.diff(until, prepend=0))
-            if len(self.chunks) > MEMO_CHUNKS:
-                self.chunks, self.chunk_ids, self.chunk_uses = self._kept(self.chunks, self.chunk_ids, self.chunk_uses, MEMO_CHUNKS)
-            if len(self.words) > MEMO_WORDS:
-                self.words, self.word_ids, self.word_uses = self._kept(self.words, self.word_ids, self.word_uses, MEMO_WORDS)
-
-        for i, text in enumerate(texts):
-            for part in slices(text) if text else [text]:
-                if pending >= TOGETHER:
-                    flush()
-                    parts, owner, last, pending = [], [], [], 0
-                parts.append(part)
-                owner.append(i)
-                pending += len(part)
-            last.append(len(parts) - 1)
-        if parts:
-            flush()
-        if not flat:
-            return np.empty(0, self.kind), np.empty(0, np.uint8), sizes
+            until = np.cumsum(counts + last)
+            of_chunk = self.chunks.ids.sizes[numbers]
+            # some at a time, so that the places of the ids stay few
+            flat += [self.chunks.ids.take(numbers[i : i + EXPANDED])[0] for i in range(0, len(numbers), EXPANDED)]
+            ends = np.concatenate(([0], np.cumsum(of_chunk)))
+            stops.append(np.zeros(ends[-1], np.uint8))
+            stops[-1][ends[1:][of_chunk > 0] - 1] = 1
+            np.add.at(sizes, owner, np.diff(ends[until], prepend=0))
+            self.chunks.forget(MEMO_CHUNKS)
+            self.words.forget(MEMO_WORDS)
         return np.concatenate(flat), np.concatenate(stops), sizes
 
 
@@ -220,25 +223,70 @@ def id_type(ends: np.ndarray) -> str:
     return "<u2" if len(ends) <= 1 << 16 else "<u4"
 
 
-def counted(uses: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
-    """The uses of n numbered strings after these were looked up."""
-    if n > len(uses):
-        uses = np.concatenate((uses, np.zeros(n, uses.dtype)))
-    uses += np.bincount(numbers, minlength=len(uses))
-    return uses
+def byte_level(text: str) -> str:
+    """The text with each byte beyond ASCII as the character that stands for it in byte-level vocabularies."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    wide = raw >= 0x80
+    until = np.cumsum(1 + wide)
+    out = np.empty(until[-1] if len(raw) else 0, np.uint8)
+    out[until - 1] = _LAST_BYTE[raw]
+    out[until[wide] - 2] = _FIRST_BYTE[raw[wide]]
+    return out.tobytes().decode()
 
 
-def distinct_chunks(parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def easy_words(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of chunks that match _EASY, one after another, and how many each chunk has."""
+    raw, sizes = flat_values(pc.utf8_lower(chunks), "u1")
+    if not len(raw):
+        return pa.array([], pa.string()), sizes
+    kind = _KINDS[raw]
+    begins = np.concatenate(([True], (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT), [True]))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    begins[at] = True
+    words = np.flatnonzero(begins).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words) - 1, pa.py_buffer(words), pa.py_buffer(raw)), np.diff(np.searchsorted(words, at))
+
+
+def coded_chunks(parts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct chunks of the parts, the place among them of each chunk in order, and how many chunks each part has.
 
     White space is what it is to str.split(), but for _SEPARATORS. Beside white space at the ends there are empty chunks.
     """
-    if any(c in part for part in parts for c in _SEPARATORS):
-        lists = pa.array([_SPACE.split(part) if any(c in part for c in _SEPARATORS) else part.split() for part in parts], pa.list_(pa.string()))
+    if (flat_values(parts, "u1")[0] - np.uint8(ord(_SEPARATORS[0])) < len(_SEPARATORS)).any():
+        lists = pa.array([_SPACE.split(x) if any(c in x for c in _SEPARATORS) else x.split() for x in parts.to_pylist()], pa.list_(pa.string()))
     else:
-        lists = pc.utf8_split_whitespace(pa.array(parts, pa.string()))
+        lists = pc.utf8_split_whitespace(parts)
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def distinct_chunks(parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """coded_chunks() of Python's strings."""
+    own, at, counts = coded_chunks(pa.array(parts, pa.string()))
+    return own.to_pylist(), at, counts
+
+
+def parts_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The texts, long ones in slices, about TOGETHER at a time: the parts, the text of each, and 1 for the last of a text."""
+    if len(texts) and pc.max(pc.binary_length(texts)).as_py() <= SLICE and pc.sum(pc.binary_length(texts)).as_py() <= TOGETHER + SLICE:
+        yield texts, np.arange(len(texts)), np.ones(len(texts), bool)
+        return
+    parts: list[str] = []
+    owner: list[int] = []
+    last: list[bool] = []
+    pending = 0
+    for i, text in enumerate(texts):
+        for part in slices(text.as_py()) if len(text.as_buffer()) else [""]:
+            if pending >= TOGETHER:
+                yield pa.array(parts, pa.string()), np.array(owner), np.array(last)
+                parts, owner, last, pending = [], [], [], 0
+            parts.append(part)
+            owner.append(i)
+            last.append(False)
+            pending += len(part)
+        last[-1] = True
+    if parts:
+        yield pa.array(parts, pa.string()), np.array(owner), np.array(last)
 
 
 def slices(text: str) -> Iterator[str]:
@@ -267,12 +315,17 @@ def chunk_terms(ids: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> tuple[
     """Document and term number of each chunk of documents as encode() gives them. A term is a hash of the chunk's ids."""
     if not len(ids):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.concatenate(([0], np.flatnonzero(stops[:-1]) + 1))
-    doc = np.repeat(np.arange(len(sizes)), sizes)[first]
-    mixed = _mixed()
-    value = np.add.reduceat(mixed[ids & 0xFFFF], first) + (mixed[ids[first] & 0xFFFF] << np.uint64(1))
-    keep = first != (np.cumsum(sizes) - 1)[doc]
-    return doc[keep], (mix64(value[keep]) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(stops[:-1].view(bool)) + 1))
+    until = np.searchsorted(first, np.cumsum(sizes))
+    # a chunk's hash is the sum of its ids' (a difference of running sums) and the first one's twice more
+    mixed = _mixed()[ids if ids.dtype.itemsize == 2 else ids & 0xFFFF]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
+    value = np.diff(total[first], append=total[-1:]) + (mixed[first] << np.uint64(1))
+    # without the end, the last of a document
+    keep = np.ones(len(first), bool)
+    keep[until - 1] = False
+    doc = np.repeat(np.arange(len(sizes)), np.diff(until, prepend=0) - 1)
+    return doc, (mix64(value[keep]) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -288,9 +341,20 @@ class Statistics:
     mean: float
     df: np.ndarray
 
-    def weight(self, df: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        idf = np.log1p(np.maximum(0, self.n - df + 0.5) / (df + 0.5))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return self.rareness(self.df)
+
+    @cached_property
+    def route_idf(self) -> np.ndarray:
+        return self.rareness(np.maximum(self.df, RARE))
+
+    def rareness(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p(np.maximum(0, self.n - df + 0.5) / (df + 0.5))
+
+    def weight(self, idf: np.ndarray, tf: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Of terms with these idf and frequencies in documents, which have these lengths."""
+        return idf * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(1.0, self.mean)))[doc])
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +373,7 @@ def route_levels(ids: np.ndarray, stops: np.ndarray, lengths: np.ndarray, statis
     doc, term = pairs >> TERM_BITS, pairs & (TERM_SPACE - 1)
     shared = statistics.df[term] > 1
     doc, term, tf = doc[shared], term[shared], tf[shared]
-    weight = statistics.weight(np.maximum(statistics.df[term], RARE), tf, sizes[doc])
+    weight = statistics.weight(statistics.route_idf[term], tf, sizes, doc)
     # one sort: by document, descending weight and a number that spreads the terms, so that equal weights have one order
     falling = ((1 << 23) - np.minimum((1 << 23) - 1, weight * (1 << 16)).astype(np.int64)) << TERM_BITS
     spread = term * 0x9E375 & (TERM_SPACE - 1)
@@ -382,7 +446,7 @@ class Index:
         df = np.bincount(term, minlength=TERM_SPACE)
         if statistics is None:
             statistics = Statistics(n, sizes.mean() if n else 1.0, df)
-        weight = statistics.weight(statistics.df[term], tf, sizes[doc]).astype(np.float32)
+        weight = statistics.weight(statistics.idf[term], tf, sizes, doc).astype(np.float32)
         keep = df[term] > 1  # a term of one document finds no other
         doc, term, weight = doc[keep], term[keep], weight[keep]
         common = df > max(2, COMMON * n)
@@ -492,14 +556,23 @@ def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, GROUP)
 
 
-def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of (doc_id, text) in groups that end with the row at which their texts have TOGETHER bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        n = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)) + 1
-        yield batch.slice(at, n - at)
-        at = min(n, batch.num_rows)
+def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (doc_id, text) in groups that end with the row at which their ids and texts have TOGETHER bytes."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 8)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = min(int(np.searchsorted(ends, before + TOGETHER - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, n - at))
+            size += int(ends[n - 1]) - before
+            at = n
+            if size >= TOGETHER:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -520,15 +593,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         words = tokenizer(tokenizer_path, end_id)
         row = TaskContext.get().partitionId() << 36
         df, totals = np.zeros(TERM_SPACE, np.int64), np.zeros(2, "<i8")
-        for batch in batches:
-            for group in by_bytes(batch):
-                n = group.num_rows
-                ids, stops, sizes = words.encode([x or "" for x in group.column(1).to_pylist()])
-                doc, term = chunk_terms(ids, stops, sizes)
-                np.add.at(df, distinct(doc << TERM_BITS | term)[0] & (TERM_SPACE - 1), 1)
-                totals += n, len(term)
-                yield encoded_rows(group.column(0), np.arange(row, row + n), pa.nulls(n, pa.int32()), binary_array(ids, sizes), binary_array(stops, sizes))
-                row += n
+        for group in by_bytes(batches):
+            n = group.num_rows
+            ids, stops, sizes = words.encode(group.column(1))
+            doc, term = chunk_terms(ids, stops, sizes)
+            np.add.at(df, distinct(doc << TERM_BITS | term)[0] & (TERM_SPACE - 1), 1)
+            totals += n, len(term)
+            yield encoded_rows(group.column(0), np.arange(row, row + n), pa.nulls(n, pa.int32()), binary_array(ids, sizes), binary_array(stops, sizes))
+            row += n
         if totals[0]:
             numbers, parts = zip(*count_slices(df), (TOTALS, totals.tobytes()))
             n = len(numbers)

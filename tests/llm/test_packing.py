@@ -165,6 +165,87 @@ def test_a_worker_keeps_the_words_that_come_again(monkeypatch):
     assert len(words.chunks) <= 400 and len(words.words) <= 400
 
 
+def test_few_strings_are_looked_up_in_python(monkeypatch):
+    """What a worker knows is found in Arrow: only new chunks become Python strings."""
+    import pyarrow as pa
+
+    words, learned = packing.WordTokenizer(PATH), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    texts = ["the cat, the dog.", None, "", " a  dog.\n", "Straße ½x İ don't"]
+    for _ in range(2):
+        ids, _, sizes = words.encode(pa.array(["left out", *texts, "left out"]).slice(1, len(texts)))
+        for text, one in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert one.tolist() == reference(text)
+    assert sorted(learned) == sorted({"", "the", "cat,", "dog.", "a", "Straße", "½x", "İ", "don't"})
+    assert len(words.encode(pa.array([], pa.string()))[2]) == 0
+
+
+def test_a_worker_forgets_long_chunks(monkeypatch):
+    """Chunks that never come again are not held beyond MEMO_BYTES, however few they are."""
+    monkeypatch.setattr(packing, "MEMO_BYTES", 20_000)
+    words = packing.WordTokenizer(PATH)
+    for k in range(12):
+        text = f"the {'ab' * 1500}{k} {'日' * 900}{k}"
+        assert words.encode([text])[0].tolist() == reference(text)
+        assert words.chunks.strings.nbytes <= 20_000 and words.words.strings.nbytes <= 20_000 and packing._END in words.chunks.strings.to_pylist()
+
+
+def test_short_texts_of_many_batches_are_tokenized_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TOGETHER", 1000)
+    texts = ["x" * n for n in (5, 0, 400, 2500, 3, 1200, 900, 50, 50, 50, 50)] + [None] * 200
+    whole = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for step in (1, 4, 50, 1000):
+        found = list(packing.by_bytes(whole.slice(i, step) for i in range(0, len(texts), step)))
+        assert pa.Table.from_batches(found).equals(pa.Table.from_batches([whole]).combine_chunks())
+        sizes = [[len(t or "") + 8 for t in g.column(1).to_pylist()] for g in found]
+        assert all(sum(x) >= 1000 for x in sizes[:-1]) and all(sum(x[:-1]) < 1000 for x in sizes)
+    assert list(packing.by_bytes(iter([]))) == [] and list(packing.by_bytes(iter([whole.slice(0, 0)]))) == []
+
+
+def test_easy_chunks_have_the_borders_of_all():
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    easy = [c for c, e in zip(letters, pc.match_substring_regex(pa.array(letters), packing._EASY).to_pylist()) if e]
+    assert len(easy) > 250 and all(packing._SIMPLE.fullmatch(c) and not re.search(r"\s", c) for c in easy)
+    rng = np.random.default_rng(6)
+    chunks = [*easy, "", *["".join(rng.choice(easy, n)) for n in rng.integers(0, 9, 4000)], *["".join(rng.choice(list("aÀ1_.É"), n)) for n in rng.integers(0, 9, 2000)], ""]
+    whole = pa.array(chunks)
+    for part in (whole, whole.slice(300, 500), whole.slice(len(chunks) - 1)):
+        words, counts = packing.easy_words(part)
+        found = [packing._BORDERS.findall(c.lower()) for c in part.to_pylist()]
+        assert words.to_pylist() == [w for x in found for w in x] and counts.tolist() == [len(x) for x in found]
+
+
+def test_bytes_stand_as_the_byte_level_characters():
+    from tokenizers import pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    text = "".join(chr(c) for c in range(0x21, 0x3000) if c != 0x7F) + "日本🙂"
+    assert packing.byte_level(text) == level.pre_tokenize_str(text)[0][0] and packing.byte_level("") == ""
+
+
+def test_terms_are_the_hashes_of_chunks():
+    rng = np.random.default_rng(7)
+    docs = [[rng.integers(0, 49_000, rng.integers(1, 5)) for _ in range(n)] for n in (3, 0, 1, 50, 0)]
+    chunks = [c for d in docs for c in [*d, np.array([1])]]
+    ids, stops = np.concatenate(chunks).astype("<u2"), np.concatenate([np.arange(len(c)) == len(c) - 1 for c in chunks]).astype(np.uint8)
+    mixed = [int(x) for x in packing.mix64(np.arange(1, (1 << 16) + 1))]
+
+    def term(chunk):
+        total = (sum(mixed[i] for i in chunk.tolist()) + 2 * mixed[chunk[0]]) % 2**64
+        return int(packing.mix64(np.array([total], np.uint64))[0]) >> (64 - packing.TERM_BITS)
+
+    doc, found = packing.chunk_terms(ids, stops, np.array([sum(map(len, d)) + 1 for d in docs]))
+    assert doc.tolist() == [i for i, d in enumerate(docs) for _ in d] and found.tolist() == [term(c) for d in docs for c in d]
+
+
 def test_white_space_between_chunks_is_pythons():
     parts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in packing._SEPARATORS]
     own, at, counts = packing.distinct_chunks(parts)
