@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -122,11 +123,20 @@ WORD_HASHES = HashMemo()
 MEMOS: dict[str, Callable[[], None]] = {"hashes": WORD_HASHES.clear}
 
 
+def release() -> None:
+    """Give back to the machine what is freed but kept by Arrow and the C library: an executor's workers share its memory, and
+    those that wait for a task count too."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def remember(name: str) -> None:
-    """Workers serve one stage after another; this empties what those before have left but for `name`."""
+    """Workers serve one stage after another; this empties what those before have left but for `name`, and gives it back."""
     for other, clear in MEMOS.items():
         if other != name:
             clear()
+    release()
 
 
 def rolling(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:

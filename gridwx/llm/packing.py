@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridwx.llm.common import MEMOS, Lists, binary_array, flat_values, mix64, ragged, remember, stage, stretches
+from gridwx.llm.common import MEMOS, Lists, binary_array, flat_values, mix64, ragged, release, remember, stage, stretches
 
 WINDOW = 2048
 END_ID = 1
@@ -74,7 +74,7 @@ _BORDERS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[
 #: A text is tokenized in slices of about this many characters, cut at white space; texts are tokenized together up to so many
 #: bytes, and GROUP documents are dealt to routes at a time.
 SLICE = 1 << 20
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 GROUP = 512
 #: Chunks whose ids are put in their places at a time.
 EXPANDED = 1 << 18
@@ -593,14 +593,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         words = tokenizer(tokenizer_path, end_id)
         row = TaskContext.get().partitionId() << 36
         df, totals = np.zeros(TERM_SPACE, np.int64), np.zeros(2, "<i8")
-        for group in by_bytes(batches):
-            n = group.num_rows
+
+        def rows_of(group: pa.RecordBatch) -> pa.RecordBatch:
             ids, stops, sizes = words.encode(group.column(1))
             doc, term = chunk_terms(ids, stops, sizes)
             np.add.at(df, distinct(doc << TERM_BITS | term)[0] & (TERM_SPACE - 1), 1)
-            totals += n, len(term)
-            yield encoded_rows(group.column(0), np.arange(row, row + n), pa.nulls(n, pa.int32()), binary_array(ids, sizes), binary_array(stops, sizes))
-            row += n
+            n = len(sizes)
+            totals[:] += n, len(term)
+            return encoded_rows(group.column(0), np.arange(row, row + n), pa.nulls(n, pa.int32()), binary_array(ids, sizes), binary_array(stops, sizes))
+
+        for group in by_bytes(batches):
+            yield rows_of(group)
+            row += group.num_rows
+            release()
         if totals[0]:
             numbers, parts = zip(*count_slices(df), (TOTALS, totals.tobytes()))
             n = len(numbers)
@@ -616,6 +621,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         return route_levels(flat, flat_values(stops, "u1")[0], lengths, whole.value)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("shards")
         counts = np.zeros((len(LEVELS), 1 << ROUTE_BITS), np.int64)
         for batch in batches:
             for group in groups(batch):
@@ -630,6 +636,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     sizes = context.broadcast(sizes.reshape(len(LEVELS), -1))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("shards")
         for batch in batches:
             for group in groups(batch):
                 found = routes(levels_of(*group.columns[2:]), group.column(1).to_numpy(), sizes.value)
@@ -657,7 +664,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
             if held:
                 yield pa.Table.from_batches(held)
 
-        for shard in shards():
+        def packed(shard: pa.Table) -> tuple[pa.RecordBatch, int]:
             chunks = [flat_values(c, kind) for c in shard.column(1).chunks]
             flat, tokens = (np.concatenate(x) for x in zip(*chunks))
             doc, term = chunk_terms(flat, np.concatenate([flat_values(c, "u1")[0] for c in shard.column(2).chunks]), tokens)
@@ -677,8 +684,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
             start, length, doc_tokens, sequences, offset = (pa.array(x, pa.int64()) for x in numbers)
             doc_ids = shard.column(0).combine_chunks().take(pa.array(d))
             columns = [doc_ids, start, length, binary_array(ids, length.to_numpy()), doc_tokens, sequences, offset]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            sequence += len(windows)
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]), len(windows)
+
+        for shard in shards():
+            found, n = packed(shard)
+            yield found
+            sequence += n
+            release()
 
     routed = encoded.mapInArrow(route, "doc_id long, row long, ids binary, stops binary, route long")
     return routed.repartition("route").sortWithinPartitions("route", "row").select("doc_id", "ids", "stops").mapInArrow(pack, PIECES)

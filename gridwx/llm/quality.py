@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        remember("buckets")
         pdf = pdf.sort_values("doc_id")
         found = fit(pdf["text"].tolist(), pdf["y"].astype(int).tolist())
         return pd.DataFrame({"w0": [float(found.w0)], "w": [found.w.astype("<f4").tobytes()], "v": [found.v.astype("<f4").tobytes()]})

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -264,3 +267,30 @@ def test_an_index_of_open_documents_scores_alike():
         if d % 3 == 0:
             part.keep(open_)
         assert part.neighbours(d, open_, 12).tolist() == whole.neighbours(d, open_, 12).tolist()
+
+
+_LEFT = """
+import os
+import numpy as np
+from gridwx.llm import packing
+from gridwx.llm.common import remember
+
+def megabytes():
+    return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+packing.tokenizer("PATH")
+before = megabytes()
+words = np.random.default_rng(0).integers(0, 26**4, (12, 80000))
+spelled = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(4))
+for row in words.tolist():
+    packing.tokenizer("PATH").encode([" ".join(map(spelled, row))] * 8)
+held = megabytes()
+remember("shards")
+print(before, held, megabytes())
+"""
+
+
+def test_a_worker_gives_back_what_tokenizing_took():
+    out = subprocess.run([sys.executable, "-c", _LEFT.replace("PATH", PATH)], capture_output=True, text=True, check=True).stdout
+    before, held, after = map(int, out.split())
+    assert held > before + 80 and after < before + 40
