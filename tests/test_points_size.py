@@ -1,6 +1,7 @@
 """Queries over points whose copies and numbers are beyond what a small table holds."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridwx import plans
@@ -72,6 +73,23 @@ def test_totals_by_cell_are_those_of_the_days(spark):
         assert found[r["point_seq"]]["n_days"] == r["n_days"] and found[r["point_seq"]]["mean"] == pytest.approx(r["mean"], abs=1e-9)
 
 
+def test_pixel_totals_take_every_day_of_every_point(spark, folder, monkeypatch):
+    days, taken = Observation("days"), P.pixel_value
+    monkeypatch.setattr(P, "pixel_value", lambda *a: taken(*a).observe(days, F.count(F.lit(1)).alias("n")))
+    rows = plans.queries()["pixel_value"](spark, folder).collect()
+    assert len(rows) > 2000 and {r["n_days"] for r in rows} == {DAYS}
+    assert days.get["n"] == len(rows) * DAYS
+
+
+def test_pixel_totals_of_points_that_come_again(spark):
+    """One row per number, as the query's SQL groups by it: points of a number may repeat, lie elsewhere, or have no number."""
+    at = [(1, 0.21, 30.01), (1, 0.21, 30.01), (1, 0.11, 30.01), (None, 0.21, 30.01), (None, 0.11, 30.01), (2, None, 30.01), (3, 5.0, 30.01)]
+    places = spark.createDataFrame(at, "point_seq long, lat double, lon double")
+    grid = spark.sql("SELECT * FROM VALUES (0, 0, DATE'2000-01-01', 1.5D), (0, 0, DATE'2000-01-02', NULL), (2, 0, DATE'2000-01-01', 4D) AS g(lat_idx, lon_idx, obs_date, v)")
+    found = {r["point_seq"]: (r["n_days"], r["total"]) for r in P.pixel_totals(places, grid, FINE, "v").collect()}
+    assert found == {1: (5, 7.0), None: (3, 5.5)}
+
+
 def test_a_place_with_many_points_is_dealt_in_blocks(spark):
     places = spark.range(12 * P.BLOCK).selectExpr("id AS point_seq", "id DIV 1000000 AS k")
     found = P.spread(places, spark.range(3).selectExpr("id DIV 1000000 AS k", "id AS day"), ["k"])
